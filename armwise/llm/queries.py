@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwise.llm import quality_classifier, quality_rules, sharding, warc
+from armwise.llm import quality_classifier, quality_rules, sharding, token_files, warc
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +24,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_slot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op7_quality_rules, op8_rendezvous_shards, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql()}
