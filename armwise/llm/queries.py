@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwise.llm import quality_classifier, quality_rules, sharding, token_files, warc
+from armwise.llm import piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +24,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), model or vocabulary("piece_bpe_32k.model"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -41,6 +49,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_slot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql()}
