@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwise.llm import piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
+from armwise.llm import mixing, piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -44,11 +44,15 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), weights=[1.0] * 8, grown=[1.0] * 9)
 
 
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_slot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_classifier, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op9_cube_mix, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql()}
