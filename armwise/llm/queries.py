@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwise.llm import mixing, ngram_join, piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
+from armwise.llm import embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_slot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op9_cube_mix, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_pivot_index, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op9_cube_mix, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.join_sql(), "op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql()}
