@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from armwise.llm.common import looked_up, n_words, ranked, text_of, written
 
 #: Documents of a source that one part holds on average, that its landing has in reserve; sources that are broadcast at most.
-PART, RESERVE, BROADCAST_ROWS = 200_000, 64, 100_000
+PART, RESERVE, BROADCAST_ROWS = 4_000, 64, 100_000
 
 
 def targets(sizes: DataFrame, share: float, weights: Sequence[float], most: float) -> DataFrame:
@@ -192,3 +192,15 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (5, 2, 1
     done = met.where(~left).unionByName(first.where(~left)).unionByName(last)
     copies = (F.col("whole") + F.col("p")).cast("int")
     return done.select(F.col("_key").alias(key), F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", broadcast_rows: int = 500_000, **how) -> DataFrame:
+    """docs with every row as often as the mix takes it.
+
+    The numbers of copies are broadcast while they are few (16 bytes each), and else joined by shuffle. Rows that share a key
+    are taken as often as the one of them that is taken most.
+    """
+    copies = written(mix(docs, key=key, **how).groupBy(F.col(key).alias("_k")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
+    side = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
+    met = docs.join(side, docs[key].eqNullSafe(F.col("_k")))
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

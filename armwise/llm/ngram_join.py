@@ -323,6 +323,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with one row of each component, that of the smallest key; rows with a null key stay.
+
+    The keys that go are broadcast while they are few (8 bytes each), and else joined by shuffle. Rows that repeat a key that
+    stays are reduced to one.
+    """
+    marks = written(join(docs, key, text).groupBy(F.col(key).alias("_k")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_n")), "kept")
+    out = marks.where("_k <> _least").select("_k")
+    twice = marks.where("_k = _least and _n > 1").select("_k")
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+
+    rest = docs.join(side(out), docs[key] == F.col("_k"), "left_anti")
+    if not twice.limit(1).count():
+        return rest
+    twice = side(twice)
+    once = rest.join(twice, rest[key] == F.col("_k"), "left_semi").dropDuplicates([key])
+    return rest.join(twice, rest[key] == F.col("_k"), "left_anti").unionByName(once)
+
+
 def join_sql() -> str:
     """DuckDB SQL for join over the view documents."""
     return r"""

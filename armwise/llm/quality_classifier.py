@@ -88,15 +88,8 @@ def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float = 0.
     return Model(means, np.array(factors), np.array(offsets), temper)
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", by: int = 4, out: int = 2, least: float = 0.7) -> DataFrame:
-    """key, held_out, score, predicted for every row of docs.
-
-    Every labelled row whose crc32(key) mod by is not out counts in the fit. One pass over the texts writes their
-    statistics, a narrow table; class moments are summed by Spark.
-    Defined cases: null and empty texts are scored as texts without words; a null key is never labelled; equal keys share
-    their labels and repeated rows repeat; conflicting labels count once each; with a class missing every score is 0.5; other
-    columns are not read.
-    """
+def _rows(docs: DataFrame, key: str, text: str, by: int, out: int) -> tuple[DataFrame, list[str]]:
+    """Every row's key, statistics and held_out, as a written table."""
     d = len(FEATURES)
     names = [f"x{i}" for i in range(d)]
     kind = docs.schema[key].dataType.simpleString()
@@ -108,7 +101,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
 
     schema = f"_key {kind}, " + ", ".join(f"{x} double" for x in names)
     rows = written(docs.select(F.col(key).alias("_key"), F.col(text)).mapInArrow(measured, schema), "statistics")
-    rows = rows.withColumn("held_out", remainder("_key", by) == out)
+    return rows.withColumn("held_out", remainder("_key", by) == out), names
+
+
+def _train(rows: DataFrame, names: list[str], labels: DataFrame, label: str, key: str) -> Model | None:
+    """Class moments are summed by Spark over every labelled row that is not held out; the driver gets 182 numbers."""
+    d = len(names)
     votes = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.sum(F.col(label)).alias("n1"), F.sum(1 - F.col(label)).alias("n0"))
     train = rows.where(~F.col("held_out")).join(votes, "_key")
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
@@ -120,12 +118,42 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
     squares = np.zeros((2, d, d))
     for k, (i, j) in enumerate(pairs):
         squares[:, i, j] = squares[:, j, i] = got[:, 1 + d + k]
-    model = fit(got[:, 0], got[:, 1 : 1 + d], squares)
+    return fit(got[:, 0], got[:, 1 : 1 + d], squares)
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", by: int = 4, out: int = 2, least: float = 0.7) -> DataFrame:
+    """key, held_out, score, predicted for every row of docs.
+
+    Every labelled row whose crc32(key) mod by is not out counts in the fit. One pass over the texts writes their
+    statistics, a narrow table.
+    Defined cases: null and empty texts are scored as texts without words; a null key is never labelled; equal keys share
+    their labels and repeated rows repeat; conflicting labels count once each; with a class missing every score is 0.5; other
+    columns are not read.
+    """
+    rows, names = _rows(docs, key, text, by, out)
+    model = _train(rows, names, labels, label, key)
+    kind = docs.schema[key].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(d)])
+            x = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
             p = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= least).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
     return rows.select("_key", "held_out", *names).mapInArrow(scored, f"{key} {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", by: int = 4, out: int = 2, least: float = 0.7) -> DataFrame:
+    """The rows of docs that score least or more, whole: a second pass measures again, so that no text is shuffled.
+
+    Cases as for classify; without a model every row stays.
+    """
+    rows, names = _rows(docs, key, text, by, out)
+    model = _train(rows, names, labels, label, key)
+    place = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b if model is None else b.filter(pa.array(model.score(statistics(b.column(place))) >= least))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -109,10 +109,23 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     stay null; other columns of docs, whatever their names, are not read; an empty table gives an empty one.
     """
     m = docs.select(F.col(key).alias(key), measures(text).alias("_m"))
-    m = m.select(
-        key, "_m.n_words", "_m.word_chars", "_m.n_symbols", F.col("_m.lines.twice").alias("n_dup_lines"), "_m.n_repeat_words",
-        "_m.n_exclaims", "_m.n_capitals", "_m.n_stop_words", F.col("_m.lines.n").alias("n_lines"),
-    )
+    return _judged(m.select(key, *_counts("_m")), rules)
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, whole and in one projection and filter. Cases as for apply_rules."""
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), measures(text).alias("_m"))
+    return _judged(one.select("_row", *_counts("_m")), rules).where("kept").select("_row.*")
+
+
+def _counts(m: str) -> list[Column]:
+    plain = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_exclaims", "n_capitals", "n_stop_words")
+    lines = [F.col(f"{m}.lines.twice").alias("n_dup_lines"), F.col(f"{m}.lines.n").alias("n_lines")]
+    counts = {**{c: F.col(f"{m}.{c}") for c in plain}, "n_dup_lines": lines[0], "n_lines": lines[1]}
+    return [counts[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_capitals", "n_stop_words", "n_lines")]
+
+
+def _judged(m: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = m.withColumn("base_failed", base).withColumns({f"ok_{r.name}": rule_column(r) for r in rules})
     passed = ~F.col("base_failed")
