@@ -7,11 +7,14 @@ Blocks are rows of Parquet tables, so that Spark's committer writes them and any
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +31,62 @@ REMEMBERED = 1_500_000
 
 
 class WordEncoder:
-    """Ids of whole texts, made from the ids of their words between ASCII blanks, each encoded by the library once a worker.
+    """Ids of whole texts from the ids of their words between ASCII blanks, each made by the library once a worker.
 
-    Right for tokenizers whose pieces never span white space, which holds where the pre-tokenizer removes it.
+    Right for tokenizers whose pre-tokenizer drops white space, so that no piece spans it. A word of printable Latin-1 goes
+    piece by piece to the library's model, where the file's normaliser (NFC, white space, lower case) and pre-tokenizer (a
+    pattern, then bytes as letters) are known to act on it by themselves; any other word goes through the whole pipeline.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        if not spans_no_blank(path):
+        with open(path) as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        steps = pre.get("pretokenizers") or [pre]
+        if not (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")):
             raise ValueError("this tokenizer's pieces may span white space")
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        norm = spec.get("normalizer") or {}
+        kinds = [x.get("type") for x in norm.get("normalizers", [])]
+        plain = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not spec["model"].get("dropout")
+        marks = [x["content"] for x in spec.get("added_tokens", [])]
+        self.direct = re.compile("[!-~\xa1-\xac\xae-\xff]+").fullmatch if plain else lambda word: None
+        self.marked = re.compile("|".join(map(re.escape, marks))).search if marks else lambda word: None
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if plain else None
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint16)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = 0
 
+    def _piece(self, piece: str) -> list[int]:
+        got = self.pieces.get(piece)
+        if got is None:
+            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            got = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
+        return got
+
+    def _word(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if self.direct(text) and not self.marked(text):
+            low = text.lower()
+            if low.isascii() and low.isalpha():
+                return self._piece(low)
+            return [i for p in self.split(low) for i in self._piece(p)]
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        got = list(map(self._word, new))
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.int64, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.int64, int(lengths.sum()))
         if len(flat) and flat.max() > 65535:
             raise ValueError("ids above 65535")
         n = len(self.known)
@@ -65,36 +101,35 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """A text's ids and the end id."""
-        parts = [t.split() for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in known))
-        if len(known) + len(new) > REMEMBERED:
-            self.forget()
-            known = self.known
-            new = list(dict.fromkeys(w for p in parts for w in p))
-        if new:
+        words: list[bytes] = []
+        counts = []
+        for t in texts:
+            own = t.split()
+            counts.append(len(own))
+            words += own
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
+            if len(self.known) + len(new) > REMEMBERED:
+                self.forget()
+                new, missing = list(dict.fromkeys(words)), np.arange(len(words))
             self._learn(new)
-        out = []
-        for p in parts:
-            at = np.fromiter(map(known.__getitem__, p), np.int64, len(p))
-            a, n = self.first[at], self.first[at + 1] - self.first[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(p) else 0
-            ids = np.empty(total + 1, np.uint16)
-            ids[:total] = self.ids[np.arange(total) + np.repeat(a - ends + n, n)]
-            ids[total] = end_id
-            out.append(ids)
-        return out
-
+            at[missing] = np.fromiter(map(self.known.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+        begin = self.first[at]
+        n = self.first[at + 1] - begin
+        ends = np.cumsum(n)
+        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + n, n)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
+        end = np.array([end_id], np.uint16)
+        return [np.append(flat[a:b], end) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-def spans_no_blank(path: str) -> bool:
-    """Whether the pre-tokenizer drops all white space: a first step that keeps matches of a pattern without blanks."""
-    import json
 
-    with open(path) as f:
-        pre = json.load(f).get("pre_tokenizer") or {}
-    first = (pre.get("pretokenizers") or [pre])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+def _byte_letters() -> list[str]:
+    """Byte-level tokenizers write printable bytes as themselves and the others, in order, as letters from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
 @lru_cache(maxsize=1)
@@ -213,8 +248,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 ids = e.encode([t or b"" for t in texts], end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["key", "ids"])
