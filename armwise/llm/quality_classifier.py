@@ -1,13 +1,14 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed document statistics.
 
 Each class has a mean and a covariance shrunk towards the pooled one and towards a multiple of the identity; a score is the
-logistic of the difference of two Gaussian log-densities, whose Mahalanobis terms come from Cholesky factors computed once.
+logistic of the difference of two Gaussian log-densities, whose Mahalanobis terms come from Cholesky factors computed once; the
+logistic curve is fitted to the labelled rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armwise.llm import arrowtext as at
+from armwise.llm.calibration import calibrate
 from armwise.llm.common import remainder, written
 
 #: Statistics of a text, after their transforms; none depends on labels, language, source or id.
@@ -58,17 +60,22 @@ class Model:
     means: np.ndarray
     factors: np.ndarray
     offsets: np.ndarray
-    temper: float
+    slope: float = 1.0
+    shift: float = 0.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.difference(x) + self.shift)))
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """Log-density of class 1 less that of class 0, priors included, in tenths and between -50 and 50."""
         density = []
         for c in (0, 1):
             z = (x - self.means[c]) @ self.factors[c].T
             density.append(self.offsets[c] - 0.5 * np.einsum("ij,ij->i", z, z))
-        return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / self.temper, -500, 500)))
+        return np.round(np.clip(density[1] - density[0], -50, 50), 1)
 
 
-def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float = 0.1, ridge: float = 0.02, temper: float = 3.0) -> Model | None:
+def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float = 0.1, ridge: float = 0.02) -> Model | None:
     """From each class's count, sums and sums of products; None unless both classes have two rows.
 
     Covariance: (1 - shrink) own + shrink pooled, then (1 - ridge) of that + ridge times its mean variance times the identity.
@@ -85,7 +92,7 @@ def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float = 0.
         low = np.linalg.cholesky(v)
         factors.append(np.linalg.inv(low))
         offsets.append(np.log(n[c] / n.sum()) - np.log(np.diag(low)).sum())
-    return Model(means, np.array(factors), np.array(offsets), temper)
+    return Model(means, np.array(factors), np.array(offsets))
 
 
 def _rows(docs: DataFrame, key: str, text: str, by: int, out: int) -> tuple[DataFrame, list[str]]:
@@ -118,7 +125,18 @@ def _train(rows: DataFrame, names: list[str], labels: DataFrame, label: str, key
     squares = np.zeros((2, d, d))
     for k, (i, j) in enumerate(pairs):
         squares[:, i, j] = squares[:, j, i] = got[:, 1 + d + k]
-    return fit(got[:, 0], got[:, 1 : 1 + d], squares)
+    model = fit(got[:, 0], got[:, 1 : 1 + d], squares)
+    if model is None:
+        return None
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)])
+            yield pa.RecordBatch.from_arrays([pa.array(model.difference(x)), b.column(d), b.column(d + 1)], ["x", "n1", "n0"])
+
+    counts = train.select(*names, F.col("n1").cast("long"), F.col("n0").cast("long")).mapInArrow(compared, "x double, n1 long, n0 long")
+    counts = counts.groupBy("x").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toPandas()  # at most 1,001 rows
+    return replace(model, **dict(zip(("slope", "shift"), calibrate(*counts.to_numpy(float).T), strict=True)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", by: int = 4, out: int = 2, least: float = 0.7) -> DataFrame:
