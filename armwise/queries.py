@@ -1,10 +1,5 @@
-"""The registered queries of the engine's own operators, each with its DuckDB SQL."""
+"""The registered queries of the engine's own operators, each with its DuckDB SQL where SQL can say it."""
 
-from __future__ import annotations
+from armwise.plans.catalog import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
