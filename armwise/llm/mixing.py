@@ -202,5 +202,6 @@ def mixed(docs: DataFrame, key: str = "doc_id", broadcast_rows: int = 500_000, *
     """
     copies = written(mix(docs, key=key, **how).groupBy(F.col(key).alias("_k")).agg(F.max("copies").alias("_copies")).where("_copies > 0"), "copies")
     side = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
-    met = docs.join(side, docs[key].eqNullSafe(F.col("_k")))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    met = docs.join(side, docs[key].eqNullSafe(copies["_k"]))
+    rows = met.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.array_repeat(F.lit(1), copies["_copies"])).alias("copy"))
+    return rows.select("row.*")

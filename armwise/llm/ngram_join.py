@@ -164,76 +164,77 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
     return written(ordered.mapInArrow(prefixed, "node long, key long, n long, f1 long, f2 long, k int, tokens binary"), "shingles")
 
 
-class _Forest:
-    def __init__(self, labels: list[int]) -> None:
-        seen: dict[int, int] = {}
-        self.up = [seen.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that connect the members (node, n, k, tokens, label, asks) of a block; members that ask meet all the others.
+    """Edges that connect the linked members (node, n, k, tokens, label, asks) of a block; members that ask meet all the others.
 
     A group is the members of one size and prefix; lists hold groups by prefix token. A member whose lists hold nothing but
-    its own component is passed over; else its overlaps with the whole block are counted at once.
+    its own component is passed over. Else the groups on its lists are filtered by size, and the overlaps with their members
+    that are outside its component are counted.
     """
     num, den = share
     members = sorted(members, key=lambda m: (m[1], m[0]))
     sets = [np.frombuffer(m[3], "<u8") for m in members]
-    forest = _Forest([m[4] for m in members])
+    label = np.unique([m[4] for m in members], return_inverse=True)[1]
+    before = label.copy()
     n = np.array([m[1] for m in members], np.int64)
-    sizes = np.array([len(s) for s in sets])
-    words, place = np.unique(np.concatenate(sets), return_inverse=True)
-    first = np.append(0, np.cumsum(sizes))
-    groups: dict[tuple, list[int]] = {}
-    for i, m in enumerate(members):
-        groups.setdefault((m[1], place[first[i] : first[i] + m[2]].tobytes()), []).append(i)
+    first = np.append(0, np.cumsum([len(s) for s in sets]))
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    heads: dict[tuple, int] = {}
+    group = np.array([heads.setdefault((m[1], place[first[i] : first[i] + m[2]].tobytes()), len(heads)) for i, m in enumerate(members)])
+    size = np.zeros(len(heads), np.int64)
+    size[group] = n
+    prefixes = [np.frombuffer(prefix, place.dtype).tolist() for _, prefix in heads]
     lists: dict[int, list[int]] = {}
-    tokens_of = {}
-    for (_, prefix), own in groups.items():
-        tokens_of[own[0]] = np.frombuffer(prefix, place.dtype).tolist()
-        for t in tokens_of[own[0]]:
-            lists.setdefault(t, []).append(own[0])
-    of_group = {own[0]: own for own in groups.values()}
-    one: dict[int, int] = {}
-
-    def settled(t: int, root: int) -> bool:
-        if t in one:
-            return forest.root(one[t]) == root
-        roots = {forest.root(i) for g in lists[t] for i in of_group[g]}
-        if len(roots) == 1:
-            one[t] = next(iter(roots))
-        return roots == {root}
-
-    mark = np.zeros(len(words), np.int32)
-    found = []
-    for head, own in of_group.items():
-        for x in own:
-            if not members[x][5]:
-                continue
-            root = forest.root(x)
-            if all(settled(t, root) for t in tokens_of[head]):
-                continue
-            near = sorted({g for t in tokens_of[head] for g in lists[t]})
-            near = [g for g in near if num * max(n[g], n[x]) <= den * min(n[g], n[x])]  # the size filter of groups
-            others = [y for g in near for y in of_group[g] if forest.root(y) != root]
-            if not others:
-                continue
-            mark[place[first[x] : first[x + 1]]] = 1
-            for y in others:
-                if forest.root(y) == forest.root(x):
-                    continue
-                both = int(mark[place[first[y] : first[y + 1]]].sum())
-                if den * both >= num * int(n[x] + n[y] - both):
-                    found.append((members[x][0], members[y][0]))
-                    forest.up[forest.root(y)] = forest.root(x)
-            mark[place[first[x] : first[x + 1]]] = 0
-    return found
+    for g, prefix in enumerate(prefixes):
+        for t in prefix:
+            lists.setdefault(t, []).append(g)
+    on_list = {t: np.flatnonzero(np.isin(group, gs)) if len(gs) * 4 < len(members) else np.flatnonzero(_flags(gs, len(heads))[group]) for t, gs in lists.items()}
+    settled: dict[int, int] = {}  # lists within one component, which only grow together
+
+    def open_list(t: int, x: int) -> bool:
+        if t in settled:
+            return label[settled[t]] != label[x]
+        own = label[on_list[t]]
+        if (own == own[0]).all():
+            settled[t] = int(on_list[t][0])
+        return bool((own != label[x]).any())
+
+    mark = np.zeros(int(place.max()) + 1, np.int64)
+    for x in range(len(members)):
+        if not members[x][5]:
+            continue
+        wide = [t for t in prefixes[group[x]] if open_list(t, x)]
+        if not wide:
+            continue
+        near = np.zeros(len(heads), bool)
+        for t in wide:
+            near[lists[t]] = True
+        near &= num * np.maximum(size, n[x]) <= den * np.minimum(size, n[x])
+        others = np.flatnonzero(near[group] & (label != label[x]))
+        if not len(others):
+            continue
+        own = place[first[x] : first[x + 1]]
+        mark[own] = 1
+        if len(others) * 4 > len(members):
+            both = np.add.reduceat(mark[place], first[:-1])[others]
+        else:
+            both = np.array([mark[place[first[y] : first[y + 1]]].sum() for y in others.tolist()])
+        mark[own] = 0
+        for r in np.unique(label[others[den * both >= num * (n[x] + n[others] - both)]]).tolist():
+            label[label == r] = label[x]
+    nodes = np.array([m[0] for m in members], np.int64)
+    edges = []
+    for r in np.unique(label[label != before]).tolist():  # stars around the smallest node, an edge a former label
+        one = np.flatnonzero(label == r)
+        one = one[np.unique(before[one], return_index=True)[1]]
+        edges += [(u, int(nodes[one].min())) for u in nodes[one].tolist() if u != nodes[one].min()]
+    return edges
+
+
+def _flags(at_: list[int], n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at_] = True
+    return out
 
 
 def _verify(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -336,12 +337,11 @@ def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast
     def side(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
 
-    rest = docs.join(side(out), docs[key] == F.col("_k"), "left_anti")
+    rest = docs.join(side(out), docs[key] == out["_k"], "left_anti")
     if not twice.limit(1).count():
         return rest
-    twice = side(twice)
-    once = rest.join(twice, rest[key] == F.col("_k"), "left_semi").dropDuplicates([key])
-    return rest.join(twice, rest[key] == F.col("_k"), "left_anti").unionByName(once)
+    once = rest.join(side(twice), rest[key] == twice["_k"], "left_semi").dropDuplicates([key])
+    return rest.join(side(twice), rest[key] == twice["_k"], "left_anti").unionByName(once)
 
 
 def join_sql() -> str:
