@@ -135,10 +135,11 @@ class Codec:
         self.unlike: set[int] = set()
 
     def _other(self, new: list[str]) -> list[list[int]]:
-        """What sentencepiece makes of segments: the dummy prefix is theirs if they start with a marker, else they follow a line end."""
-        texts = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in new]
+        """What sentencepiece makes of segments: the dummy prefix is theirs if they start with a marker and go on, else they follow a line end."""
+        own = [s[0] == MARK and len(s) > 1 for s in new]
+        texts = [s[1:].replace(MARK, " ") if x else "\n" + s.replace(MARK, " ") for s, x in zip(new, own, strict=True)]
         skip = len(self.other.encode("\n"))
-        return [ids if s[0] == MARK else ids[skip:] for s, ids in zip(new, self.other.encode(texts, num_threads=1), strict=True)]
+        return [ids if x else ids[skip:] for x, ids in zip(own, self.other.encode(texts, num_threads=1), strict=True)]
 
     def _learn(self, new: list[str]) -> None:
         got = [e.ids for e in self.parts.encode_batch_fast(new, add_special_tokens=False)]
