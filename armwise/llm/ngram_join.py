@@ -248,7 +248,7 @@ def _verify(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "asks").repartition(4 * parts, "block").sortWithinPartitions("block")
+    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "asks").repartition(parts, "block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -270,8 +270,8 @@ def _links(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     tokens = written(heads.where("node = head").select("node", "prefix").mapInArrow(_exploded, "node long, token long"), "prefixes")
     meet = tokens.groupBy("token").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = tokens.join(meet, "token").select(F.col("node").alias("u"), "v").unionByName(heads.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    group = components(near.where("u <> v").distinct(), "candidates")
-    sized = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    group = written(components(near, "candidates"), "candidates")
+    sized = written(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "sizes")
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     near = looked_up(group, sized, "component", "members").withColumn("parts", blocks)
     near = near.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
