@@ -48,7 +48,7 @@ gold AS (SELECT user_id, gold FROM (SELECT user_id, g AS gold, row_number() OVER
 ans AS (SELECT a.*, g.gold, a.pred = g.gold AS correct, a.user_id % 20 AS cluster FROM arms a JOIN gold g USING (user_id)),
 pairs AS (SELECT a.user_id, a.arm, a.pred, a.gold, a.cluster, r.pred AS ref_pred FROM ans a JOIN ans r ON a.user_id = r.user_id AND r.arm = 'view' WHERE a.arm <> 'view')"""
 PICK = "('0x' || substr(md5({}), 1, 12))::BIGINT"
-TERMS = """terms AS (SELECT DISTINCT user_id, event_type AS arm, unnest([('t' || (CAST(floor(value) AS BIGINT) % 7)), 'g' || (event_id % 3)]) AS term FROM events WHERE event_id % 5 < 2),
+TERMS = """terms AS (SELECT DISTINCT user_id, event_type AS arm, unnest([('t' || (CAST(floor(value) AS BIGINT) % 7)), 'g' || (event_id % 3)]) AS term FROM events),
 sets AS (SELECT user_id, arm, list_sort(list(term)) AS terms FROM terms GROUP BY 1, 2)"""
 EDGES = """edges AS (SELECT DISTINCT p_name AS child, unnest(['a:' || split_part(p_name, ' ', 1), 'n:' || split_part(p_name, ' ', 2)]) AS parent FROM part
  UNION SELECT DISTINCT 'a:' || split_part(p_name, ' ', 1), 'root' FROM part UNION SELECT DISTINCT 'n:' || split_part(p_name, ' ', 2), 'root' FROM part),
@@ -74,7 +74,7 @@ def arm_pairs(t: Tables) -> DataFrame:
 
 
 def term_rows(t: Tables) -> DataFrame:
-    e = t("events").where(F.col("event_id") % 5 < 2)
+    e = t("events")
     both = F.array(F.concat(F.lit("t"), (F.floor("value").cast("long") % 7).cast("string")), F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string")))
     return e.select("user_id", F.col("event_type").alias("arm"), F.explode(both).alias("term")).distinct()
 
@@ -219,11 +219,11 @@ def agg19_balanced_accuracy(t):
     return M.balanced_accuracy(answers(t), ["arm"], "gold", "pred").select("arm", F.floor(F.col("balanced_accuracy") * 1e9).cast("long").alias("balanced_e9"))
 
 
-ANNOTATED = "ann AS (SELECT DISTINCT l_orderkey AS entity, ancestor AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN closed ON term = p_name WHERE l_orderkey % 3 = 0)"
+ANNOTATED = "ann AS (SELECT DISTINCT l_orderkey AS entity, ancestor AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN closed ON term = p_name)"
 
 
 def annotations(t: Tables) -> DataFrame:
-    rows = t("lineitem").where("l_orderkey % 3 = 0").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entity"), F.col("p_name").alias("term"))
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entity"), F.col("p_name").alias("term"))
     return O.propagated(rows, O.closure(edges(t)), ["entity"])
 
 
@@ -462,9 +462,9 @@ def set5_conditions_seen(t):
     return seen.join(want, "c", "full").select("c", F.when(F.col("w").isNull(), "unexpected").when(F.col("s").isNull(), "missing").otherwise("seen").alias("state"))
 
 
-@query("WITH s AS (SELECT o_orderstatus AS arm, list_sort(list(DISTINCT o_custkey % 40)) AS l FROM orders WHERE o_custkey % 40 < 5 + o_orderkey % 2 GROUP BY 1) SELECT md5(array_to_string(l, ',')) AS coverage, list_sort(list(arm)) AS arms, len(l)::INT AS entities FROM s GROUP BY l")
+@query("WITH s AS (SELECT o_orderstatus AS arm, list_sort(list(DISTINCT o_custkey)) AS l FROM orders GROUP BY 1) SELECT md5(array_to_string(l, ',')) AS coverage, list_sort(list(arm)) AS arms, len(l)::INT AS entities FROM s GROUP BY l")
 def set6_coverage_groups(t):
-    rows = t("orders").where("o_custkey % 40 < 5 + o_orderkey % 2").select(F.col("o_orderstatus").alias("arm"), (F.col("o_custkey") % 40).alias("e"))
+    rows = t("orders").select(F.col("o_orderstatus").alias("arm"), F.col("o_custkey").alias("e"))
     return M.coverage_groups(rows, "arm", "e")
 
 
@@ -479,10 +479,10 @@ def jn2_left_missing(t):
     return P.with_missing(t("documents").select("doc_id"), t("labels").select("doc_id", "quality"), ["doc_id"], "quality")
 
 
-@query("""WITH r AS (SELECT DISTINCT c_nationkey AS w, o_custkey AS k, o_orderpriority AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 4 = 0)
+@query("""WITH r AS (SELECT DISTINCT c_nationkey AS w, o_custkey AS k, o_orderpriority AS m FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT x.w, x.k AS a, y.k AS b, count(*) AS shared FROM r x JOIN r y ON x.w = y.w AND x.m = y.m AND x.k < y.k GROUP BY ALL""")
 def jn6_shared_members(t):
-    r = t("orders").where("o_custkey % 4 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("w"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("m"))
+    r = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("w"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("m"))
     return P.shared_member_pairs(r, "w", "k", "m")
 
 
@@ -591,11 +591,10 @@ def txt2_label_mapping(t):
     return T.mapped_labels(rows, labels, "key", F.col("text"))
 
 
-@query(f"WITH b AS (SELECT {NORMAL.format('text')} AS g FROM benchmark WHERE item_id < 5) SELECT doc_id, bool_or(contains({NORMAL.format('d.text')}, g)) AS named FROM documents d, b GROUP BY 1")
+@query(f"SELECT doc_id, coalesce(contains({NORMAL.format('d.text')}, {NORMAL.format('b.text')}), false) AS named FROM documents d LEFT JOIN benchmark b ON item_id = doc_id")
 def txt4_gold_named(t):
-    b = t("benchmark").where("item_id < 5").select(F.col("text").alias("g"))
-    rows = t("documents").select("doc_id", "text").join(F.broadcast(b))  # five golds
-    return rows.groupBy("doc_id").agg(F.bool_or(F.contains(T.normalised_label(F.col("text")), T.normalised_label(F.col("g")))).alias("named"))
+    rows = t("documents").select("doc_id", "text").join(t("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("g")), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.contains(T.normalised_label(F.col("text")), T.normalised_label(F.col("g"))) & F.col("g").isNotNull(), F.lit(False)).alias("named"))
 
 
 @query("SELECT page_id, list_distinct(regexp_extract_all(html, 'class=\"[a-z]+\"')) IS NOT NULL AS any, len(list_distinct(regexp_extract_all(html, '<[a-z0-9]+')))::INT AS tags FROM pages")
@@ -788,6 +787,39 @@ def dfl3_once_each(t):
     return P.once_each(t("documents").select("doc_id", "text"), "text", lambda u: u.withColumn("n", F.length("text").cast("long"))).select("doc_id", "n")
 
 
+@query("SELECT c_custkey, 100.0::DOUBLE * hamming(c_name, reverse(c_name)) / length(c_name) AS changed FROM customer")
+def seq8_percent_changed(t):
+    return t("customer").select("c_custkey", S.percent_changed(F.col("c_name"), F.reverse("c_name")).alias("changed"))
+
+
+@query(f"""WITH {TERMS}, p AS (SELECT a.user_id, b.arm, a.terms AS x, b.terms AS y, len(list_intersect(a.terms, b.terms)) AS k FROM sets a JOIN sets b ON a.user_id = b.user_id WHERE a.arm = 'view' AND b.arm <> 'view')
+SELECT user_id, arm, 1.0::DOUBLE - k / (len(x) + len(y) - k)::DOUBLE AS distance, k / len(x)::DOUBLE AS retention, x = y AS same FROM p""")
+def set2_distance_and_retention(t):
+    s = term_sets(t)
+    a, b = s.where("arm = 'view'").select("user_id", F.col("terms").alias("x")), s.where("arm <> 'view'").select("user_id", "arm", F.col("terms").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return a.join(b, "user_id").select("user_id", "arm", A.jaccard_distance(x, y).alias("distance"), A.retention(x, y).alias("retention"), A.same_set(x, y).alias("same"))
+
+
+@query("SELECT p_brand, min(p_size) AS least, quantile_cont(p_size, 0.25) AS q25, quantile_cont(p_size, 0.5) AS median, quantile_cont(p_size, 0.75) AS q75, max(p_size) AS most FROM part GROUP BY 1")
+def agg35_summaries(t):
+    quartiles = [F.percentile("p_size", F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]
+    return t("part").groupBy("p_brand").agg(F.min("p_size").alias("least"), *quartiles, F.max("p_size").alias("most"))
+
+
+@query(f"WITH {EDGES} SELECT ancestor, count(DISTINCT term) AS descendants FROM closed GROUP BY 1")
+def dag2_descendants(t):
+    return O.closure(edges(t)).groupBy("ancestor").agg(F.count_distinct("term").alias("descendants"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS s FROM conversations),
+w AS (SELECT *, regexp_extract(lower(substr(s, 1, 24)), '^[^a-z]*([a-z]+)', 1) AS w, lower(substr(s, 1, 60)) AS more FROM c)
+SELECT conv_id, turn, role, CASE WHEN w IN ('yes', 'no') THEN w WHEN regexp_matches(more, '\\b(no|not|unlikely|absent|negative|false)\\b') THEN 'no'
+ WHEN regexp_matches(more, '\\b(yes|likely|present|positive|true)\\b') THEN 'yes' ELSE '' END AS answer, split_part(s, chr(10), 1) AS line FROM w""")
+def txt7_yes_no(t):
+    return t("conversations").select("conv_id", "turn", "role", T.yes_no(F.col("text")).alias("answer"), F.coalesce(T.first_line(F.col("text")), F.lit("")).alias("line"))
+
+
 # Without SQL: sequential matching and fits; the tests hold them against plain versions.
 @query()
 def jn11_greedy_nearest(t):
