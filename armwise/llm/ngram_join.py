@@ -165,17 +165,21 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
 
 
 def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Edges that connect the linked members (node, n, k, tokens, label, asks) of a block; members that ask meet all the others.
+    """Edges that connect the linked members (node, n, k, tokens, label, side) of a block; where it has two sides, only members of different ones meet.
 
-    A group is the members of one size and prefix; lists hold groups by prefix token. A member whose lists hold nothing but
-    its own component is passed over. Else the groups on its lists are filtered by size, and the overlaps with their members
-    that are outside its component are counted.
+    A group is the members of one size and prefix; lists hold groups by prefix token. Members outside the most frequent label
+    meet all others, which leaves out no pair of two labels. A member whose lists hold nothing but its own component is
+    passed over. Else the groups on its lists are filtered by size, and the overlaps with their members that are outside its
+    component are counted.
     """
     num, den = share
     members = sorted(members, key=lambda m: (m[1], m[0]))
     sets = [np.frombuffer(m[3], "<u8") for m in members]
     label = np.unique([m[4] for m in members], return_inverse=True)[1]
     before = label.copy()
+    main = int(np.bincount(label).argmax())
+    side = np.array([m[5] for m in members], np.int64)
+    cross = bool((side != side[0]).any())
     n = np.array([m[1] for m in members], np.int64)
     first = np.append(0, np.cumsum([len(s) for s in sets]))
     place = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -201,7 +205,7 @@ def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, i
 
     mark = np.zeros(int(place.max()) + 1, np.int64)
     for x in range(len(members)):
-        if not members[x][5]:
+        if before[x] == main:
             continue
         wide = [t for t in prefixes[group[x]] if open_list(t, x)]
         if not wide:
@@ -210,7 +214,8 @@ def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, i
         for t in wide:
             near[lists[t]] = True
         near &= num * np.maximum(size, n[x]) <= den * np.minimum(size, n[x])
-        others = np.flatnonzero(near[group] & (label != label[x]))
+        met = near[group] & (label != label[x])
+        others = np.flatnonzero(met & (side != side[x]) if cross else met)
         if not len(others):
             continue
         own = place[first[x] : first[x + 1]]
@@ -238,7 +243,7 @@ def _flags(at_: list[int], n: int) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Edges from blocks: rows of (block, node, n, k, tokens, label, asks)."""
+    """Edges from blocks: rows of (block, node, n, k, tokens, label, side)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in _grouped(batches, 0):
@@ -248,7 +253,7 @@ def _verify(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "asks").repartition(parts, "block").sortWithinPartitions("block")
+    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "side").repartition(parts, "block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -276,30 +281,61 @@ def _links(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     near = looked_up(group, sized, "component", "members").withColumn("parts", blocks)
     near = near.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     rows = written(classes.join(near, "node").withColumn("block", F.xxhash64("component", "part")), "members")
-    edges = written(_verify(rows.withColumns({"label": F.col("node"), "asks": F.lit(True)}), share), "links")
+    edges = written(_verify(rows.withColumns({"label": F.col("node"), "side": F.lit(0).cast("long")}), share), "links")
     large = rows.where("parts > 1")
     if not large.limit(1).count():
         return edges
 
-    # Candidates beyond one block: first some members of each block's large components meet, then every member outside the
-    # largest component meets all of the other blocks.
+    # Candidates beyond one block: first some members of each block's large components meet, by their smallest token, which
+    # similar sets share; then all members of different labels that share a prefix token.
     def labelled(edges: DataFrame) -> DataFrame:
         label = components(edges, "labels").select("node", F.col("component").alias("label"))
         return large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     now = written(labelled(edges), "round")
     some = now.groupBy("component", "part", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c >= 8")
-    some = some.select(F.explode(F.array("a", "b")).alias("node"))
-    asks = now.join(some, "node", "left_semi").withColumns({"block": F.xxhash64(F.lit("meet"), "component"), "asks": F.lit(True)})
-    edges = written(edges.unionByName(_verify(asks, share)), "links")
-    now = written(labelled(edges), "round")
-    most = now.groupBy("component", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("component").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"))
-    now = looked_up(now, most, "component", "all")
-    out = now.where("label <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    out = out.withColumns({"block": F.xxhash64("component", "part"), "asks": F.lit(True)})
-    home = now.withColumn("asks", F.lit(False)).join(out.select("block").distinct(), "block", "left_semi")
-    meet = home.join(out.select("block", "node"), ["block", "node"], "left_anti").unionByName(out)
-    return written(edges.unionByName(_verify(meet, share)), "links")
+    some = now.join(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    low = some.select("node", "tokens").mapInArrow(_lowest, "node long, low long")
+    some = some.select("node", "component", "label").join(low, "node").select(F.xxhash64(F.lit("meet"), "component", "low").alias("list"), "node", "label")
+    edges = written(edges.unionByName(_verify(_blocks(some, large, False), share)), "links")
+    return written(edges.unionByName(_verify(_blocks(_open_lists(labelled(edges), heads, tokens), large, True), share)), "links")
+
+
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(np.frombuffer(x.as_py(), "<i8").min()) for x in b.column(1)], pa.int64())], ["node", "low"])
+
+
+def _open_lists(now: DataFrame, heads: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Lists (list, node, label) that bring together every two members of now that share a prefix token and differ in label.
+
+    Members that share their prefix tokens with their own label alone are in none. A component's lists go by token, or are one
+    of all these members where that makes fewer rows, which holds for few members of long prefixes.
+    """
+    now = written(now.select("node", "component", "label").join(heads.select("node", "head"), "node"), "open")
+    span = written(now.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")), "spans")
+    of = tokens.withColumnRenamed("node", "head")
+    wide = of.join(span, "head").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    wide = written(of.join(wide, "token", "left_semi"), "wide")
+    mine = wide.groupBy("head").agg(F.count(F.lit(1)).alias("lists")).join(span.select("head", "held"), "head")
+    now = written(looked_up(now, mine, "head", "held"), "open")
+    cost = now.groupBy("component").agg(F.count(F.lit(1)).alias("all"), F.sum("lists").alias("rows"))
+    now = looked_up(now, cost, "component", "all").withColumn("apart", F.col("rows") <= F.col("all") * F.ceil(F.col("all") / BLOCK))
+    whole = now.where("not apart").select(F.xxhash64("component").alias("list"), "node", "label")
+    by_token = now.where("apart").select("head", "node", "label").join(wide, "head").select(F.xxhash64(F.lit("token"), "token").alias("list"), "node", "label")
+    return whole.unionByName(by_token)
+
+
+def _blocks(lists: DataFrame, members: DataFrame, pairs: bool) -> DataFrame:
+    """Rows for _verify of lists (list, node, label): a list in parts of BLOCK members; pairs: each two parts meet in a block of their own."""
+    lists = written(lists, "lists")
+    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = looked_up(lists, sizes, "list", "c").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("long"))
+    met = met.withColumn("side", F.pmod(F.xxhash64("list", "node"), F.col("parts")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if pairs else F.col("side"))
+    met = written(met.select("node", "label", "side", F.xxhash64("list", F.least("side", "other"), F.greatest("side", "other")).alias("block")), "blocks")
+    mixed = met.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("block")
+    return met.join(mixed, "block", "left_semi").join(members.select("node", "n", "k", "tokens"), "node")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:

@@ -115,3 +115,20 @@ def test_index_of_awkward_vectors(spark):
     assert all(by[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9))
     assert by[10] == (1, 10, True) and by[11] == (1, 10, False)
     assert embedding_dedup.near_duplicates(plain.empty(df)).count() == 0
+
+
+def test_blocks_of_unlinked_candidates_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    sizes, verify = [], ngram_join._verify
+
+    def watched(rows, share):
+        sizes.append(rows.groupBy("block").count().agg({"count": "max"}).first()[0] or 0)
+        return verify(rows, share)
+
+    monkeypatch.setattr(ngram_join, "_verify", watched)
+    rng = random.Random(3)
+    passages = [" ".join(f"p{i}w{j}" for j in range(9)) for i in range(12)]
+    texts = {i: " ".join(rng.choice(passages) for _ in range(rng.choice([3, 4, 5]))) for i in range(400)}  # candidates of many others, linked with few
+    got = result(ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert got == plain.joined(texts)
+    assert len(sizes) == 3 and max(sizes) <= 4 * 20  # two parts, each about BLOCK by hash
