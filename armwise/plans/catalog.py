@@ -597,6 +597,12 @@ def txt4_gold_named(t):
     return rows.select("doc_id", F.coalesce(F.contains(T.normalised_label(F.col("text")), T.normalised_label(F.col("g"))) & F.col("g").isNotNull(), F.lit(False)).alias("named"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {NORMAL.format('text')} AS n FROM documents), b AS (SELECT DISTINCT {NORMAL.format('text')} AS g FROM benchmark)
+SELECT doc_id, EXISTS (SELECT 1 FROM b WHERE g <> '' AND contains(d.n, g)) AS named FROM d""")
+def txt4_benchmark_named(t):
+    return T.naming_any(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("text").alias("item")), F.col("text"), F.col("item")).select("doc_id", "named")
+
+
 @query("SELECT page_id, list_distinct(regexp_extract_all(html, 'class=\"[a-z]+\"')) IS NOT NULL AS any, len(list_distinct(regexp_extract_all(html, '<[a-z0-9]+')))::INT AS tags FROM pages")
 def txt9_pattern_terms(t):
     return t("pages").select("page_id", T.term_ids(F.col("html"), 'class="[a-z]+"').isNotNull().alias("any"), F.size(T.term_ids(F.col("html"), "<[a-z0-9]+")).alias("tags"))

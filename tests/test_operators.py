@@ -218,3 +218,13 @@ def test_wilson(spark):
     low, high = A.wilson(F.col("k"), F.col("n"))
     r = spark.createDataFrame([(5, 10), (0, 0)], "k int, n int").select(low.alias("l"), high.alias("h")).collect()
     assert math.isclose(r[0].l, 0.2365895, abs_tol=1e-6) and math.isclose(r[0].h, 0.7634105, abs_tol=1e-6) and r[1].l is None
+
+
+def test_any_item_is_found_in_any_text(spark):
+    from armwise.plans import catalog
+
+    rows = spark.createDataFrame([(1, "So: The quick, brown fox jumps over!"), (2, "bequick brown fox jumps overly"), (3, "quick brown cat"), (4, None), (5, "a zebra-ish")], "k int, text string")
+    items = spark.createDataFrame([("Quick brown fox jumps over",), ("zebra",), ("?!",), (None,)], "item string")
+    got = {r.k: r.named for r in T.naming_any(rows, items, F.col("text"), F.col("item")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert catalog.QUERIES["txt4_benchmark_named"](spark, "/root/testdata/sf0.01").where("named").count() == 26  # FIXTURES section 3
