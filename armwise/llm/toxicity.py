@@ -4,7 +4,6 @@ language model of the corpus, and the restored text is scored by words and word
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -20,6 +19,9 @@ from armwise.llm.common import remainder, written
 #: Characters that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = ".-_*'~/"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: A longer run of '*' is a rule or a mark, and parts letters; in a shorter one each may stand for any letter.
+STARS = 3
 #: Log-probabilities of the channel: a letter written as another sign, a separator put in, a letter repeated, a space put between single letters or meant.
 STANDS, PARTS, REPEATS, JOINED, MEANT = np.log([0.3, 0.5, 0.2, 0.9, 0.1]).tolist()
 #: Labelled documents that a fit takes at most, features kept at most, and contexts that weigh as much as the prior.
@@ -69,11 +71,30 @@ def language_model(counts: np.ndarray, k: float = 5.0) -> np.ndarray:
     return np.log((n3 + k * p2) / (n3.sum(2, keepdims=True) + k))
 
 
+def _any_letter(states: dict, lm: np.ndarray) -> dict:
+    """The states after a star: a separator, or any letter by the best state before it, for all letters at once."""
+    after = {k: (score + PARTS, trail) for k, (score, trail) in states.items()}
+    table = np.full((N, N), -np.inf)
+    for k, (score, _) in states.items():
+        table[k] = score
+    reached = table[:, :, None] + lm[:, :, 1:27] + STANDS
+    best, which = reached.max(0), reached.argmax(0)
+    for b, c in zip(*np.nonzero(best > -np.inf), strict=True):
+        k = (int(b), int(c) + 1)
+        if k not in after or after[k][0] < best[b, c]:
+            after[k] = (float(best[b, c]), (states[int(which[b, c]), int(b)][1], LETTERS[c]))
+    return after
+
+
 def restore(token: str, lm: np.ndarray) -> str:
     """The likeliest writing of a token; blanks part single letters. States are the last two codes; time is linear in length."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
+    missing = "*" * (STARS + 1) not in token
     for ch in token:
+        if ch == "*" and missing:
+            states, last = _any_letter(states, lm), ch
+            continue
         steps: list[tuple[str, float]] = []
         if ch.isalpha():
             steps.append((ch, 0.0))
@@ -104,9 +125,6 @@ def restore(token: str, lm: np.ndarray) -> str:
     return "".join(reversed(parts))
 
 
-_ONES = re.compile(r"(?<![^\s])(?:[^\W_]|[0-9@$!|+(€])(?:[ ](?:[^\W_]|[0-9@$!|+(€])){2,}(?![^\s])")
-
-
 class Restorer:
     """Restores tokens, and remembers them."""
 
@@ -124,22 +142,34 @@ class Restorer:
 
 
 def suspects(data: np.ndarray, w: at.Words) -> np.ndarray:
-    """Of each word, whether it may be obfuscated: a sign for a letter before a letter or as a last digit, one letter three times, or letters parted by signs."""
+    """Of each word with a letter, whether it may be obfuscated: a sign for a letter anywhere, a star, a separator inside, or a doubled letter."""
     n = len(data)
     pad = np.zeros(n + 4, np.uint8)
     pad[:n] = at._LOWER[data]
     alpha, leet, sep = _ALPHA[pad], _LEET[pad], _SEP[pad]
-    digit = (pad >= 48) & (pad < 58)
     blank = at._IS_BLANK[pad]
     blank[n:] = True
-    # no pattern reaches across a blank, for none of its signs is one
-    odd = leet[:n] & (alpha[1 : n + 1] | leet[1 : n + 1] & alpha[2 : n + 2] | digit[:n] & blank[1 : n + 1])
-    odd |= alpha[:n] & (pad[:n] == pad[1 : n + 1]) & (pad[:n] == pad[2 : n + 2]) & (pad[:n] < 128)
-    odd |= alpha[:n] & sep[1 : n + 1] & alpha[2 : n + 2] & sep[3 : n + 3]
+    odd = leet[:n] | (pad[:n] == ord("*"))
+    odd |= (pad[:n] == 0xE2) & (pad[1 : n + 1] == 0x82) & (pad[2 : n + 2] == 0xAC)  # the euro sign
+    odd |= sep[:n] & np.append(False, ~blank[: n - 1])[:n] & ~blank[1 : n + 1]
+    odd |= alpha[:n] & (pad[:n] == pad[1 : n + 1]) & (pad[:n] < 128)
+    odd |= (pad[:n] >= 0xC0) & (pad[:n] == pad[2 : n + 2]) & (pad[1 : n + 1] == pad[3 : n + 3])
     some = at.counts_between(odd, w.starts, w.ends) > 0
     return some & (at.counts_between(alpha[:n], w.starts, w.ends) > 0)
 
 
+def runs(data: np.ndarray, w: at.Words, rows: np.ndarray, longest: int) -> list[tuple[int, int]]:
+    """Runs (from, to) of three words or more of one row, each of at most so many characters, with a letter or a sign for one."""
+    chars = at.counts_between((data & 0xC0) != 0x80, w.starts, w.ends)
+    fit = (chars <= longest) & (at.counts_between(_ALPHA[data] | _LEET[data], w.starts, w.ends) > 0)
+    new = np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+    before = np.append(False, fit[:-1])[: len(fit)]
+    opens = np.flatnonzero(fit & (new | ~before))
+    after, last = np.append(fit[1:], False)[: len(fit)], np.append(new[1:], True)[: len(fit)]
+    closes = np.flatnonzero(fit & (last | ~after)) + 1
+    return [(int(a), int(b)) for a, b in zip(opens, closes, strict=True) if b - a >= 3]
+
+
 @dataclass
 class Evidence:
     """For each word of a slice's restored text: its row, its features (whole word and stems, 0 where none) and its left neighbour."""
@@ -176,15 +206,13 @@ def evidence(column: pa.Array, restorer: Restorer) -> Iterator[Evidence]:
         left = np.append(np.zeros(1, np.uint64), f[:-1, 0])[: len(f)]
         left[w.first[:-1][w.first[:-1] < len(f)]] = 0
         again: list[tuple[int, bytes]] = []
-        for i in np.flatnonzero(suspects(s.data, w)):
-            token = s.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "replace").lower()
-            again += [(int(rows[i]), x) for x in restorer(token).encode().split()]
-        one = (w.ends - w.starts) == 1
-        runs = one.copy()
-        runs[2:] &= one[1:-1] & one[:-2]
-        for r in np.unique(rows[2:][runs[2:] & (rows[2:] == rows[:-2])]) if len(one) > 2 else ():
-            text = s.data[s.starts[r - s.lo] : s.ends[r - s.lo]].tobytes().decode("utf-8", "replace").lower()
-            again += [(int(r), x) for m in _ONES.finditer(text) for x in restorer(m.group()).encode().split()]
+        odd = np.flatnonzero(suspects(s.data, w))
+        _, first, place = np.unique(at.hash_spans(s.data, w.starts[odd], w.ends[odd]), return_index=True, return_inverse=True)
+        meant = [restorer(s.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "replace").lower()).encode().split() for i in odd[first]]
+        again += [(int(r), x) for r, k in zip(rows[odd], place, strict=True) for x in meant[k]]
+        for a, b in dict.fromkeys(runs(s.data, w, rows, 1) + runs(s.data, w, rows, 2)):
+            text = b" ".join(s.data[w.starts[i] : w.ends[i]].tobytes() for i in range(a, b)).decode("utf-8", "replace").lower()
+            again += [(int(rows[a]), x) for x in restorer(text).encode().split()]
         if again:
             joined = np.frombuffer(b" ".join(x for _, x in again), np.uint8)
             ends = np.cumsum([len(x) + 1 for _, x in again]) - 1

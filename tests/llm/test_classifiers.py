@@ -80,3 +80,17 @@ def test_character_counts_are_those_of_single_texts():
     texts = ["abc def", None, "", "x", "Ünï ☃"]
     one = sum(toxicity.trigrams(pa.array([t], pa.string())) for t in texts)
     assert (toxicity.trigrams(pa.array(texts, pa.string())) == one).all()
+
+
+def test_obfuscated_words_are_classified(spark):
+    rng = np.random.default_rng(2)
+    words = "people walking along the river said hello and went home under green trees with many friends".split()
+    rude = ["stupid", "idiot", "ass", "shit", "jerk"]
+    texts = [" ".join([*rng.choice(words, 12), *(rng.choice(rude, 2) if i % 5 == 1 else []), *rng.choice(words, 6)]) for i in range(400)]
+    forms = ["a$$", "shi+", "id-iot", "st*pid", "stupiid", "st up id", "s t  u p  i d", "s\nt\nu\np\ni\nd", "j€rk", "idi0t"]
+    asked = [f"people walking along {x} river trees" for x in forms]
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, x) for i, x in enumerate(asked)), (2000, "people walking along the river trees")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    assert {x: got[1000 + i] for i, x in enumerate(forms)} == dict.fromkeys(forms, 1)
+    assert got[2000] == 0
