@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: edges are contracted where they lie and where their larger node is dealt to."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from armwise.llm.common import written
 
-#: Edges that a task contracts at once.
-CHUNK = 1_000_000
+#: Edges that a task contracts at once; parents of parents that are broadcast at most (16 bytes each).
+CHUNK, BROADCAST_ROWS = 1_000_000, 200_000
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,52 +33,62 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
+def chunks(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[list[np.ndarray]]:
+    """The columns of a sorted partition in arrays of about CHUNK rows; whole: rows of one first value stay together."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            size += b.num_rows
+        if size < CHUNK:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if whole else size
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, size = ([[c[cut:] for c in columns]], size - cut) if cut < size else ([], 0)
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
-    def chunk() -> pa.RecordBatch:
-        u, v = stars(np.concatenate(us), np.concatenate(vs))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    for b in batches:
-        us.append(b.column(0).to_numpy())
-        vs.append(b.column(1).to_numpy())
-        if sum(map(len, us)) >= CHUNK:
-            yield chunk()
-            us, vs = [], []
-    if us:
-        yield chunk()
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for u, v in chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(u, v)], ["u", "v"])
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node has one parent at most and no parent has one: then the parents are the components."""
-    none = F.lit(None).cast("long")
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).unionByName(edges.select(F.col("v").alias("node"), none.alias("up")))
-    node = ends.groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"), F.count(F.lit(1)).alias("n"), F.count("up").alias("ups"))
-    return not node.where("least is not null and (least < most or n > ups)").limit(1).count()
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of the edges whose larger node u was dealt here; own: this is the only row of its u, which has no other parent."""
+    for mine, v in chunks(batches, whole=True):
+        a, b = stars(mine, v)
+        at = np.minimum(np.searchsorted(mine, a), len(mine) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(mine[at] == a)], ["u", "v", "own"])
 
 
-def components(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """node and component, the smallest node reachable, for every node of edges (u, v): longs, in either direction.
+def forest(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """node and component, the smallest node reachable, for every node of edges (u, v) that is not itself the smallest.
 
-    Edges are contracted to stars chunk by chunk where they lie, which shuffles nothing and shortens paths. A step groups by
-    node with a running minimum and joins it back; a node with very many neighbours is a skewed join, which adaptive execution
-    splits. Every step's edges are written, and steps end when all are stars.
+    edges are longs, in either direction. A step deals each edge to its larger node, of which the contraction before leaves a
+    row a chunk at most, and contracts what meets there: every node gets one parent of its own, and parents that met get edges.
+    Then an edge to a parent that has a parent moves up to it. Rows are never dealt by a parent, of which there can be a third
+    of all, but for a join against unique parents, broadcast while they are few, that adaptive execution can split. Steps end
+    when no parents met and none has a parent. Every step is written.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = edges.where("u <> v").select("u", "v").mapInArrow(_contracted, "u long, v long")
+    while True:
+        dealt = now.repartition(parts, "u").sortWithinPartitions("u")
+        step = written(dealt.mapInArrow(_owned, "u long, v long, own boolean"), name)
+        parent = step.where("own").select(F.col("u").alias("x"), F.col("v").alias("up"))
+        higher = written(step.select(F.col("v").alias("x")).distinct().join(parent, "x"), name)
+        n = higher.count()
+        if not n and not step.where("not own").limit(1).count():
+            return step.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        side = F.broadcast(higher) if n <= BROADCAST_ROWS else higher
+        now = step.join(side, F.col("v") == F.col("x"), "left").select("u", F.coalesce("up", "v").alias("v"))
 
-    def contracted(df: DataFrame) -> DataFrame:
-        return df.select("u", "v").mapInArrow(_contracted, "u long, v long")
-
-    now = written(contracted(edges.where("u <> v")), name)
-    while not _are_stars(now):
-        near = contracted(now)
-        both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = written(contracted(small.where("u <> v")), name)
-    both = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
-    return both.distinct()
+
+def components(edges: DataFrame, name: str = "edges") -> DataFrame:
+    """node and component, the smallest node reachable, for every node of edges (u, v): see forest."""
+    below = forest(edges, name)
+    return below.unionByName(below.select(F.col("component").alias("node"), "component").distinct())

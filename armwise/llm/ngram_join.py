@@ -1,12 +1,14 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Tokens of a document are its distinct 5-word shingles, ordered from rare to frequent. Two sets that overlap enough share a
-token of their prefixes, and a token of one document alone leads nowhere, so only prefix tokens of two documents or more
-count. Documents of equal sets are one class. Classes of one size and prefix form a group; groups that share a prefix token
-are candidates; pairs of groups are filtered by size, and members are verified where they are not connected already.
+Tokens of a document are its distinct 5-word shingles as 64-bit hashes, ordered from rare to frequent. Two sets that overlap
+enough share a token of their prefixes, and a token of one document alone leads nowhere, so only prefix tokens of two
+documents or more count. Documents of equal sets (two 64-bit sums over the set and its size) are one class. Classes that are
+connected over shared prefix tokens come together in blocks of bounded size. There, classes of one size and prefix form a
+group; groups that share a prefix token are filtered by size, and the members of the pairs that are left are verified where
+they are not connected already.
 
 Hashes travel packed: a map task writes, for each range of hashes, one row of sorted arrays, so that counting every token of
-the corpus shuffles six bytes a token, and the counts return only for tokens that repeat.
+the corpus shuffles ten bytes a token, and the counts return only for tokens that repeat.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armwise.llm import arrowtext as at
-from armwise.llm.common import looked_up, written
-from armwise.llm.graph import components
+from armwise.llm.common import written
+from armwise.llm.graph import BROADCAST_ROWS, chunks, forest, stars
 
-#: Tokens and documents of one packed chunk; documents of one verified block.
-CHUNK_TOKENS, CHUNK_DOCS, BLOCK = 3_000_000, 60_000, 2_000
+#: Tokens and documents of one packed chunk; documents of one verified block; members of a label that send two on to meet others.
+CHUNK_TOKENS, CHUNK_DOCS, BLOCK, MANY = 1_000_000, 60_000, 2_000, 8
 _PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary"
 
 
 def _row(bucket: int, chunk: int, kind: int, *parts: np.ndarray) -> tuple:
-    return (bucket, chunk, kind, *[p.tobytes() for p in parts])
+    return (bucket, chunk, kind, *[p.tobytes() for p in parts], *[None] * (3 - len(parts)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -47,24 +49,20 @@ def _pack(sets: list[np.ndarray], keys: list[int | None], chunk: int, buckets: i
     for i, s in enumerate(sets):
         if len(s):
             prints[i] = s.sum(), at.mix(s).sum()
-    short = flat >> at.U(16)
-    order = np.argsort(short, kind="stable")
-    short, doc = short[order], doc[order]
-    bounds = np.searchsorted(short, (np.arange(buckets + 1, dtype=np.float64) * (float(1 << 48) / buckets)).astype(np.uint64))
+    order = np.argsort(flat, kind="stable")
+    flat, doc = flat[order], doc[order]
+    bounds = np.searchsorted(flat, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64))
+    bounds = np.append(bounds, len(flat))
     rows = []
     for k in range(buckets):
-        a, b = bounds[k], bounds[k + 1] if k + 1 < buckets else len(short)
+        a, b = bounds[k], bounds[k + 1]
         if b > a:
-            rows.append(_row(k, chunk, 0, (short[a:b] >> at.U(32)).astype("<u2"), short[a:b].astype("<u4"), doc[a:b].astype("<u2")))
+            rows.append(_row(k, chunk, 0, flat[a:b].astype("<u8"), doc[a:b].astype("<u2")))
     ids = np.array([(0, 1) if k is None else (k, 0) for k in keys], "<i8").reshape(-1, 2)
     rows.append(_row(chunk % buckets, chunk, 1, ids, n.astype("<i8"), prints.astype("<u8")))
     yield _batch(rows)
 
 
-def _short(hi: bytes, lo: bytes) -> np.ndarray:
-    return (np.frombuffer(hi, "<u2").astype(np.uint64) << at.U(32)) | np.frombuffer(lo, "<u4")
-
-
 def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple]:
     """Consecutive rows of one value of column by, as tuples."""
     rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
@@ -105,8 +103,8 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
                 if r[2]:
                     meta.append(r)
                     continue
-                tokens.append(_short(r[3], r[4]))
-                docs_of.append(np.frombuffer(r[5], "<u2"))
+                tokens.append(np.frombuffer(r[3], "<u8"))
+                docs_of.append(np.frombuffer(r[4], "<u2"))
                 chunks.append(r[1])
             if meta:
                 yield _batch(meta)
@@ -164,13 +162,13 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
     return written(ordered.mapInArrow(prefixed, "node long, key long, n long, f1 long, f2 long, k int, tokens binary"), "shingles")
 
 
-def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Edges that connect the linked members (node, n, k, tokens, label, side) of a block; where it has two sides, only members of different ones meet.
+def _verified(members: list[tuple], share: tuple[int, int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Edges that connect the linked members (node, n, k, tokens, label, side) of a block, and two members of each large label with their smallest tokens.
 
-    A group is the members of one size and prefix; lists hold groups by prefix token. Members outside the most frequent label
-    meet all others, which leaves out no pair of two labels. A member whose lists hold nothing but its own component is
-    passed over. Else the groups on its lists are filtered by size, and the overlaps with their members that are outside its
-    component are counted.
+    Where members have two sides, only those of different sides meet. A group is the members of one size and prefix; lists hold
+    groups by prefix token. Members outside the most frequent label meet all others, which leaves out no pair of two labels. A
+    member whose lists hold nothing but its own component is passed over. Else the groups on its lists are filtered by size,
+    and the overlaps with their members that are outside its component are counted.
     """
     num, den = share
     members = sorted(members, key=lambda m: (m[1], m[0]))
@@ -233,7 +231,11 @@ def _verified(members: list[tuple], share: tuple[int, int]) -> list[tuple[int, i
         one = np.flatnonzero(label == r)
         one = one[np.unique(before[one], return_index=True)[1]]
         edges += [(u, int(nodes[one].min())) for u in nodes[one].tolist() if u != nodes[one].min()]
-    return edges
+    large = []
+    for r in np.flatnonzero(np.bincount(label) >= MANY).tolist():
+        own = np.flatnonzero(label == r)
+        large += [(int(nodes[i]), int(sets[i].view(np.int64).min())) for i in (own[nodes[own].argmin()], own[nodes[own].argmax()])]
+    return edges, large
 
 
 def _flags(at_: list[int], n: int) -> np.ndarray:
@@ -243,99 +245,146 @@ def _flags(at_: list[int], n: int) -> np.ndarray:
 
 
 def _verify(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Edges from blocks: rows of (block, node, n, k, tokens, label, side)."""
+    """u, v, kind from blocks, rows of (block, node, n, k, tokens, label, side, more): edges (0), and for blocks with more, members of large labels u and their smallest tokens v (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in _grouped(batches, 0):
-            edges = _verified([m[1:] for m in members], share)
-            if edges:
-                u, v = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            members = list(members)
+            edges, large = _verified([m[1:7] for m in members], share)
+            found = [(u, v, 0) for u, v in edges] + [(u, v, 1) for u, v in large if members[0][7]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["u", "v", "kind"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "side").repartition(parts, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "u long, v long")
+    dealt = rows.select("block", "node", "n", "k", "tokens", "label", "side", "more").repartition(parts, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "u long, v long, kind int")
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide(k: np.ndarray, data: pa.Array, *others: np.ndarray) -> list[np.ndarray]:
+    """The first k tokens of each row, and the other columns, a row a token."""
+    tokens = [np.frombuffer(x.as_py(), "<i8", n) for x, n in zip(data, k.tolist(), strict=True)]
+    return [np.concatenate(tokens) if tokens else np.zeros(0, np.int64), *[np.repeat(x, k) for x in others]]
+
+
+def _met(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token with its smallest node, and stars of the nodes that share tokens."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    first = np.append(True, token[1:] != token[:-1])[: len(token)]
+    least = node[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(token) else node
+    return token[first], node[first], *stars(node, least)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From node, k, tokens: prefix tokens with one node a chunk (token, node, true), and edges between nodes that share them (u, v, false)."""
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            tokens = [np.frombuffer(x.as_py(), "<i8") for x in part.column(1)]
-            node = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(tokens))], ["node", "token"])
+        for lo in range(0, b.num_rows, 2000):
+            part = b.slice(lo, 2000)
+            token, node, u, v = _met(*_wide(part.column(1).to_numpy(), part.column(2), part.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(token, u)), pa.array(np.append(node, v)), pa.array(np.arange(len(token) + len(u)) < len(token))], ["a", "b", "is_token"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between the nodes of rows (token, node) sorted by token."""
+    for token, node in chunks(batches, whole=True):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _met(token, node)[2:]], ["u", "v"])
 
 
 def _links(classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Edges that connect linked classes. classes: node, n, k, tokens; all of them have repeated prefix tokens."""
-    ends = F.col("k") * 8
-    heads = classes.select("node", "n", F.xxhash64("n", F.substring("tokens", F.lit(1), ends)).alias("group"), F.substring("tokens", F.lit(1), ends).alias("prefix"))
-    leader = heads.groupBy("n", "group").agg(F.min("node").alias("head"))
-    heads = written(heads.join(leader, ["n", "group"]).select("node", "head", "prefix"), "groups")
-    tokens = written(heads.where("node = head").select("node", "prefix").mapInArrow(_exploded, "node long, token long"), "prefixes")
-    meet = tokens.groupBy("token").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    near = tokens.join(meet, "token").select(F.col("node").alias("u"), "v").unionByName(heads.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    group = written(components(near, "candidates"), "candidates")
-    sized = written(group.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    near = looked_up(group, sized, "component", "members").withColumn("parts", blocks)
-    near = near.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    rows = written(classes.join(near, "node").withColumn("block", F.xxhash64("component", "part")), "members")
-    edges = written(_verify(rows.withColumns({"label": F.col("node"), "side": F.lit(0).cast("long")}), share), "links")
-    large = rows.where("parts > 1")
-    if not large.limit(1).count():
-        return edges
-
-    # Candidates beyond one block: first some members of each block's large components meet, by their smallest token, which
-    # similar sets share; then all members of different labels that share a prefix token.
-    def labelled(edges: DataFrame) -> DataFrame:
-        label = components(edges, "labels").select("node", F.col("component").alias("label"))
-        return large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    now = written(labelled(edges), "round")
-    some = now.groupBy("component", "part", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b")).where("c >= 8")
-    some = now.join(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    low = some.select("node", "tokens").mapInArrow(_lowest, "node long, low long")
-    some = some.select("node", "component", "label").join(low, "node").select(F.xxhash64(F.lit("meet"), "component", "low").alias("list"), "node", "label")
-    edges = written(edges.unionByName(_verify(_blocks(some, large, False), share)), "links")
-    return written(edges.unionByName(_verify(_blocks(_open_lists(labelled(edges), heads, tokens), large, True), share)), "links")
-
-
-def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = written(classes.select("node", "k", "tokens").mapInArrow(_listed, "a long, b long, is_token boolean"), "lists")
+    tokens = lists.where("is_token").select("a", "b").repartition(parts, "a").sortWithinPartitions("a")
+    near = tokens.mapInArrow(_meeting, "u long, v long").unionByName(lists.where("not is_token").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    near = forest(near, "candidates")
+    sizes = written(near.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("members")), "sizes")
+    placed = near.unionByName(sizes.select(F.col("component").alias("node"), "component"))
+    large = sizes.where(F.col("members") > BLOCK)
+    n = large.count()
+    placed = placed.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "component", "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("long"))
+    rows = classes.join(placed, "node").withColumn("block", F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    rows = rows.withColumns({"label": F.col("node"), "side": F.lit(0).cast("long"), "more": F.col("parts") > 1})
+    edges = written(_verify(rows, share), "links")
+    return _across(edges, written(rows.where("more").select("node", "n", "k", "tokens", "component"), "large"), share) if n else edges.select("u", "v")
+
+
+def _across(found: DataFrame, large: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Edges of found and those between members of large, components beyond one block, that lie in different blocks.
+
+    First some members of each block's large labels meet in lists by their smallest token, which similar sets share, over and
+    over while lists are longer than a block. Then all members of different labels that share a prefix token meet.
+    """
+    edges, more = found.where("kind = 0").select("u", "v"), found.where("kind = 1")
+    cut = True
+    while cut:
+        lists = more.select(F.col("v").alias("list"), F.col("u").alias("node")).distinct()
+        sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        some = lists.join(sizes, "list").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("long"))
+        some = some.select("node", (F.col("parts") > 1).alias("more"), F.xxhash64("list", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+        rows = some.join(large, "node").withColumns({"label": F.col("node"), "side": F.lit(0).cast("long")})
+        found = written(_verify(rows, share), "links")
+        edges, more = edges.unionByName(found.where("kind = 0").select("u", "v")), found.where("kind = 1")
+        cut = more.limit(1).count() > 0
+    now = large.join(forest(edges, "labels").select("node", F.col("component").alias("label")), "node", "left")
+    lists = written(_open_lists(now.withColumn("label", F.coalesce("label", "node"))), "open")
+    rows = _pairs(lists).join(large.select("node", "n", "k", "tokens"), "node").withColumn("more", F.lit(False))
+    return edges.unionByName(written(_verify(rows, share).select("u", "v"), "links"))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From k, tokens, label: prefix tokens with the smallest and largest label of some rows."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(np.frombuffer(x.as_py(), "<i8").min()) for x in b.column(1)], pa.int64())], ["node", "low"])
+        for lo in range(0, b.num_rows, 2000):
+            part = b.slice(lo, 2000)
+            token, label = _wide(part.column(0).to_numpy(), part.column(1), part.column(2).to_numpy())
+            order = np.lexsort((label, token))
+            token, label = token[order], label[order]
+            new = np.append(True, token[1:] != token[:-1])[: len(token)]
+            yield pa.RecordBatch.from_arrays([pa.array(token[new]), pa.array(label[new]), pa.array(label[np.append(new[1:], True)[: len(new)]])], ["token", "lo", "hi"])
 
 
-def _open_lists(now: DataFrame, heads: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Lists (list, node, label) that bring together every two members of now that share a prefix token and differ in label.
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From node, k, tokens, label, component: a row a prefix token."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
+            columns = _wide(part.column(1).to_numpy(), part.column(2), *[part.column(i).to_numpy() for i in (0, 3, 4)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "label", "component"])
+
 
-    Members that share their prefix tokens with their own label alone are in none. A component's lists go by token, or are one
-    of all these members where that makes fewer rows, which holds for few members of long prefixes.
+def _open_lists(now: DataFrame) -> DataFrame:
+    """Lists (list, node, label) that bring together every two rows of now that share a prefix token and differ in label.
+
+    A prefix token whose rows all have one label is in none. A component's lists go by token, or are one of all its rows on
+    open tokens where that makes fewer rows to verify, which holds for few members of long prefixes.
+    """
+    spans = now.select("k", "tokens", "label").mapInArrow(_spans, "token long, lo long, hi long")
+    wide = spans.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    wide = now.select("node", "k", "tokens", "label", "component").mapInArrow(_exploded, "token long, node long, label long, component long").join(wide, "token", "left_semi")
+    wide = written(wide, "wide")
+    each = wide.groupBy("component", "node", "label").agg(F.count(F.lit(1)).alias("lists"))
+    cost = each.groupBy("component").agg(F.count(F.lit(1)).alias("all"), F.sum("lists").alias("rows"))
+    cost = cost.select("component", (F.col("rows") <= F.col("all") * F.ceil(F.col("all") / BLOCK)).alias("apart"))
+    by_token = wide.join(cost.where("apart"), "component").select(F.xxhash64(F.lit("token"), "token").alias("list"), "node", "label")
+    return by_token.unionByName(each.join(cost.where("not apart"), "component").select(F.xxhash64("component").alias("list"), "node", "label"))
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """Blocks (block, node, label, side) in which every two members of a list (list, node, label) that differ in label meet.
+
+    A list that fits in a block is one. Else its most frequent label and the rest are each cut into parts, and each part of the
+    rest meets every part; parts of the most frequent label do not meet.
     """
-    now = written(now.select("node", "component", "label").join(heads.select("node", "head"), "node"), "open")
-    span = written(now.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")), "spans")
-    of = tokens.withColumnRenamed("node", "head")
-    wide = of.join(span, "head").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    wide = written(of.join(wide, "token", "left_semi"), "wide")
-    mine = wide.groupBy("head").agg(F.count(F.lit(1)).alias("lists")).join(span.select("head", "held"), "head")
-    now = written(looked_up(now, mine, "head", "held"), "open")
-    cost = now.groupBy("component").agg(F.count(F.lit(1)).alias("all"), F.sum("lists").alias("rows"))
-    now = looked_up(now, cost, "component", "all").withColumn("apart", F.col("rows") <= F.col("all") * F.ceil(F.col("all") / BLOCK))
-    whole = now.where("not apart").select(F.xxhash64("component").alias("list"), "node", "label")
-    by_token = now.where("apart").select("head", "node", "label").join(wide, "head").select(F.xxhash64(F.lit("token"), "token").alias("list"), "node", "label")
-    return whole.unionByName(by_token)
-
-
-def _blocks(lists: DataFrame, members: DataFrame, pairs: bool) -> DataFrame:
-    """Rows for _verify of lists (list, node, label): a list in parts of BLOCK members; pairs: each two parts meet in a block of their own."""
-    lists = written(lists, "lists")
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = looked_up(lists, sizes, "list", "c").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("long"))
-    met = met.withColumn("side", F.pmod(F.xxhash64("list", "node"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if pairs else F.col("side"))
-    met = written(met.select("node", "label", "side", F.xxhash64("list", F.least("side", "other"), F.greatest("side", "other")).alias("block")), "blocks")
-    mixed = met.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("block")
-    return met.join(mixed, "block", "left_semi").join(members.select("node", "n", "k", "tokens"), "node")
+    each = lists.groupBy("list", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = each.groupBy("list").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("every"), F.max("c").alias("most")).where("every > most")
+    met = lists.join(sizes, "list")
+    rest = F.ceil((F.col("every") - F.col("most")) / BLOCK).cast("long")
+    every = rest + F.ceil(F.col("most") / BLOCK).cast("long")
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("list", "node")
+    met = met.withColumn("side", F.when(F.col("every") <= BLOCK, 0).when(is_main, rest + F.pmod(h, every - rest)).otherwise(F.pmod(h, rest)).cast("long"))
+    last = F.when(F.col("every") <= BLOCK, 0).when(is_main, rest - 1).otherwise(every - 1).cast("long")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return met.select("node", "label", "side", F.xxhash64("list", F.least("side", "other"), F.greatest("side", "other")).alias("block"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -347,15 +396,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     are rows like others; texts of any length are whole sets; an empty table gives an empty one; other columns are not read.
     """
     table = token_table(docs, key, text, words, share)
-    sets = table.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("node").alias("class"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
-    sets = written(sets.withColumn("set", F.xxhash64("f1", "f2", "n")), "classes")
-    classes = table.where("k > 0").select("node", "n", "k", "tokens").join(sets.select(F.col("class").alias("node")), "node", "left_semi")
-    label = components(_links(written(classes, "candidates"), share), "components").withColumnRenamed("node", "class")
-    named = sets.select("set", "class", "least", "copies").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    best = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    named = written(looked_up(named, best, "component", "classes").select("set", "component_id", "copies"), "names")
-    rows = table.select("key", "n", F.xxhash64("f1", "f2", "n").alias("set"))
-    done = looked_up(rows.where("n > 0"), named, "set", "copies").select("key", "n", "component_id")
+    same = ["f1", "f2", "n"]
+    sets = table.where("n > 0").groupBy(*same).agg(F.min("node").alias("node"), F.min("key").alias("least"), F.min_by("k", "node").alias("k"), F.min_by("tokens", "node").alias("tokens"))
+    sets = written(sets, "classes")
+    label = forest(_links(sets.where("k > 0").select("node", "n", "k", "tokens"), share), "components")
+    named = sets.select(*same, "node", "least").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(best, "component").select(*same, "component_id")
+    rows = table.select("key", *same)
+    done = rows.where("n > 0").join(named, same).select("key", "n", "component_id")
     done = done.unionByName(rows.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
     return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
