@@ -164,14 +164,15 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", by: int = 4, out: int = 2, least: float = 0.7) -> DataFrame:
     """The rows of docs that score least or more, whole: a second pass measures again, so that no text is shuffled.
 
-    Cases as for classify; without a model every row stays.
+    That pass sends the text alone to Python and takes a flag back; the rows stay in the JVM. Cases as for classify; without
+    a model every row stays.
     """
     rows, names = _rows(docs, key, text, by, out)
     model = _train(rows, names, labels, label, key)
-    place = docs.columns.index(text)
+    if model is None:
+        return docs
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b if model is None else b.filter(pa.array(model.score(statistics(b.column(place))) >= least))
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(statistics(texts)) >= least)
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.where(F.arrow_udf(good, "boolean")(F.col(text)))
