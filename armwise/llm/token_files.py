@@ -8,128 +8,78 @@ Blocks are rows of Parquet tables, so that Spark's committer writes them and any
 from __future__ import annotations
 
 import json
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armwise.llm.common import scratch, written
+from armwise.llm.memo import Memo, slices
 
 #: Longest code in bits, and so the decoding table's size; tokens between checkpoints; tokens after which a block is full.
 LIMIT, STRIDE, FULL = 20, 256, 1 << 14
 MAGIC = b"HUF1"
-#: Texts' words whose ids a worker remembers.
-REMEMBERED = 1_500_000
 
 
 class WordEncoder:
-    """Ids of whole texts from the ids of their words between ASCII blanks, each made by the library once a worker.
+    """Ids of whole texts by the library, which gets each distinct word of a slice (what stands between ASCII blanks) once.
 
-    Right for tokenizers whose pre-tokenizer drops white space, so that no piece spans it. A word of printable Latin-1 goes
-    piece by piece to the library's model, where the file's normaliser (NFC, white space, lower case) and pre-tokenizer (a
-    pattern, then bytes as letters) are known to act on it by themselves; any other word goes through the whole pipeline.
+    Right for tokenizers whose pre-tokenizer drops white space, so that no piece spans it: words then encode apart as they do
+    together. Many words go to the library as one text, parted by a control sign of one id that none of them holds.
+    Ids must fit in 16 bits.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         with open(path) as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+            pre = json.load(f).get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers") or [pre]
         if not (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")):
             raise ValueError("this tokenizer's pieces may span white space")
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        norm = spec.get("normalizer") or {}
-        kinds = [x.get("type") for x in norm.get("normalizers", [])]
-        plain = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not spec["model"].get("dropout")
-        marks = [x["content"] for x in spec.get("added_tokens", [])]
-        self.direct = re.compile("[!-~\xa1-\xac\xae-\xff]+").fullmatch if plain else lambda word: None
-        self.marked = re.compile("|".join(map(re.escape, marks))).search if marks else lambda word: None
-        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall if plain else None
-        self.letters = _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, np.uint16)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = 0
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
-        return got
-
-    def _word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if self.direct(text) and not self.marked(text):
-            low = text.lower()
-            if low.isascii() and low.isalpha():
-                return self._piece(low)
-            return [i for p in self.split(low) for i in self._piece(p)]
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[bytes]) -> None:
-        got = list(map(self._word, new))
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.int64, int(lengths.sum()))
+        self.signs = {c: ids[0] for c in map(chr, range(1, 9)) if len(ids := self._ids([f" {c} "])[0]) == 1}
+        self.words = Memo(self._made)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        every = "".join(words)
+        sign = next((c for c in self.signs if c not in every), None)
+        if sign is None:
+            ids = self._ids(words)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        else:
+            ends = f" {sign} "
+            ids = np.fromiter(chain.from_iterable(self._ids([ends.join(words[i : i + 2000]) + ends for i in range(0, len(words), 2000)])), np.int32)
+            at = np.flatnonzero(ids == self.signs[sign])
+            flat, lengths = ids[ids != self.signs[sign]], np.diff(at, prepend=-1) - 1
         if len(flat) and flat.max() > 65535:
             raise ValueError("ids above 65535")
-        n = len(self.known)
-        while n + len(new) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        while self.size + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.size : self.size + len(flat)] = flat
-        self.first[n + 1 : n + 1 + len(new)] = self.size + np.cumsum(lengths)
-        self.size += len(flat)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """A text's ids and the end id."""
-        words: list[bytes] = []
-        counts = []
-        for t in texts:
-            own = t.split()
-            counts.append(len(own))
-            words += own
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing.tolist()))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new, missing = list(dict.fromkeys(words)), np.arange(len(words))
-            self._learn(new)
-            at[missing] = np.fromiter(map(self.known.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
-        begin = self.first[at]
-        n = self.first[at + 1] - begin
-        ends = np.cumsum(n)
-        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + n, n)]
-        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist()
-        end = np.array([end_id], np.uint16)
-        return [np.append(flat[a:b], end) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _byte_letters() -> list[str]:
-    """Byte-level tokenizers write printable bytes as themselves and the others, in order, as letters from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+        return flat, lengths
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, as 16-bit numbers, and where each text's ids end."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        ids, n = self.words(words.flatten())
+        ends = np.append(0, np.cumsum(n))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        per = np.diff(ends)
+        out = np.full(len(ids) + len(per), end_id, "<u2")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(per)), per)] = ids
+        return out, np.cumsum(per + 1)
 
 
 @lru_cache(maxsize=1)
@@ -202,7 +152,7 @@ def pack(keys: list[int | None], counts: list[int], ids: np.ndarray, book: Codeb
     at = starts >> 5
     words = np.bincount(at, (high >> np.uint64(32)).astype(np.float64), bits // 32 + 3)
     words += np.bincount(at + 1, (high & np.uint64(0xFFFFFFFF)).astype(np.float64), bits // 32 + 3)
-    marks = starts[::STRIDE].astype("<u4")
+    marks = starts[::STRIDE].astype("<u8")
     nulls = np.array([k is None for k in keys], np.uint8)
     head = struct.pack("<4sIII", MAGIC, len(keys), len(ids), len(marks))
     return b"".join([head, np.array([k or 0 for k in keys], "<i8").tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), marks.tobytes(), words.astype(">u4").tobytes()])
@@ -219,8 +169,8 @@ def unpack(blocks: list[bytes], book: Codebook, limit: int = LIMIT) -> Iterator[
         keys = np.frombuffer(b, "<i8", docs, at).tolist()
         nulls = np.frombuffer(b, np.uint8, docs, at + 8 * docs)
         counts = np.frombuffer(b, "<u4", docs, at + 9 * docs)
-        offsets = np.frombuffer(b, "<u4", marks, at + 13 * docs).astype(np.int64)
-        w = np.frombuffer(b, ">u4", offset=at + 13 * docs + 4 * marks).astype(np.uint64)
+        offsets = np.frombuffer(b, "<u8", marks, at + 13 * docs).astype(np.int64)
+        w = np.frombuffer(b, ">u4", offset=at + 13 * docs + 8 * marks).astype(np.uint64)
         heads.append(([None if x else k for k, x in zip(keys, nulls, strict=True)], counts, tokens, marks))
         cursors.append(offsets + 32 * base)
         words.append(w)
@@ -244,35 +194,37 @@ def unpack(blocks: list[bytes], book: Codebook, limit: int = LIMIT) -> Iterator[
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and the ids of the whole text with the end id, as little-endian 16-bit integers."""
+    return _encoded(docs, tokenizer, end_id, key, text).where("n is null").drop("n")
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
+    """key and ids of each text, and, where n is not null, how often the id key occurs in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(tokenizer)
+        total = np.zeros(1 << 16, np.int64)
+        names = ["key", "ids", "n"]
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                ids = e.encode([t or b"" for t in texts], end_id)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["key", "ids"])
+            for part in slices(b, 1):
+                ids, ends = e.encode(part.column(1), end_id)
+                total += np.bincount(ids, minlength=1 << 16)
+                offsets = np.append(0, 2 * ends).astype("<i4")
+                binary = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), binary, pa.nulls(len(ends), pa.int64())], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(total[at])], names)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, ids binary, n long")
 
 
 def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
     """Writes under path: blocks, in ascending order of key (nulls first), and codebook, the length of each id's code."""
     spark = docs.sparkSession
-    tokens = written(encode(docs, tokenizer, end_id, key, text), "ids")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), "<u2"), minlength=1 << 16)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
-
+    rows = written(_encoded(docs, tokenizer, end_id, key, text), "ids")
+    tokens = rows.where("n is null").drop("n")
     counts = np.zeros(1 << 16, np.int64)
-    for r in tokens.select("ids").mapInArrow(tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
-        counts[r.id] = r.n
+    for r in rows.where("n is not null").groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        counts[r.key] = r.n
     lengths = code_lengths(counts).tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
