@@ -1,4 +1,4 @@
-"""Connected components of an edge table: edges are contracted where they lie and where their larger node is dealt to."""
+"""Connected components of an edge table: edges are contracted where their larger node is dealt to."""
 
 from __future__ import annotations
 
@@ -52,11 +52,6 @@ def chunks(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[l
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for u, v in chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(u, v)], ["u", "v"])
-
-
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars of the edges whose larger node u was dealt here; own: this is the only row of its u, which has no other parent."""
     for mine, v in chunks(batches, whole=True):
@@ -68,14 +63,14 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def forest(edges: DataFrame, name: str = "edges") -> DataFrame:
     """node and component, the smallest node reachable, for every node of edges (u, v) that is not itself the smallest.
 
-    edges are longs, in either direction. A step deals each edge to its larger node, of which the contraction before leaves a
-    row a chunk at most, and contracts what meets there: every node gets one parent of its own, and parents that met get edges.
-    Then an edge to a parent that has a parent moves up to it. Rows are never dealt by a parent, of which there can be a third
+    edges are longs, in either direction; a task that makes them should contract them to stars first. A step deals each edge
+    to its larger node, which then has a row a task at most, and contracts what meets there: every node gets one parent of its
+    own, and parents that met get edges. Then an edge to a parent that has a parent moves up to it. Rows are never dealt by a parent, of which there can be a third
     of all, but for a join against unique parents, broadcast while they are few, that adaptive execution can split. Steps end
     when no parents met and none has a parent. Every step is written.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = edges.where("u <> v").select("u", "v").mapInArrow(_contracted, "u long, v long")
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         dealt = now.repartition(parts, "u").sortWithinPartitions("u")
         step = written(dealt.mapInArrow(_owned, "u long, v long, own boolean"), name)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a slice holds, unless a single text is longer; strings that a worker remembers.
-SLICE, REMEMBERED = 8 << 20, 200_000
+SLICE, REMEMBERED = 12 << 20, 400_000
 Ids = tuple[np.ndarray, np.ndarray]
 
 
@@ -27,7 +27,9 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of all items of spans, one span after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    out = np.arange(int(ends[-1]) if len(ends) else 0)
+    out += np.repeat(starts - ends + lengths, lengths)
+    return out
 
 
 class Memo:

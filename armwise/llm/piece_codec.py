@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armwise.llm.memo import slices
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 250_000
 
 
 @dataclass
@@ -112,7 +114,7 @@ def build(m: Model, normalise: bool = True):
 class Codec:
     """Encodes and decodes whole texts for one model file."""
 
-    def __init__(self, path: str, threads: int = 1) -> None:
+    def __init__(self, path: str, threads: int = 2) -> None:
         import sentencepiece
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true" if threads > 1 else "false", str(threads)
@@ -125,6 +127,10 @@ class Codec:
         self.cuts_at_line = m.byte_fallback and not any("\n" in p for p in texts)
         line = "\n" if self.cuts_at_line else ""
         self.segments = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")).findall
+        self.place = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
+        self.scores = {p: s for p, s, k in m.pieces if k in (NORMAL, USER)}
+        self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(m.pieces) if k == BYTE}
+        self.unknown = next((i for i, x in enumerate(m.pieces) if x[2] == UNKNOWN), 0)
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER) else b"" for p, _, k in m.pieces]
         self.forget()
 
@@ -141,13 +147,33 @@ class Codec:
         skip = len(self.other.encode("\n"))
         return [ids if x else ids[skip:] for x, ids in zip(own, self.other.encode(texts, num_threads=1), strict=True)]
 
+    def _leftmost(self, segment: str) -> tuple[list[int], bool]:
+        """The ids of a segment by merges of the best score, of equal ones the leftmost, and whether such a tie came up between different merges."""
+        parts, tied = list(segment), False
+        while True:
+            scores = [(self.scores.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+            best = max(scores, default=(-np.inf, 0))
+            if best[0] == -np.inf:
+                break
+            i = -best[1]
+            tied |= any(s == best[0] and parts[-j] + parts[1 - j] == parts[i] + parts[i + 1] and parts[-j] != parts[i] for s, j in scores) or sum(s == best[0] for s, _ in scores) > 1
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ids: list[int] = []
+        for p in parts:
+            ids += [self.place[p]] if p in self.place else [self.byte_ids[x] for x in p.encode()] if self.model.byte_fallback else [self.unknown]
+        return ids, tied
+
     def _learn(self, new: list[str]) -> None:
         got = [e.ids for e in self.parts.encode_batch_fast(new, add_special_tokens=False)]
         n = len(self.known)
         for i, (a, b) in enumerate(zip(got, self._other(new), strict=True)):
-            if a != b:  # a tie between merges of equal score, which sentencepiece breaks by place: its ids stand
+            if a == b:
+                continue
+            got[i], tied = self._leftmost(new[i])
+            if not tied:
+                raise ValueError(f"the rebuilt model gives {a} for {new[i]!r}, sentencepiece {b}")
+            if got[i] != b:
                 self.unlike.add(n + i)
-                got[i] = b
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((x for ids in got for x in ids), np.int32, int(lengths.sum()))
         while n + len(new) + 1 > len(self.first):
@@ -190,14 +216,15 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def codec(path: str, threads: int = 1) -> Codec:
+def codec(path: str, threads: int = 2) -> Codec:
     return Codec(path, threads)
 
 
-def encode(docs: DataFrame, model: str, threads: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, threads: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), parity with sentencepiece, round_trip.
 
-    Without parity, in segments that tie merges of one score (long runs of spaces), the ids are sentencepiece's.
+    The library orders merges by pieces; where merges of one score tie (long runs of one sign), ids come from the same scores
+    merged leftmost first. A segment that differs from sentencepiece's without such a tie raises; parity tells of the rest.
     round_trip: the ids decode to the text (a text's own U+2581 decodes to a space).
     Defined cases: null and empty texts have no ids and pass both checks; texts of any length are one row; repeated rows
     repeat; an empty table gives an empty one; other columns are not read. threads: of the library, for each task.
@@ -207,8 +234,7 @@ def encode(docs: DataFrame, model: str, threads: int = 1, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, threads)
         for b in batches:
-            for lo in range(0, b.num_rows, 250):
-                part = b.slice(lo, 250)
+            for part in slices(b, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 got = c.encode(texts)
                 ids = [x for x, _ in got]

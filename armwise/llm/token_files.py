@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armwise.llm.common import scratch, written
-from armwise.llm.memo import Memo, slices
+from armwise.llm.memo import Memo, slices, spread
 
 #: Longest code in bits, and so the decoding table's size; tokens between checkpoints; tokens after which a block is full.
 LIMIT, STRIDE, FULL = 20, 256, 1 << 14
@@ -34,7 +35,9 @@ class WordEncoder:
     """Ids of whole texts by the library, which gets each distinct word of a slice (what stands between ASCII blanks) once.
 
     Right for tokenizers whose pre-tokenizer drops white space, so that no piece spans it: words then encode apart as they do
-    together. Many words go to the library as one text, parted by a control sign of one id that none of them holds.
+    together. Words of Latin-1 letters alone are one piece each where the file's steps are NFC, white space and lower case, then
+    a pattern that keeps runs of letters, then bytes as letters: they go to the library's model. The others go through the
+    library's whole pipeline, many as one text, parted by a control sign of one id that none of them holds.
     Ids must fit in 16 bits.
     """
 
@@ -43,12 +46,17 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         with open(path) as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers") or [pre]
         if not (steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")):
             raise ValueError("this tokenizer's pieces may span white space")
         self.library = Tokenizer.from_file(path)
         self.signs = {c: ids[0] for c in map(chr, range(1, 9)) if len(ids := self._ids([f" {c} "])[0]) == 1}
+        norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        runs = norm == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and "|[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
+        self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch if runs and not spec["model"].get("dropout") else lambda word: None
+        self.bytes = str.maketrans(dict(enumerate(_byte_letters())))
         self.words = Memo(self._made)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -56,6 +64,25 @@ class WordEncoder:
 
     def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has."""
+        own = np.fromiter((w.isalpha() and self.letters(w) is not None for w in words), bool, len(words))
+        alone, rest = np.flatnonzero(own), np.flatnonzero(~own)
+        tokenize = self.library.model.tokenize
+        low = "\n".join([words[i] for i in alone.tolist()]).lower().encode().decode("latin-1").translate(self.bytes | {10: 10}).split("\n") if len(alone) else []
+        pieces = [[t.id for t in tokenize(w)] for w in low]
+        n1 = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat1 = np.fromiter(chain.from_iterable(pieces), np.int32, int(n1.sum()))
+        flat2, n2 = self._whole([words[i] for i in rest.tolist()])
+        lengths = np.empty(len(words), np.int64)
+        lengths[alone], lengths[rest] = n1, n2
+        starts = np.cumsum(lengths) - lengths
+        flat = np.empty(len(flat1) + len(flat2), np.int32)
+        flat[spread(starts[alone], n1)], flat[spread(starts[rest], n2)] = flat1, flat2
+        if len(flat) and flat.max() > 65535:
+            raise ValueError("ids above 65535")
+        return flat, lengths
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _made, through the library's whole pipeline."""
         every = "".join(words)
         sign = next((c for c in self.signs if c not in every), None)
         if sign is None:
@@ -67,8 +94,6 @@ class WordEncoder:
             ids = np.fromiter(chain.from_iterable(self._ids([ends.join(words[i : i + 2000]) + ends for i in range(0, len(words), 2000)])), np.int32)
             at = np.flatnonzero(ids == self.signs[sign])
             flat, lengths = ids[ids != self.signs[sign]], np.diff(at, prepend=-1) - 1
-        if len(flat) and flat.max() > 65535:
-            raise ValueError("ids above 65535")
         return flat, lengths
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +103,18 @@ class WordEncoder:
         ends = np.append(0, np.cumsum(n))[words.offsets.to_numpy() - words.offsets[0].as_py()]
         per = np.diff(ends)
         out = np.full(len(ids) + len(per), end_id, "<u2")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(per)), per)] = ids
-        return out, np.cumsum(per + 1)
+        stops = np.cumsum(per + 1)
+        own = np.ones(len(out), bool)
+        own[stops - 1] = False
+        out[own] = ids
+        return out, stops
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level tokenizers write printable bytes as themselves and the others, in order, as letters from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
 @lru_cache(maxsize=1)

@@ -94,3 +94,16 @@ def test_blocks_round_trip(docs):
     data = token_files.pack(keys, [len(d) for d in docs], flat, book)
     for got_keys, counts, ids in token_files.unpack([data, data], book):
         assert got_keys == keys and counts.tolist() == [len(d) for d in docs] and ids.tolist() == flat.tolist()
+
+
+_UNICODE = st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from("aAéÉßſİıΣς'’.,\x01\x02\x07 \t\n<|>０٣½ﬁ́­"), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), _UNICODE, st.sampled_from(["<|endoftext|>", "it's <|startoftext|>x", "ΑΣ ΑΣ.", "ÀÉÎ naïve", "\x01\x02\x03\x04\x05\x06\x07\x08"])), max_size=6))
+def test_words_apart_encode_as_whole_texts(library, texts):
+    import pyarrow as pa
+
+    ids, ends = token_files._encoder(vocabulary(WORDS)).encode(pa.array(texts, pa.string()), 2)
+    got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
