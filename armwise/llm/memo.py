@@ -14,12 +14,12 @@ SLICE, REMEMBERED = 12 << 20, 400_000
 Ids = tuple[np.ndarray, np.ndarray]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about SLICE bytes of one string column."""
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about limit bytes of one string column."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
 

@@ -25,8 +25,8 @@ from armwise.llm.memo import slices
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments whose ids a worker remembers.
-REMEMBERED = 250_000
+#: Segments whose ids a worker remembers; bytes of text that are cut into segments at once, unless one text is longer.
+REMEMBERED, SLICE = 250_000, 1 << 20
 
 
 @dataclass
@@ -120,11 +120,11 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true" if threads > 1 else "false", str(threads)
         with open(path, "rb") as f:
             self.model = m = parse(f.read())
-        self.whole, self.parts = build(m), build(m, normalise=False)
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = [p for p, _, k in m.pieces if k in (NORMAL, USER)]
         self.cuts_at_mark = m.escape and m.dummy_prefix and not m.charsmap and not m.one_space and not any(MARK in p.lstrip(MARK) for p in texts)
         self.cuts_at_line = m.byte_fallback and not any("\n" in p for p in texts)
+        self.library = build(m, normalise=not self.cuts_at_mark)
         line = "\n" if self.cuts_at_line else ""
         self.segments = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if line else "")).findall
         self.place = {p: i for i, (p, _, k) in enumerate(m.pieces) if k in (NORMAL, USER)}
@@ -164,7 +164,7 @@ class Codec:
         return ids, tied
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.parts.encode_batch_fast(new, add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
         n = len(self.known)
         for i, (a, b) in enumerate(zip(got, self._other(new), strict=True)):
             if a == b:
@@ -188,7 +188,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         """The ids of each text, and whether sentencepiece gives the same."""
         if not self.cuts_at_mark:
-            got, want = self.whole.encode_batch_fast(texts, add_special_tokens=False), self.other.encode(texts, num_threads=1)
+            got, want = self.library.encode_batch_fast(texts, add_special_tokens=False), self.other.encode(texts, num_threads=1)
             return [(np.array(a.ids, np.int32), a.ids == b) for a, b in zip(got, want, strict=True)]
         parts = [self.segments(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.known
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, threads)
         for b in batches:
-            for part in slices(b, 1):
+            for part in slices(b, 1, SLICE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 got = c.encode(texts)
                 ids = [x for x, _ in got]
