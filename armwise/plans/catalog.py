@@ -96,10 +96,10 @@ def agg1_arm_accuracy(t):
     return M.arm_accuracy(answers(t))
 
 
-@query(f"WITH {ARMS}, c AS (SELECT arm, cluster, avg(correct::INT) AS m FROM ans GROUP BY 1, 2) SELECT arm, count(*) AS clusters, CAST(floor(avg(m) * 1e9) AS BIGINT) AS mean_e9 FROM c GROUP BY arm")
+@query(f"WITH {ARMS}, c AS (SELECT arm, cluster, avg(correct::INT) AS m FROM ans GROUP BY 1, 2) SELECT arm, count(*) AS clusters, CAST(round(avg(m) * 1e9) AS BIGINT) AS mean_e9 FROM c GROUP BY arm")
 def agg2_cluster_mean(t):
     out = M.cluster_mean(answers(t).withColumn("c", F.col("correct").cast("int")), ["arm"], "cluster", "c")
-    return out.select("arm", "clusters", F.floor(F.col("mean") * 1e9).cast("long").alias("mean_e9"))
+    return out.select("arm", "clusters", F.round(F.col("mean") * 1e9).cast("long").alias("mean_e9"))
 
 
 @query("SELECT l_returnflag, sum((l_linestatus = 'F')::BIGINT)::BIGINT AS top, sum(l_quantity::BIGINT)::BIGINT AS base, sum((l_linestatus = 'F')::BIGINT)::BIGINT / greatest(sum(l_quantity::BIGINT)::DOUBLE, 1e-12) AS ratio FROM lineitem GROUP BY 1")
@@ -192,18 +192,18 @@ def agg15_confusion(t):
 
 
 @query(f"""WITH {ARMS}, s AS (SELECT arm, gold AS l, 1 AS g, 0 AS p, (pred = gold)::INT AS h FROM ans UNION ALL SELECT arm, pred, 0, 1, 0 FROM ans),
-l AS (SELECT arm, l, sum(g) AS g, sum(p) AS p, sum(h) AS h FROM s GROUP BY 1, 2) SELECT arm, count(*) AS labels, CAST(floor(avg(2 * h / (g + p)::DOUBLE) * 1e9) AS BIGINT) AS macro_f1_e9 FROM l GROUP BY arm""")
+l AS (SELECT arm, l, sum(g) AS g, sum(p) AS p, sum(h) AS h FROM s GROUP BY 1, 2) SELECT arm, count(*) AS labels, CAST(round(avg(2 * h / (g + p)::DOUBLE) * 1e9) AS BIGINT) AS macro_f1_e9 FROM l GROUP BY arm""")
 def agg16_macro_f1(t):
-    return M.macro_f1(answers(t), ["arm"], "gold", "pred").select("arm", "labels", F.floor(F.col("macro_f1") * 1e9).cast("long").alias("macro_f1_e9"))
+    return M.macro_f1(answers(t), ["arm"], "gold", "pred").select("arm", "labels", F.round(F.col("macro_f1") * 1e9).cast("long").alias("macro_f1_e9"))
 
 
 RANKED = "x AS (SELECT l_returnflag AS g, l_quantity::BIGINT AS s, l_linestatus = 'F' AS p FROM lineitem), t AS (SELECT g, s, count(*) AS n, sum(p::INT) AS k FROM x GROUP BY 1, 2)"
 
 
-@query(f"WITH {RANKED}, c AS (SELECT *, sum(n) OVER w AS cn, sum(k) OVER w AS ck FROM t WINDOW w AS (PARTITION BY g ORDER BY s DESC)) SELECT g, sum(k)::BIGINT AS positives, CAST(floor(sum(k * ck / cn::DOUBLE) / sum(k) * 1e9) AS BIGINT) AS ap_e9 FROM c GROUP BY g HAVING sum(k) > 0")
+@query(f"WITH {RANKED}, c AS (SELECT *, sum(n) OVER w AS cn, sum(k) OVER w AS ck FROM t WINDOW w AS (PARTITION BY g ORDER BY s DESC)) SELECT g, sum(k)::BIGINT AS positives, CAST(round(sum(k * ck / cn::DOUBLE) / sum(k) * 1e9) AS BIGINT) AS ap_e9 FROM c GROUP BY g HAVING sum(k) > 0")
 def agg17_average_precision(t):
     x = t("lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("long").alias("s"), (F.col("l_linestatus") == "F").alias("p"))
-    return M.average_precision(x, ["g"], "s", "p").select("g", "positives", F.floor(F.col("average_precision") * 1e9).cast("long").alias("ap_e9"))
+    return M.average_precision(x, ["g"], "s", "p").select("g", "positives", F.round(F.col("average_precision") * 1e9).cast("long").alias("ap_e9"))
 
 
 @query(f"""WITH {RANKED}, c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t),
@@ -214,9 +214,9 @@ def agg18_within_group_auroc(t):
     return M.auroc(x, ["g"], "s", "p")
 
 
-@query(f"WITH {ARMS}, c AS (SELECT arm, gold, sum(correct::INT) / count(*)::DOUBLE AS r FROM ans GROUP BY 1, 2) SELECT arm, CAST(floor(avg(r) * 1e9) AS BIGINT) AS balanced_e9 FROM c GROUP BY arm")
+@query(f"WITH {ARMS}, c AS (SELECT arm, gold, sum(correct::INT) / count(*)::DOUBLE AS r FROM ans GROUP BY 1, 2) SELECT arm, CAST(round(avg(r) * 1e9) AS BIGINT) AS balanced_e9 FROM c GROUP BY arm")
 def agg19_balanced_accuracy(t):
-    return M.balanced_accuracy(answers(t), ["arm"], "gold", "pred").select("arm", F.floor(F.col("balanced_accuracy") * 1e9).cast("long").alias("balanced_e9"))
+    return M.balanced_accuracy(answers(t), ["arm"], "gold", "pred").select("arm", F.round(F.col("balanced_accuracy") * 1e9).cast("long").alias("balanced_e9"))
 
 
 ANNOTATED = "ann AS (SELECT DISTINCT l_orderkey AS entity, ancestor AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN closed ON term = p_name)"
@@ -231,24 +231,24 @@ def annotations(t: Tables) -> DataFrame:
 g AS (SELECT DISTINCT aspect, e, term FROM x WHERE arm <> 'R'), s AS (SELECT arm, aspect, e, term FROM x), k AS (SELECT DISTINCT arm FROM s),
 gn AS (SELECT aspect, e, count(*) AS g FROM g GROUP BY 1, 2), pn AS (SELECT arm, aspect, e, count(*) AS p FROM s GROUP BY 1, 2), tn AS (SELECT arm, aspect, e, count(*) AS tp FROM s JOIN g USING (aspect, e, term) GROUP BY 1, 2, 3),
 r AS (SELECT k.arm, gn.aspect, gn.e, g, coalesce(p, 0) AS p, coalesce(tp, 0) AS tp FROM gn CROSS JOIN k LEFT JOIN (SELECT arm, aspect, e, count(*) AS p FROM s GROUP BY 1, 2, 3) pn ON pn.arm = k.arm AND pn.aspect = gn.aspect AND pn.e = gn.e LEFT JOIN tn ON tn.arm = k.arm AND tn.aspect = gn.aspect AND tn.e = gn.e)
-SELECT arm, aspect, count(*) AS entities, sum((p > 0)::INT)::BIGINT AS predicting, CAST(floor(avg(CASE WHEN p > 0 THEN tp / p::DOUBLE END) * 1e8) AS BIGINT) AS precision_e8, CAST(floor(avg(tp / g::DOUBLE) * 1e8) AS BIGINT) AS recall_e8 FROM r GROUP BY 1, 2""".replace("pn AS (SELECT arm, aspect, e, count(*) AS p FROM s GROUP BY 1, 2), ", ""))
+SELECT arm, aspect, count(*) AS entities, sum((p > 0)::INT)::BIGINT AS predicting, CAST(round(avg(CASE WHEN p > 0 THEN tp / p::DOUBLE END) * 1e8) AS BIGINT) AS precision_e8, CAST(round(avg(tp / g::DOUBLE) * 1e8) AS BIGINT) AS recall_e8 FROM r GROUP BY 1, 2""".replace("pn AS (SELECT arm, aspect, e, count(*) AS p FROM s GROUP BY 1, 2), ", ""))
 def agg20_propagated_f1(t):
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entity"), F.col("l_returnflag").alias("arm"), F.col("p_name").alias("term"))
     up = O.propagated(rows, O.closure(edges(t)), ["entity", "arm"]).withColumn("aspect", F.substring("term", 1, 2)).where(F.col("aspect").isin("a:", "n:"))
     out = M.propagated_f1(up.where("arm <> 'R'"), up, ["arm"])
-    return out.select("arm", "aspect", "entities", "predicting", F.floor(F.col("precision") * 1e8).cast("long").alias("precision_e8"), F.floor(F.col("recall") * 1e8).cast("long").alias("recall_e8"))
+    return out.select("arm", "aspect", "entities", "predicting", F.round(F.col("precision") * 1e8).cast("long").alias("precision_e8"), F.round(F.col("recall") * 1e8).cast("long").alias("recall_e8"))
 
 
 @query(f"""WITH {EDGES}, {ANNOTATED}, n AS (SELECT term, count(*) AS n FROM ann GROUP BY 1), k AS (SELECT child AS term, count(*) AS k FROM edges GROUP BY 1),
 m AS (SELECT term, count(*) AS n_parents FROM (SELECT e.child AS term, a.entity, count(*) AS c FROM edges e JOIN ann a ON a.term = e.parent GROUP BY 1, 2) JOIN k USING (term) WHERE c = k GROUP BY 1)
-SELECT n.term, n.n, coalesce(n_parents, 0) AS n_parents, CAST(floor(CASE WHEN k.k IS NULL THEN 0 ELSE -log2(n.n / n_parents::DOUBLE) END * 1e6) AS BIGINT) AS ia_e6 FROM n LEFT JOIN m USING (term) LEFT JOIN k USING (term)""")
+SELECT n.term, n.n, coalesce(n_parents, 0) AS n_parents, CAST(round(CASE WHEN k.k IS NULL THEN 0 ELSE -log2(n.n / n_parents::DOUBLE) END * 1e6) AS BIGINT) AS ia_e6 FROM n LEFT JOIN m USING (term) LEFT JOIN k USING (term)""")
 def agg22_information_accretion(t):
-    return O.information_accretion(annotations(t), edges(t)).select("term", "n", "n_parents", F.floor(F.col("ia") * 1e6).cast("long").alias("ia_e6"))
+    return O.information_accretion(annotations(t), edges(t)).select("term", "n", "n_parents", F.round(F.col("ia") * 1e6).cast("long").alias("ia_e6"))
 
 
-@query("WITH c AS (SELECT p_name AS term, count(*) AS n FROM part GROUP BY 1) SELECT term, n, CAST(floor(-ln(n / (SELECT sum(n) FROM c)::DOUBLE) * 1e6) AS BIGINT) AS ic_e6 FROM c")
+@query("WITH c AS (SELECT p_name AS term, count(*) AS n FROM part GROUP BY 1) SELECT term, n, CAST(round(-ln(n / (SELECT sum(n) FROM c)::DOUBLE) * 1e6) AS BIGINT) AS ic_e6 FROM c")
 def agg23_information_content(t):
-    return O.corpus_information(t("part").select(F.col("p_name").alias("term"))).select("term", "n", F.floor(F.col("ic") * 1e6).cast("long").alias("ic_e6"))
+    return O.corpus_information(t("part").select(F.col("p_name").alias("term"))).select("term", "n", F.round(F.col("ic") * 1e6).cast("long").alias("ic_e6"))
 
 
 @query("SELECT least(9, l_linenumber * 10 // 8)::BIGINT AS bin, count(*) AS n, sum((l_linenumber = 0)::INT)::BIGINT AS first, sum((l_linenumber = 7)::INT)::BIGINT AS last FROM lineitem GROUP BY 1")
@@ -256,9 +256,9 @@ def agg24_option_use(t):
     return M.option_use(t("lineitem").withColumn("k", F.lit(8)), "l_linenumber", "k")
 
 
-@query("SELECT l_returnflag, CAST(floor(-sum(p * ln(p)) / ln(3) * 1e6) AS BIGINT) AS entropy_e6 FROM (SELECT l_returnflag, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)::DOUBLE AS p FROM lineitem GROUP BY l_returnflag, l_linestatus) GROUP BY 1")
+@query("SELECT l_returnflag, CAST(round(-sum(p * ln(p)) / ln(3) * 1e6) AS BIGINT) AS entropy_e6 FROM (SELECT l_returnflag, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag)::DOUBLE AS p FROM lineitem GROUP BY l_returnflag, l_linestatus) GROUP BY 1")
 def agg24_entropy(t):
-    return M.entropy(t("lineitem"), ["l_returnflag"], "l_linestatus", 3).select("l_returnflag", F.floor(F.col("entropy") * 1e6).cast("long").alias("entropy_e6"))
+    return M.entropy(t("lineitem"), ["l_returnflag"], "l_linestatus", 3).select("l_returnflag", F.round(F.col("entropy") * 1e6).cast("long").alias("entropy_e6"))
 
 
 @query(f"""WITH {ARMS}, a AS (SELECT arm, sum(correct::INT) / count(*)::DOUBLE AS x FROM ans GROUP BY arm), w AS (SELECT max(x) FILTER (arm = 'view') AS r, max(x) FILTER (arm = 'click') AS b FROM a)
@@ -282,11 +282,11 @@ def agg28_stratified(t):
 
 @query("""WITH x AS (SELECT l_linenumber AS k, avg(q) FILTER (a = 'A' AND b = 'A') AS aa, avg(q) FILTER (a = 'A' AND b = 'B') AS ab, avg(q) FILTER (a = 'B' AND b = 'A') AS ba, avg(q) FILTER (a = 'B' AND b = 'B') AS bb
 FROM (SELECT l_linenumber, l_quantity::BIGINT AS q, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'B' END AS a, CASE WHEN l_returnflag = 'A' THEN 'A' ELSE 'B' END AS b FROM lineitem) GROUP BY 1)
-SELECT k, CAST(floor((aa + ab - ba - bb) / 2 * 1e6) AS BIGINT) AS first_e6, CAST(floor((aa + ba - ab - bb) / 2 * 1e6) AS BIGINT) AS second_e6, CAST(floor((aa - ab - ba + bb) * 1e6) AS BIGINT) AS interaction_e6 FROM x""")
+SELECT k, CAST(round((aa + ab - ba - bb) / 2 * 1e6) AS BIGINT) AS first_e6, CAST(round((aa + ba - ab - bb) / 2 * 1e6) AS BIGINT) AS second_e6, CAST(round((aa - ab - ba + bb) * 1e6) AS BIGINT) AS interaction_e6 FROM x""")
 def agg29_two_by_two(t):
     rows = t("lineitem").select(F.col("l_linenumber").alias("k"), F.col("l_quantity").cast("long").alias("q"), F.when(F.col("l_linestatus") == "F", "A").otherwise("B").alias("a"), F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("b"))
     out = M.two_by_two(rows, ["k"], "a", "b", "q")
-    return out.select("k", *[F.floor(F.col(f"{c}") * 1e6).cast("long").alias(n) for c, n in (("first_effect", "first_e6"), ("second_effect", "second_e6"), ("interaction", "interaction_e6"))])
+    return out.select("k", *[F.round(F.col(f"{c}") * 1e6).cast("long").alias(n) for c, n in (("first_effect", "first_e6"), ("second_effect", "second_e6"), ("interaction", "interaction_e6"))])
 
 
 @query("SELECT least(9, l_linenumber * 10 // 8)::BIGINT AS decile, l_returnflag, l_linestatus, count(*) AS slots, sum((l_quantity > 25)::INT)::BIGINT AS cited FROM lineitem GROUP BY CUBE (1, 2, 3)".replace("CUBE (1, 2, 3)", "CUBE (least(9, l_linenumber * 10 // 8)::BIGINT, l_returnflag, l_linestatus)"))
@@ -323,10 +323,10 @@ def agg37_diversity_caps(t):
     return M.capped(t("part"), F.col("p_partkey"), {"p_name": 6, "p_brand": 4}).select("p_partkey", "p_name", "p_brand")
 
 
-@query("SELECT o_orderstatus, count(*) AS n, CAST(floor(avg(v) * 1e6) AS BIGINT) AS mean_e6, CAST(floor(stddev_samp(v) * 1e5) AS BIGINT) AS sd_e5, min(v) AS low, max(v) AS high FROM (SELECT o_orderstatus, o_orderkey % 1000 AS v FROM orders) GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS n, CAST(round(avg(v) * 1e6) AS BIGINT) AS mean_e6, CAST(round(stddev_samp(v) * 1e5) AS BIGINT) AS sd_e5, min(v) AS low, max(v) AS high FROM (SELECT o_orderstatus, o_orderkey % 1000 AS v FROM orders) GROUP BY 1")
 def agg38_across_seeds(t):
     out = M.across_seeds(t("orders").withColumn("v", F.col("o_orderkey") % 1000), ["o_orderstatus"], "v")
-    return out.select("o_orderstatus", "n", F.floor(F.col("mean") * 1e6).cast("long").alias("mean_e6"), F.floor(F.col("sd") * 1e5).cast("long").alias("sd_e5"), "low", "high")
+    return out.select("o_orderstatus", "n", F.round(F.col("mean") * 1e6).cast("long").alias("mean_e6"), F.round(F.col("sd") * 1e5).cast("long").alias("sd_e5"), "low", "high")
 
 
 @query(f"WITH {ARMS}, a AS (SELECT pred AS v, count(*) AS x FROM pairs GROUP BY 1), b AS (SELECT ref_pred AS v, count(*) AS y FROM pairs GROUP BY 1) SELECT count(*) AS n, sum((pred = ref_pred)::INT)::BIGINT AS matches, (SELECT sum(x * y) FROM a JOIN b USING (v))::BIGINT / count(*)::DOUBLE AS expected FROM pairs")
@@ -717,9 +717,9 @@ def dag6_shared_facts(t):
     return O.shared_facts(term_pairs(t), O.inherited_facts(facts(t), O.closure(edges(t))))
 
 
-@query(f"WITH {EDGES} SELECT ancestor AS term, count(*) AS descendants, CAST(floor(-ln(count(*) / (SELECT count(DISTINCT term) FROM closed)::DOUBLE) * 1e6) AS BIGINT) AS ic_e6 FROM (SELECT DISTINCT * FROM closed) GROUP BY 1")
+@query(f"WITH {EDGES} SELECT ancestor AS term, count(*) AS descendants, CAST(round(-ln(count(*) / (SELECT count(DISTINCT term) FROM closed)::DOUBLE) * 1e6) AS BIGINT) AS ic_e6 FROM (SELECT DISTINCT * FROM closed) GROUP BY 1")
 def dag7_structural_information(t):
-    return O.structural_information(O.closure(edges(t))).select("term", "descendants", F.floor(F.col("ic") * 1e6).cast("long").alias("ic_e6"))
+    return O.structural_information(O.closure(edges(t))).select("term", "descendants", F.round(F.col("ic") * 1e6).cast("long").alias("ic_e6"))
 
 
 # Resampling and statistics.
@@ -818,10 +818,11 @@ def dag2_descendants(t):
     return O.closure(edges(t)).groupBy("ancestor").agg(F.count_distinct("term").alias("descendants"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS s FROM conversations),
-w AS (SELECT *, regexp_extract(lower(substr(s, 1, 24)), '^[^a-z]*([a-z]+)', 1) AS w, lower(substr(s, 1, 60)) AS more FROM c)
-SELECT conv_id, turn, role, CASE WHEN w IN ('yes', 'no') THEN w WHEN regexp_matches(more, '\\b(no|not|unlikely|absent|negative|false)\\b') THEN 'no'
- WHEN regexp_matches(more, '\\b(yes|likely|present|positive|true)\\b') THEN 'yes' ELSE '' END AS answer, split_part(s, chr(10), 1) AS line FROM w""")
+@query(r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM conversations),
+w AS (SELECT *, regexp_extract(lower(substr(s, 1, 24)), '[a-z]+', 0) AS w, lower(substr(s, 1, 60)) AS more FROM c)
+SELECT conv_id, turn, role, CASE WHEN w IN ('yes', 'yeah', 'yep') THEN 'yes' WHEN w IN ('no', 'nope') THEN 'no'
+ WHEN regexp_matches(more, '(^|[^\p{L}\p{N}_])(no|not|absent|negative|none|lacks?|false|unlikely)([^\p{L}\p{N}_]|$)') THEN 'no'
+ WHEN regexp_matches(more, '(^|[^\p{L}\p{N}_])(yes|present|positive|detected|contains?|true|likely)([^\p{L}\p{N}_]|$)') THEN 'yes' ELSE '' END AS answer, split_part(s, chr(10), 1) AS line FROM w""")
 def txt7_yes_no(t):
     return t("conversations").select("conv_id", "turn", "role", T.yes_no(F.col("text")).alias("answer"), F.coalesce(T.first_line(F.col("text")), F.lit("")).alias("line"))
 

@@ -1,5 +1,6 @@
 """The registered queries of the engine's own operators, each with its DuckDB SQL where SQL can say it."""
 
+from armwise.plans import answers  # noqa: F401  registers
 from armwise.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -35,8 +35,8 @@ def test_label_mapping(spark):
 
 
 @pytest.mark.parametrize("said, option, kind", [
-    ("CD4+ T cells", "CD4+ T cells", "exact"), ("cd4  t CELLS.", "CD4+ T cells", "normalised"), ("these are B cells, surely", "B cells", "contained"),
-    ("naive B cells or B cells", "naive B cells", "longest"), ("nai", "naive B cells", "prefix"), ("no idea", None, "none"), (None, None, "none"),
+    ("CD4+ T cells", "CD4+ T cells", "exact"), ("cd4+_t-CELLS.", "CD4+ T cells", "normalised"), ("cd4  t CELLS.", "cd4  t CELLS", "none"), ("<b>B cells</b>\nelse", "B cells", "exact"),
+    ("these are B cells, surely", "B cells", "contained"), ("naive B cells or B cells", "naive B cells", "contained_longest"), ("nai", "naive B cells", "prefix"), ("no idea", "no idea", "none"), (None, "", "none"),
 ])
 def test_options(spark, said, option, kind):
     options = ["CD4+ T cells", "B cells", "naive B cells"]
@@ -45,7 +45,10 @@ def test_options(spark, said, option, kind):
     assert (got.option, got.kind) == (option, kind)
 
 
-@pytest.mark.parametrize("text, want", [("Not present", "no"), ("Yes, it is", "yes"), ("unlikely", "no"), ("", ""), ("It is likely present", "yes")])
+@pytest.mark.parametrize("text, want", [
+    ("Not present", "no"), ("Yes, it is", "yes"), ("unlikely", "no"), ("", ""), ("It is likely present", "yes"), ("Yeah", "yes"), ("nope.", "no"), ("Motif detected", "yes"), ("it lacks one", "no"),
+    ("It contains one", "yes"), ("none", "no"), ("ciónosiemi", ""), ("notable", ""), ("ñno", "no"), (None, ""),
+])
 def test_yes_no(spark, text, want):
     assert one(spark, T.yes_no(F.col("t")), t=text) == want
 
@@ -55,6 +58,12 @@ def test_choice_and_edit(spark):
     assert one(spark, f, t="Answer: A. No wait, answer: B", a="cat", b="dog") == "B"
     assert one(spark, f, t="surely the dog", a="cat", b="dog") == "B"
     assert one(spark, f, t="cat and dog", a="cat", b="dog") is None
+    assert one(spark, f, t="A cell of some kind", a="cat", b="dog") is None
+    assert one(spark, f, t="<think>answer: A</think>\n(b).\n", a="x", b="y") == "A"
+    assert one(spark, f, t="first\n b) \nmore", a="x", b="y") == "B"
+    assert one(spark, f, t="it may be (A). or B: so", a="x", b="y") == "B"
+    for text, first, listed in (("A to C, then G>T", "A>C", "G>T"), ("ref A -> var T", "A>T", "A>T"), ("thymine into guanine", "T>G", "T>G"), ("AG>T", None, None), ("A with C", None, None)):
+        assert one(spark, T.stated_pair(F.col("t")), t=text) == first and one(spark, T.stated_pair(F.col("t"), earliest=False), t=text) == listed
     assert tuple(one(spark, T.stated_edit(F.col("t")), t="x Edit at 12: ref A -> var G")) == (12, "A", "G")
     assert one(spark, T.stated_pair(F.col("t")), t="a change from adenine to guanine here") == "A>G"
     assert one(spark, T.enumerated(F.col("f")), f=["a", "b", "c"]) == "a, b, and c"
@@ -180,9 +189,13 @@ def test_ontology_files(spark, tmp_path):
 
 
 def test_vocabulary_and_overlap(spark):
-    rows = spark.createDataFrame([(1, "Naive B cells and T cell"), (2, None)], "k int, t string")
-    got = [tuple(r) for r in T.vocabulary_terms(rows, "k", "t", ["b cell", "naive b cell", "T cell"]).collect()]
-    assert got == [(1, 0, 13, "naive b cell"), (1, 18, 24, "T cell")]
+    terms = [("T1", "b cell", ["B lymphocyte", "shared name"]), ("T2", "naive B cell", []), ("T3", "T cell", ["shared name"]), ("T4", "atlas thing", ["atlas"])]
+    index = T.vocabulary_index(spark.createDataFrame(terms, "id string, name string, synonyms array<string>"))
+    rows = spark.createDataFrame([(1, "Naive B-cells and T cells, an atlas of B lymphocytes; shared name"), (2, None), (3, "cells b cell")], "k int, t string")
+    got = {tuple(r) for r in T.vocabulary_terms(rows, "k", F.col("t"), index).collect()}
+    assert got == {(1, 1, 2, "Naive B-cells", "T2"), (1, 4, 2, "T cells", "T3"), (1, 9, 2, "B lymphocytes", "T1"), (3, 2, 2, "b cell", "T1")}
+    known = index.withColumn("ic", F.when(F.col("id") == "T3", 1.0).otherwise(3.0))
+    assert {r.id for r in T.vocabulary_terms(rows, "k", F.col("t"), known, least=2.0).collect()} == {"T1", "T2"}
     both = spark.createDataFrame([(1, "a b c d", "a x c d"), (2, "", "a")], "k int, g string, r string")
     assert {r.k: round(r.rouge_l, 6) for r in T.rouge_l(both, "k", "g", "r").collect()} == {1: 0.75, 2: 0.0}
     n1 = {r.n: (r.clipped, r.grams) for r in T.bleu_counts(both.where("k = 1"), "k", "g", "r", 2).collect()}
