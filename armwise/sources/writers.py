@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRIC = "figure string, panel string, model string, series string, x string, value double, n long, ci_low double, ci_high double, source string"
@@ -34,7 +36,9 @@ def all_metrics(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, compressed: bool = False) -> None:
-    rows.write.option("header", True).option("compression", "gzip" if compressed else "none").csv(path)
+    """Fields in quotes, blanks at their ends kept."""
+    how = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(compression="gzip" if compressed else "none", **how).csv(path)
 
 
 def write_by_condition(rows: DataFrame, path: str, condition: str = "condition") -> None:
@@ -51,3 +55,29 @@ def markdown(rows: DataFrame, limit: int = 200) -> str:
 def latex(rows: DataFrame, limit: int = 200) -> str:
     body = "".join(" & ".join("" if v is None else str(v).replace("_", r"\_").replace("%", r"\%") for v in r) + " \\\\\n" for r in rows.limit(limit).collect())
     return f"\\begin{{tabular}}{{{'l' * len(rows.columns)}}}\n{' & '.join(c.replace('_', chr(92) + '_') for c in rows.columns)} \\\\\n{body}\\end{{tabular}}\n"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="armwise-"))
+        there = spark.sparkContext.getCheckpointDir()
+    return f"{there.rstrip('/')}/armwise/{name}-{uuid.uuid4().hex}"
+
+
+def write_lines(rows: DataFrame, line: Column, path: str) -> str:
+    """One text line a row; gives the path."""
+    rows.select(line.alias("value")).write.text(path)
+    return path
+
+
+def write_shards(rows: DataFrame, folder: str, n: int, name: str = "records.jsonl") -> None:
+    """JSON lines in n files: name, and name.0, name.1, ..."""
+    spark = rows.sparkSession
+    rows.repartition(n).write.json(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(path, part), spark._jvm.org.apache.hadoop.fs.Path(path, name if i == 0 else f"{name}.{i - 1}"))
