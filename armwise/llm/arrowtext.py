@@ -44,6 +44,14 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they come; between them the pool gives its free memory back, which a reused worker would else keep."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 @dataclass
 class Slice:
     """Rows lo to hi of an array: their bytes and, a row, where its bytes start and end."""

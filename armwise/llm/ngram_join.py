@@ -65,7 +65,7 @@ def _pack(sets: list[np.ndarray], keys: list[int | None], chunk: int, buckets: i
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple]:
     """Consecutive rows of one value of column by, as tuples."""
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+    rows = (r for b in at.released(batches) for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
     return groupby(rows, key=lambda r: r[by])
 
 
@@ -81,7 +81,7 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
         sets: list[np.ndarray] = []
         keys: list[int | None] = []
         held = 0
-        for b in batches:
+        for b in at.released(batches):
             ids = b.column(0).to_pylist()
             for s in at.slices(b.column(1)):
                 w = at.find_words(s)

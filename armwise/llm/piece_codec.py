@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from armwise.llm.arrowtext import released
 from armwise.llm.memo import slices
 
 MARK = "▁"
@@ -164,7 +165,9 @@ class Codec:
         return ids, tied
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        got: list[list[int]] = []
+        for lo in range(0, len(new), 4096):  # an encoding holds far more than its ids
+            got += [e.ids for e in self.library.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False)]
         n = len(self.known)
         for i, (a, b) in enumerate(zip(got, self._other(new), strict=True)):
             if a == b:
@@ -233,7 +236,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, threads)
-        for b in batches:
+        for b in released(batches):
             for part in slices(b, 1, SLICE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 got = c.encode(texts)

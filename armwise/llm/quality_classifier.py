@@ -102,7 +102,7 @@ def _rows(docs: DataFrame, key: str, text: str, by: int, out: int) -> tuple[Data
     kind = docs.schema[key].dataType.simpleString()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in at.released(batches):
             x = statistics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, i]) for i in range(d)]], ["_key", *names])
 
@@ -173,6 +173,8 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", key: st
         return docs
 
     def good(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(statistics(texts)) >= least)
+        kept = model.score(statistics(texts)) >= least
+        pa.default_memory_pool().release_unused()
+        return pa.array(kept)
 
     return docs.where(F.arrow_udf(good, "boolean")(F.col(text)))

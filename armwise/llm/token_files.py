@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from armwise.llm.arrowtext import released
 from armwise.llm.common import scratch, written
 from armwise.llm.memo import Memo, slices, spread
 
@@ -59,8 +60,9 @@ class WordEncoder:
         self.bytes = str.maketrans(dict(enumerate(_byte_letters())))
         self.words = Memo(self._made)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int = 4096) -> list[list[int]]:
+        """The ids of texts, a few at once: an encoding holds far more than its ids."""
+        return [e.ids for i in range(0, len(texts), at_once) for e in self.library.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
 
     def _made(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has."""
@@ -91,7 +93,7 @@ class WordEncoder:
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         else:
             ends = f" {sign} "
-            ids = np.fromiter(chain.from_iterable(self._ids([ends.join(words[i : i + 2000]) + ends for i in range(0, len(words), 2000)])), np.int32)
+            ids = np.fromiter(chain.from_iterable(self._ids([ends.join(words[i : i + 2000]) + ends for i in range(0, len(words), 2000)], 4)), np.int32)
             at = np.flatnonzero(ids == self.signs[sign])
             flat, lengths = ids[ids != self.signs[sign]], np.diff(at, prepend=-1) - 1
         return flat, lengths
@@ -239,7 +241,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str)
         e = _encoder(tokenizer)
         total = np.zeros(1 << 16, np.int64)
         names = ["key", "ids", "n"]
-        for b in batches:
+        for b in released(batches):
             for part in slices(b, 1):
                 ids, ends = e.encode(part.column(1), end_id)
                 total += np.bincount(ids, minlength=1 << 16)
@@ -302,7 +304,7 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = codebook(lengths)
-        for b in batches:
+        for b in released(batches):
             for lo in range(0, b.num_rows, 32):
                 part = b.slice(lo, 32)
                 out: dict[str, list] = {"key": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}

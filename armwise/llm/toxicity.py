@@ -232,7 +232,7 @@ def _tally(table: DataFrame, restorer_lm: np.ndarray, toxic: bool, only: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(restorer_lm)
-        for b in batches:
+        for b in at.released(batches):
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 weight = part.column(1).to_numpy(zero_copy_only=False)
@@ -268,7 +268,7 @@ def _contexts(table: DataFrame, lm: np.ndarray, only: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(lm)
-        for b in batches:
+        for b in at.released(batches):
             n1, n0 = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for e in evidence(b.column(0), r):
                 f = e.features.ravel()
@@ -314,7 +314,7 @@ def corpus_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N**3, np.int64)
-        for b in batches:
+        for b in at.released(batches):
             total += trigrams(b.column(0))
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(total[codes])], ["code", "n"])
@@ -351,7 +351,7 @@ def fit(docs: DataFrame, votes: DataFrame, lm: np.ndarray, key: str, text: str)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(lm)
-        for b in batches:
+        for b in at.released(batches):
             x = np.round(_logit(model.share(b.column(0), r)), 2)
             yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1), b.column(2)], ["x", "n1", "n0"])
 
@@ -376,7 +376,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model.lm)
-        for b in batches:
+        for b in at.released(batches):
             score = model.score(model.share(b.column(2), r))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= least).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
