@@ -24,8 +24,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 STARS = 3
 #: Log-probabilities of the channel: a letter written as another sign, a separator put in, a letter repeated, a space put between single letters or meant.
 STANDS, PARTS, REPEATS, JOINED, MEANT = np.log([0.3, 0.5, 0.2, 0.9, 0.1]).tolist()
-#: Labelled documents that a fit takes at most, features kept at most, and contexts that weigh as much as the prior.
-LABELLED, KEPT, PRIOR = 200_000, 50_000, 10.0
+#: Labelled documents that a fit takes at most, and contexts that weigh as much as the prior.
+LABELLED, PRIOR = 200_000, 10.0
 STEMS = (4, 5, 6)
 
 # The language model's alphabet: 0 a word's bound, 1-26 letters, 27-58 bytes above ASCII by their low bits, 59 the rest.
@@ -326,7 +326,10 @@ def corpus_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def fit(docs: DataFrame, votes: DataFrame, lm: np.ndarray, key: str, text: str) -> Model:
-    """votes: key, n1, n0. Features that occur in three toxic documents or more, that lean to them, weighed by their contexts."""
+    """votes: key, n1, n0. Features that occur in three toxic documents or more, that lean to them, weighed by their contexts.
+
+    All of them count; what comes to the driver is bounded by the LABELLED documents that they stand in.
+    """
     total = votes.count()
     sample = votes if total <= LABELLED else votes.orderBy(F.xxhash64(key), key).limit(LABELLED)
     table = written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).drop(key), "labelled")
@@ -335,12 +338,11 @@ def fit(docs: DataFrame, votes: DataFrame, lm: np.ndarray, key: str, text: str)
     none = Model(lm, np.zeros(0, np.uint64), np.zeros(0), base if n1 + n0 else 0.5)
     if not n1:
         return none
-    toxic = _tally(table, lm, True, None).where("n >= 3").orderBy(F.desc("n"), "f").limit(10 * KEPT).toPandas()
-    first = np.sort(toxic.f.to_numpy(np.int64).view(np.uint64))
-    others = _tally(table, lm, False, first).toPandas()
-    both = toxic.merge(others, on="f", how="left", suffixes=("1", "0")).fillna({"n0": 0})
-    share = (both.n1 + PRIOR * base) / (both.n1 + both.n0 + PRIOR)
-    lean = both.assign(share=share)[share > max(2 * base, 0.25)].sort_values(["share", "f"], ascending=[False, True])[:KEPT]
+    toxic = written(_tally(table, lm, True, None).where("n >= 3"), "toxic")
+    first = np.sort(toxic.select("f").toPandas().f.to_numpy(np.int64).view(np.uint64))
+    others = _tally(table, lm, False, first).withColumnRenamed("n", "n0")
+    share = (F.col("n") + PRIOR * base) / (F.col("n") + F.coalesce("n0", F.lit(0)) + PRIOR)
+    lean = toxic.join(others, "f", "left").where(share > max(2 * base, 0.25)).select("f").toPandas()
     if not len(lean):
         return none
     c = _contexts(table, lm, np.sort(lean.f.to_numpy(np.int64).view(np.uint64))).toPandas()
