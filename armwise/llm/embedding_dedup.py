@@ -4,7 +4,7 @@ A vector is described by its nearest reference points in order. Inverted lists b
 together vectors that share two of them; of those, the ones that share enough of their ten nearest are verified by cosine in
 double precision. A pair counts in the first list that both are on, so that no pair is counted twice and none is written out:
 a list gives each vector's number of links and the edges that connect its components. Long lists are cut into parts whose
-pairs are met in blocks.
+pairs are met in blocks. Vectors travel in the precision they are stored in.
 """
 
 from __future__ import annotations
@@ -25,29 +25,30 @@ from armwise.llm.ngram_join import _grouped
 SAMPLE, FEWEST, MOST, LISTED, COUNTED, SHARED, PART = 4096, 64, 4096, 5, 10, 4, 1500
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, list[bytes | None]]:
-    """Each vector's length in numbers and its bytes in double precision; none where null, zero or with a null or non-finite number."""
+def _units(column: pa.Array, kind: str) -> tuple[np.ndarray, list[bytes | None]]:
+    """Each vector's length in numbers and its bytes, f4 or f8 as kind says; none where null, zero or with a null or non-finite number."""
     dims = np.zeros(len(column), np.int32)
     out: list[bytes | None] = []
     for i, x in enumerate(column):
         v = None
         if x.is_valid and x.values.null_count == 0 and len(x.values):
-            a = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            a = x.values.to_numpy(zero_copy_only=False).astype(kind)
             if np.isfinite(a).all() and a.any():
                 dims[i], v = len(a), a.tobytes()
         out.append(v)
     return dims, out
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, np.float64) for v in vectors])
+def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.stack([np.frombuffer(v, kind) for v in vectors]).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(sample: list[bytes], n: int) -> np.ndarray:
+def choose_pivots(sample: list[bytes], n: int, kind: str = "f8") -> np.ndarray:
     """n of the sample, each the farthest from those chosen before; the first is the first."""
-    x = _unit(sample)
+    x = _unit(sample, kind)
     chosen = [0]
     near = x @ x[0]
     while len(chosen) < min(n, len(x)):
@@ -72,10 +73,10 @@ def list_keys(nearest: np.ndarray, dim: int) -> np.ndarray:
     return np.stack([(dim << 32) + (top[:, a] << 16) + top[:, b] for a, b in combinations(range(top.shape[1]), 2)], 1)
 
 
-def _block(members: list[tuple], least: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _block(members: list[tuple], least: float, cross: bool, kind: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Weighted links of each member (key, node, copies, vector, nearest, part) and connecting edges, for one list or one pair of parts."""
     key = members[0][0]
-    x = _unit([m[3] for m in members])
+    x = _unit([m[3] for m in members], kind)
     near = np.stack([np.frombuffer(m[4], np.int16) for m in members])
     copies = np.array([m[2] for m in members], np.int64)
     part = np.array([m[5] for m in members])
@@ -117,25 +118,26 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept for every row.
 
-    Pivots: chosen among the SAMPLE vectors of the lowest hash of each length, about as many as the square root of the number
-    of distinct vectors, between FEWEST and MOST. Every vector is indexed; equal vectors are indexed once and counted as often as they
+    Pivots: chosen among the SAMPLE vectors of the lowest hash of each length of more than PART vectors, about as many as the
+    square root of the number of distinct vectors, between FEWEST and MOST. Every vector is indexed; equal vectors are indexed once and counted as often as they
     occur. Links found are exact; those near the bound can be missed, and recall is measured in the tests.
     Defined cases: null, empty and zero vectors and those with null or non-finite numbers link with nothing; vectors of
     different lengths do not link; a null key stays null; repeated rows and equal keys are rows like others; an empty table
     gives an empty one; other columns, labels among them, are not read.
     """
     spark = vectors.sparkSession
+    kind = "f4" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "f8"  # what the numbers are stored in loses nothing
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, data = _units(b.column(2))
+            dims, data = _units(b.column(2), kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims), pa.array(data, pa.binary())], ["node", "key", "dim", "vector"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("node"), F.col(key).cast("long").alias("key"), F.col(embedding))
     rows = written(rows.mapInArrow(read, "node long, key long, dim int, vector binary"), "vectors")
     classes = rows.where("dim > 0").groupBy("dim", "vector").agg(F.min("node").alias("class"), F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("set", F.sha2("vector", 256)), "classes")
-    links, edges = _search(spark, classes, least)
+    links, edges = _search(spark, classes, least, kind)
     label = components(edges, "components").withColumnRenamed("node", "class")
     named = classes.select("set", "class", "least", "copies").join(label, "class", "left").join(links, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
@@ -147,12 +149,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
     return out.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _search(spark: SparkSession, classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _search(spark: SparkSession, classes: DataFrame, least: float, kind: str) -> tuple[DataFrame, DataFrame]:
     """(class, links) and edges (u, v) among distinct vectors."""
     pivots = {}
-    for dim, n in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect():  # rarer lengths go by their length alone
+    for dim, n in classes.groupBy("dim").count().where(F.col("count") > PART).collect():  # vectors of a rarer length are one list, no longer than a part
         sample = [bytes(r.vector) for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()]
-        pivots[dim] = choose_pivots(sample, int(min(MOST, max(FEWEST, n**0.5))))
+        pivots[dim] = choose_pivots(sample, int(min(MOST, max(FEWEST, n**0.5))), kind)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +164,7 @@ def _search(spark: SparkSession, classes: DataFrame, least: float) -> tuple[Data
                 for dim in np.unique(dims).tolist():
                     own = part.take(pa.array(np.flatnonzero(dims == dim)))
                     data = own.column(3).to_pylist()
-                    near = describe(_unit(data), pivots[dim]) if dim in pivots else np.zeros((len(data), 1), np.int16)
+                    near = describe(_unit(data, kind), pivots[dim]) if dim in pivots else np.zeros((len(data), 1), np.int16)
                     keys = list_keys(near, dim)
                     place = np.repeat(np.arange(len(data)), keys.shape[1])
                     wide = own.take(pa.array(place))
@@ -180,7 +182,7 @@ def _search(spark: SparkSession, classes: DataFrame, least: float) -> tuple[Data
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in _grouped(batches, 0):
             members = [m[1:] for m in members]
-            links, edges = _block(members, least, members[0][6] != members[0][7])
+            links, edges = _block(members, least, members[0][6] != members[0][7], kind)
             u = [m[1] for m, n in zip(members, links, strict=True) if n] + [e[0] for e in edges]
             v = [None for n in links if n] + [e[1] for e in edges]
             n = [int(n) for n in links if n] + [0] * len(edges)

@@ -132,3 +132,43 @@ def test_blocks_of_unlinked_candidates_are_bounded(spark, monkeypatch):
     got = result(ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert got == plain.joined(texts)
     assert len(sizes) == 3 and max(sizes) <= 4 * 20  # two parts, each about BLOCK by hash
+
+
+def planted(seed: int, n: int = 5000, dims: int = 64) -> np.ndarray:
+    """Vectors around clusters, and partners of cosine 0.951 to 0.97 for a third of them; more of them than pivots squared."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, dims))
+    x = rng.normal(size=(n, dims)) + 0.5 * centres[rng.integers(0, 40, n)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, n - 1, 3):
+        noise = rng.normal(size=dims)
+        noise -= (noise @ x[i]) * x[i]
+        cosine = rng.uniform(0.951, 0.97)
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise)
+    return x.astype(np.float32)
+
+
+def test_recall_near_the_bound_of_a_fiftieth_against_all(spark):
+    x = planted(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(len(x) + i, x[50 * i].tolist()) for i in range(20)]  # and some equal vectors
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    y = np.array([v for _, v in rows], np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    asked = np.arange(0, len(y), 50)
+    near = y[asked] @ y.T >= 0.95
+    true = near.sum(1) - 1
+    found = np.array([got[i].n_links for i in asked.tolist()])
+    assert len(x) > 64**2 and true.sum() > 60 and (found <= true).all()
+    assert found.sum() >= 0.9 * true.sum()
+    whole = plain.components(range(len(y)), [(i, j) for i, j in zip(*(z.tolist() for z in np.nonzero(np.triu(y @ y.T >= 0.95, 1))), strict=True)])
+    assert all(whole[r.component_id] == whole[i] for i, r in got.items())
+
+
+def test_rare_lengths_are_compared_whole(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(3, 90):  # more lengths than any list of common ones would hold
+        v = rng.normal(size=d)
+        rows += [(10 * d, v.tolist()), (10 * d + 1, (v * 3).tolist()), (10 * d + 2, (-v).tolist())]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(i % 10 < 2) for i in got} and len(got) == len(rows)
