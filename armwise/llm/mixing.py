@@ -2,10 +2,12 @@
 
 A source's target over its size gives every document of it a multiplicity: a whole part, and a fraction that is an inclusion
 probability. The flight moves three fractional documents at a time along the null space of the two balancing constraints,
-words and documents, until one is in or out; the totals never change. It runs within parts of a source. The landing takes
-what the parts left, two documents each at most, with a reserve of some 64 documents a source, longest first, and keeps the
-words alone: two documents move at a time, short ones pay for long ones, the last one is rounded, and what that costs is made
-good by turning documents of the landing, from long to short, wherever it brings the words nearer to their total.
+words and documents, until one is in or out; the totals never change. It runs within parts of a source, and again over what
+the parts left, two documents each at most, until a source has no more than PART of them. The landing takes those with a
+reserve of some 64 documents a source, longest first, and keeps the words alone: two documents move at a time, short ones pay
+for long ones, the last one is rounded, and what that costs is made good by turning documents of the landing, from long to
+short, wherever it brings the words nearer to their total. That turning is greedy and outside the martingale: inclusion
+probabilities of the landing's documents, PART + 64 or so a source at most, are met in their words, not one by one.
 """
 
 from __future__ import annotations
@@ -187,9 +189,18 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (5, 2, 1
     met = met.withColumn("held", F.pmod(F.xxhash64("seed"), F.ceil(F.col("n") / RESERVE).cast("long")) == 0).drop("_ratio", "n")
     met = written(met, "chances")
     left = (F.col("p") > 0) & (F.col("p") < 1)
-    first = written(_flown(met.where(left & ~F.col("held")), [F.col("source"), F.col("part")], landing=False), "flight")
-    last = _flown(first.where(left).unionByName(met.where(left & F.col("held"))), [F.col("source")], landing=True)
-    done = met.where(~left).unionByName(first.where(~left)).unionByName(last)
+    done, flying, level = met.where(~left), met.where(left & ~F.col("held")), 0
+    while True:
+        flown = written(_flown(flying, [F.col("source"), F.col("part")], landing=False), "flight")
+        done, flying = done.unionByName(flown.where(~left)), flown.where(left)
+        rest = written(flying.groupBy("source").agg(F.count(F.lit(1)).alias("_left")), "left")
+        if (rest.agg(F.max("_left")).first()[0] or 0) <= PART:
+            break
+        level += 1
+        parts = F.ceil(F.col("_left") / PART).cast("long")
+        flying = flying.join(rest, "source").withColumn("part", F.pmod(F.xxhash64("seed", F.lit(level)), parts)).select(met.columns)
+    last = _flown(flying.unionByName(met.where(left & F.col("held"))), [F.col("source")], landing=True)
+    done = done.unionByName(last)
     copies = (F.col("whole") + F.col("p")).cast("int")
     return done.select(F.col("_key").alias(key), F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
 
