@@ -21,6 +21,8 @@ from armwise.llm.common import looked_up, scratch, text_of, written
 CRLF = "\r\n"
 #: At most so many rows are broadcast: groups of equal payloads, 80 bytes each.
 BROADCAST_ROWS = 200_000
+#: Captures of one range of the merge, which one task holds.
+RANGE = 200_000
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -80,8 +82,16 @@ def records(rows: DataFrame, date: str) -> DataFrame:
     return rows.select(F.concat(head, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
-def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", per_file: int = 4000) -> None:
-    records(rows, date).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> None:
+    """Files of at most file_bytes of payload, a single larger record apart: records of a size class of 64 KB, 1 MB or more share files, so many as fit."""
+    least = -1
+    for most in (64 << 10, 1 << 20, None):
+        size = F.col("payload_bytes")
+        some = rows.where((size > least) & (size <= most) if most else size > least)
+        if least < 0 or some.limit(1).count():
+            per_file = max(1, file_bytes // most) if most else 1
+            records(some, date).write.mode("errorifexists" if least < 0 else "append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        least = most
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -184,10 +194,10 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures in the order of (URL key, time, id), numbered from 0 in capture_slot.
 
-    Runs are cut by range over the whole sort key, so that no host or page makes a large task; a task holds the run pieces of
-    its own range.
+    Runs are cut by range over the whole sort key, so that no host or page makes a large task, into ranges of about RANGE
+    captures at most; a task holds the run pieces of its own range.
     """
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE))
     whole = [F.col(c).asc_nulls_first() for c in ("url_key", "captured", "page_id", "file", "file_offset")]
     dealt = runs.repartitionByRange(n, *whole).sortWithinPartitions("file", "run_slot").withColumn("_part", F.spark_partition_id())
 

@@ -177,3 +177,30 @@ def test_stages_of_awkward_and_empty_tables(spark):
         docs = plain.awkward(spark)
         assert stage(spark, docs, plain.SF).count() <= 2 * docs.count()
         assert stage(spark, plain.empty(docs), plain.SF).count() == 0
+
+
+def test_landing_in_levels_keeps_targets(spark, monkeypatch):
+    docs = spark.read.parquet(f"{plain.SF_LARGER}/documents.parquet")
+    monkeypatch.setattr(mixing, "PART", 6)  # parts leave two documents each: several levels until a source has six
+    rows = mixing.mix(docs).collect()
+    size: Counter = Counter()
+    taken: Counter = Counter()
+    for r in rows:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+    want = plain.targets(size)
+    assert len(rows) == docs.count() and all(abs(taken[s] - want[s]) <= 0.02 * want[s] for s in size)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)  # sources met by shuffle
+    assert Counter(rows) == Counter(mixing.mix(docs).collect())
+
+
+def test_archives_of_many_small_files_and_ranges(spark, monkeypatch):
+    pages = spark.read.parquet(f"{plain.SF}/pages.parquet").unionByName(spark.createDataFrame([(10_001, "http://big.example/", "x" * 70_000), (10_002, "http://big.example/", "y" * 1_100_000), (10_003, "http://big.example/", "y" * 1_100_000)], "page_id long, url string, html string"))
+    want = sorted(map(tuple, warc.archive(pages).drop("file", "file_offset").collect()), key=str)
+    write = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda rows, path, date: write(rows, path, date, file_bytes=400_000))
+    monkeypatch.setattr(warc, "RANGE", 7)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    got = warc.archive(pages)
+    assert sorted(map(tuple, got.drop("file", "file_offset").collect()), key=str) == want
+    assert got.select("file").distinct().count() > 6
