@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -206,3 +206,55 @@ def _reaches(a: str, end: str, last: dict[str, str]) -> bool:
         seen.add(a)
         a = last[a]
     return True
+
+
+def option_list(gold: Column, vocabulary: Column, n: int, seed: Column) -> Column:
+    """n options in hash order: the gold and distractors of the vocabulary, chosen by hash; all of it where n is not below its size."""
+    others = F.filter(F.array_distinct(vocabulary), lambda x: x != gold)
+    some = F.slice(_by_hash(others, F.concat(seed, F.lit("|pick"))), 1, n - 1) if n > 0 else others
+    return _by_hash(F.concat(some, F.array(gold)), F.concat(seed, F.lit("|order")))
+
+
+def _by_hash(items: Column, seed: Column) -> Column:
+    keyed = F.transform(items, lambda x: F.struct(F.md5(F.concat_ws("|", seed, x).cast("binary")).alias("k"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def arms_of(rows: DataFrame, key: str, arms: dict[str, Column]) -> DataFrame:
+    """A row a condition: key, condition and its text, all from one pass over the rows."""
+    made = F.array(*[F.struct(F.lit(name).alias("condition"), text.alias("text")) for name, text in arms.items()])
+    return rows.select(key, F.explode(made).alias("x")).select(key, "x.*")
+
+
+def prefixes(items: Column, sizes: list[int]) -> Column:
+    """The first k of a ranked array for each size k, as structs of k and items."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.slice(items, 1, k).alias("items")) for k in sizes])
+
+
+def scattered(rows: DataFrame, cell: str, column: str, value: str, columns: DataFrame, salt: str = "scatter") -> DataFrame:
+    """The values of each cell dealt to random columns: the i-th value, by column, goes to the i-th column in the cell's hash order."""
+    w = Window.partitionBy(cell).orderBy(column)
+    n = rows.groupBy(cell).agg(F.count(F.lit(1)).alias("_n"))
+    placed = rows.select(cell, value, F.row_number().over(w).alias("_i"))
+    free = n.crossJoin(F.broadcast(columns.select(column))).withColumn("_h", pick(F.lit(salt), F.col(cell).cast("string"), F.col(column)))
+    free = free.withColumn("_i", F.row_number().over(Window.partitionBy(cell).orderBy("_h", column))).where("_i <= _n")
+    return placed.join(free.select(cell, column, "_i"), [cell, "_i"]).select(cell, column, value)
+
+
+def salient(features: DataFrame, key: str, start: str, end: str, evidence: Column) -> DataFrame:
+    """key, place and the best evidence of every place that a feature covers; evidence: a number, the least is the best."""
+    return features.select(key, evidence.alias("evidence"), F.explode(F.sequence(start, end)).alias("place")).groupBy(key, "place").agg(F.min("evidence").alias("evidence"))
+
+
+def largest_span(features: DataFrame, key: str, start: str, end: str, order: str) -> DataFrame:
+    """key and its longest feature, the first by order where several are, and how many places all features cover together."""
+    best = features.groupBy(key).agg(F.max_by(F.struct(start, end), F.struct((F.col(end) - F.col(start)).alias("n"), (-F.col(order)).alias("o"))).alias("_b"))
+    covered = salient(features, key, start, end, F.lit(0)).groupBy(key).agg(F.count(F.lit(1)).alias("covered"))
+    return best.join(covered, key).select(key, f"_b.{start}", f"_b.{end}", "covered")
+
+
+def around(x: Column, y: Column, before: int, after: int) -> Column:
+    """The letters of x around its first difference to y: before of them ahead of it, after from it on; null where they are equal."""
+    at = first_difference(x, y)
+    low = F.greatest(F.lit(1), at - before)
+    return F.substring(x, low, at + after - low)

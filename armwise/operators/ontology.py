@@ -144,3 +144,14 @@ def indent_tree(lines: DataFrame, order: str, depth: str, name: str, tree: str)
     for d in levels:
         parent = F.when(F.col(depth) == d, F.last(F.when(F.col(depth) == d - 1, F.col(name)), ignorenulls=True).over(w)).otherwise(parent)
     return lines.select(name, parent.alias("parent"))
+
+
+def same_type(left: DataFrame, right: DataFrame, closed: DataFrame, key: str) -> DataFrame:
+    """key and whether any term of its left set is, or lies over or under, one of its right set; for keys with both sets."""
+    both = left.select(key).distinct().join(right.select(key).distinct(), key)
+
+    def under(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(closed.select("term", "ancestor"), "term").join(b.select(key, F.col("term").alias("ancestor")), [key, "ancestor"]).select(key)
+
+    hit = under(left, right).unionByName(under(right, left)).distinct().withColumn("_hit", F.lit(True))
+    return both.join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(False)).alias("same"))

@@ -173,3 +173,46 @@ def once_each(rows: DataFrame, content: str, run, **names: str) -> DataFrame:
     hashed = rows.withColumn("_sha", F.sha1(F.col(content).cast("binary")))
     unique = hashed.select("_sha", content).dropDuplicates(["_sha"])
     return hashed.join(run(unique).drop(content), "_sha").drop("_sha")
+
+
+def with_donor(rows: DataFrame, donors: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Rows beside their donor's values (prefix donor_); donors: key, donor."""
+    of = rows.select(F.col(key).alias("donor"), *[F.col(v).alias(f"donor_{v}") for v in values])
+    return rows.join(donors.select(key, "donor"), key).join(of, "donor")
+
+
+def with_members(pairs: DataFrame, rows: DataFrame, key: str, values: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs beside both members' values (suffixes _a and _b), nulls where a member has none."""
+    for side, name in ((a, "a"), (b, "b")):
+        pairs = pairs.join(rows.select(F.col(key).alias(side), *[F.col(v).alias(f"{v}_{name}") for v in values]), side, "left")
+    return pairs
+
+
+def near_or_any_donors(rows: DataFrame, key: str, near: Sequence[str], wide: Sequence[str], label: str) -> DataFrame:
+    """key, donor and whether the donor is near: of another label within the near group where there is one, else within the wide group."""
+    close = unlike_donors(rows, key, near, label).select(key, F.col("donor").alias("_close"))
+    far = unlike_donors(rows, key, wide, label).select(key, F.col("donor").alias("_far"))
+    return far.join(close, key, "full").select(key, F.coalesce("_close", "_far").alias("donor"), F.col("_close").isNotNull().alias("near"))
+
+
+def grouped_pairs(rows: DataFrame, within: Sequence[str], key: str) -> DataFrame:
+    """Unordered pairs of distinct keys of one group, once each: for groups that are small by nature."""
+    r = rows.select(*within, key).distinct()
+    return r.withColumnRenamed(key, "a").join(r.withColumnRenamed(key, "b"), list(within)).where("a < b")
+
+
+def pair_scores(pairs: DataFrame, scores: DataFrame, cell: str, candidate: str, score: str) -> DataFrame:
+    """Pairs (a, b, label_a, label_b) with the four scores of each cell for each label: two joins by cell, one aggregation."""
+    sides = pairs.select("a", "b", "label_a", "label_b", F.explode(F.array("a", "b")).alias(cell))
+    met = sides.join(scores, cell)
+
+    def of(side: str, label: str):
+        return F.max(F.when((F.col(cell) == F.col(side)) & (F.col(candidate) == F.col(f"label_{label}")), F.col(score))).alias(f"{side}_{label}")
+
+    return met.groupBy("a", "b", "label_a", "label_b").agg(of("a", "a"), of("a", "b"), of("b", "a"), of("b", "b"))
+
+
+def batches(rows: DataFrame, by: Sequence[str], key: str, size: str, budget: int) -> DataFrame:
+    """Rows of each group longest first, with the batch that each falls in where batches are cut whenever sizes before it fill the budget again."""
+    w = Window.partitionBy(*by).orderBy(F.desc(size), key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("batch", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / budget).cast("long"))
