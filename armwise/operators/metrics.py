@@ -196,23 +196,19 @@ def propagated_f1(gold: DataFrame, pred: DataFrame, by: Sequence[str], entity: s
     """Protein-centred F1 of propagated term sets by group and aspect: precision over entities that predict, recall over all with gold.
 
     weights (term, weight): parts are weighed by them and summed as decimals, so that order does not matter.
+    One aggregation over the said terms, flagged where gold has them, one over the gold terms; entities of gold without any
+    said term count in the recall by number alone.
     """
-    def parts(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-        if weights is None:
-            return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name))
-        return df.join(weights, term, "left").groupBy(*keys).agg(F.sum(F.coalesce("weight", F.lit(0.0)).cast("decimal(38,12)")).cast("double").alias(name))
-
-    keys = [*by, aspect, entity]
+    size = (lambda c: F.count(F.when(c, F.lit(1))).cast("double")) if weights is None else (lambda c: F.sum(F.when(c, F.coalesce("weight", F.lit(0.0))).otherwise(0.0).cast("decimal(38,12)")).cast("double"))
+    weighed = (lambda df: df) if weights is None else (lambda df: df.join(weights, term, "left"))
     truth = gold.select(aspect, entity, term).distinct()
-    said = pred.select(*keys, term).distinct()
-    groups = pred.select(*by).distinct()
-    both = parts(said.join(truth, [aspect, entity, term]), keys, "tp")
-    table = groups.crossJoin(parts(truth, [aspect, entity], "g")) if by else parts(truth, [aspect, entity], "g")
-    table = table.join(parts(said, keys, "p"), keys, "left").join(both, keys, "left").fillna(0.0, ["p", "tp"])
-    out = table.groupBy(*by, aspect).agg(
-        F.count(F.lit(1)).alias("entities"), count_if(F.col("p") > 0).alias("predicting"),
-        F.avg(F.when(F.col("p") > 0, F.col("tp") / F.col("p"))).alias("precision"), F.avg(F.col("tp") / F.col("g")).alias("recall"),
-    )
+    wanted = weighed(truth).groupBy(aspect, entity).agg(size(F.lit(True)).alias("g"))
+    said = pred.select(*by, aspect, entity, term).distinct().join(truth.withColumn("_gold", F.lit(True)), [aspect, entity, term], "left")
+    parts = weighed(said).groupBy(*by, aspect, entity).agg(size(F.lit(True)).alias("p"), size(F.col("_gold")).alias("tp")).join(wanted, [aspect, entity])
+    some = F.col("p") > 0
+    sums = parts.groupBy(*by, aspect).agg(count_if(some).alias("predicting"), F.avg(F.when(some, F.col("tp") / F.col("p"))).alias("precision"), F.sum(F.col("tp") / F.col("g")).alias("_r"))
+    groups = pred.select(*by).distinct().crossJoin(F.broadcast(wanted.groupBy(aspect).agg(F.count(F.lit(1)).alias("entities"))))  # arms x aspects
+    out = groups.join(sums, [*by, aspect], "left").select(*by, aspect, "entities", F.coalesce("predicting", F.lit(0)).alias("predicting"), "precision", (F.coalesce("_r", F.lit(0.0)) / F.col("entities")).alias("recall"))
     p, r = F.coalesce("precision", F.lit(0.0)), F.col("recall")
     return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 

@@ -55,14 +55,22 @@ def corpus_information(annotations: DataFrame, term: str = "term") -> DataFrame:
 def information_accretion(annotations: DataFrame, edges: DataFrame, entity: str = "entity", term: str = "term") -> DataFrame:
     """term, n (entities with it), n_parents (entities with all its parents) and -log2(n / n_parents); 0 for roots.
 
-    annotations are propagated. Entities with all parents are found by counting parents, not by intersecting sets.
+    annotations are propagated. A term of one parent has that parent's entities, which needs no join; for the others, the
+    entities of the rarest parent are held against the other parents by counting.
     """
     have = annotations.select(entity, term).distinct()
     n = have.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
     parents = edges.select(F.col("child").alias(term), "parent").distinct()
     needed = parents.groupBy(term).agg(F.count(F.lit(1)).alias("_k"))
-    met = parents.join(have.withColumnRenamed(term, "parent"), "parent").groupBy(term, entity).agg(F.count(F.lit(1)).alias("_m"))
-    whole = met.join(needed, term).where("_m = _k").groupBy(term).agg(F.count(F.lit(1)).alias("n_parents"))
+    sized = parents.join(n.select(F.col(term).alias("parent"), F.col("n").alias("_pn")), "parent", "left").withColumn("_pn", F.coalesce("_pn", F.lit(0)))
+    rarest = sized.groupBy(term).agg(F.min(F.struct("_pn", "parent")).alias("_m"), F.count(F.lit(1)).alias("_k"))
+    single = rarest.where("_k = 1").select(term, F.col("_m._pn").alias("n_parents"))
+    few = rarest.where("_k > 1").select(term, F.col("_m.parent").alias("parent"), "_k")
+    base = few.join(have.withColumnRenamed(term, "parent"), "parent").select(term, entity, "_k")
+    others = parents.join(few.select(term, F.col("parent").alias("_rarest")), term).where("parent <> _rarest").select(term, "parent")
+    met = base.join(others, term).join(have.withColumnRenamed(term, "parent"), ["parent", entity], "left_semi").groupBy(term, entity, "_k").agg(F.count(F.lit(1)).alias("_m"))
+    many = met.where("_m = _k - 1").groupBy(term).agg(F.count(F.lit(1)).alias("n_parents"))
+    whole = single.where("n_parents > 0").unionByName(many)
     out = n.join(whole, term, "left").join(needed, term, "left")
     ia = F.when(F.col("_k").isNull(), 0.0).when(F.col("n_parents") > 0, -F.log2(F.col("n") / F.col("n_parents")))
     return out.select(term, "n", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), ia.alias("ia"))
