@@ -55,12 +55,15 @@ def opted(t: Tables) -> DataFrame:
     return c.sparkSession.sql(OPTED.replace("[w1", "array(w1").replace("w3] AS", "w3) AS").replace("FROM conversations", "FROM {c}"), c=c)
 
 
-@query(f"""WITH o AS ({OPTED}), l AS (SELECT k, opts, trim(regexp_replace(trim(regexp_replace(split_part(trim(said), chr(10), 1), '<[^>]+>', '', 'g')), '^\\.+|\\.+$', '', 'g')) AS t FROM o),
+ORACLE_SQL_OF_OPTIONS = f"""WITH o AS ({OPTED}), l AS (SELECT k, opts, trim(regexp_replace(trim(regexp_replace(split_part(trim(said), chr(10), 1), '<[^>]+>', '', 'g')), '^\\.+|\\.+$', '', 'g')) AS t FROM o),
 p AS (SELECT *, {ONORM.format('t')} AS nt, [{ONORM.format('x')} FOR x IN opts] AS ns FROM l),
 h AS (SELECT *, [i FOR i IN range(1, 5) IF opts[i] = t] AS ex, [i FOR i IN range(1, 5) IF nt <> '' AND ns[i] = nt] AS eq, [i FOR i IN range(1, 5) IF ns[i] <> '' AND contains(nt, ns[i])] AS held, [i FOR i IN range(1, 5) IF nt <> '' AND starts_with(ns[i], nt)] AS st FROM p),
 g AS (SELECT *, [i FOR i IN held IF length(ns[i]) = list_max([length(ns[j]) FOR j IN held])] AS lg FROM h)
 SELECT k, CASE WHEN len(ex) > 0 THEN opts[ex[1]] WHEN len(eq) > 0 THEN opts[eq[1]] WHEN len(held) = 1 THEN opts[held[1]] WHEN len(lg) = 1 THEN opts[lg[1]] WHEN len(st) = 1 THEN opts[st[1]] ELSE t END AS option,
- CASE WHEN len(ex) > 0 THEN 'exact' WHEN len(eq) > 0 THEN 'normalised' WHEN len(held) = 1 THEN 'contained' WHEN len(lg) = 1 THEN 'contained_longest' WHEN len(st) = 1 THEN 'prefix' ELSE 'none' END AS kind FROM g""")
+ CASE WHEN len(ex) > 0 THEN 'exact' WHEN len(eq) > 0 THEN 'normalised' WHEN len(held) = 1 THEN 'contained' WHEN len(lg) = 1 THEN 'contained_longest' WHEN len(st) = 1 THEN 'prefix' ELSE 'none' END AS kind FROM g"""
+
+
+@query(ORACLE_SQL_OF_OPTIONS)
 def txt6_option(t):
     return opted(t).select("k", T.parsed_option(F.col("said"), F.col("opts")).alias("x")).select("k", "x.*")
 
