@@ -295,6 +295,13 @@ def coverage_groups(rows: DataFrame, arm: str, entity: str) -> DataFrame:
     return sets.groupBy(F.md5(F.concat_ws(",", F.transform("_set", lambda x: x.cast("string"))).cast("binary")).alias("coverage")).agg(F.array_sort(F.collect_list(arm)).alias("arms"), F.first(F.size("_set")).alias("entities"))
 
 
+def coverage_classes(rows: DataFrame, arm: str, entity: str) -> DataFrame:
+    """Arms grouped by the set of entities that they cover, told by its size and two sums of hashes: no set is gathered."""
+    h = [F.sum(F.xxhash64(F.col(entity), F.lit(i)).cast("decimal(38,0)")).alias(f"_h{i}") for i in (1, 2)]
+    sums = rows.select(arm, entity).distinct().groupBy(arm).agg(F.count(F.lit(1)).alias("entities"), *h)
+    return sums.groupBy("entities", "_h1", "_h2").agg(F.array_sort(F.collect_list(arm)).alias("arms")).select("arms", "entities")
+
+
 def validity_gates(rows: DataFrame, reference: str, arm: str, entity: str, should_change: str, should_stay: str) -> DataFrame:
     """By arm: how often the input that should change did, and the one that should stay did; and a verdict."""
     base = rows.where(F.col(arm) == reference).select(entity, F.col(should_change).alias("_c"), F.col(should_stay).alias("_s"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from armwise.functions.sequence import pick
+from armwise.sources.writers import scratch
 
 
 def draws(spark: SparkSession, n: int) -> DataFrame:
@@ -15,8 +16,22 @@ def draws(spark: SparkSession, n: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows with their place from 0 in their group, and the group's size."""
-    return rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """Rows with their place from 0 in their group, and the group's size.
+
+    Without a group, places come from range partitions and their offsets, so that no task holds all rows.
+    """
+    if by:
+        return rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    path = scratch(rows.sparkSession, "numbered")
+    laid.write.parquet(path)
+    laid = rows.sparkSession.read.parquet(path).withColumn("_p", F.shiftright("_at", 33))  # a partition's ids start at its number times 2^33
+    sizes = laid.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    placed = laid.join(F.broadcast(sizes), "_p").withColumn("_i", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    return placed.drop("_p", "_at", "_before")
 
 
 def resampled(units: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], n_draws: int, salt: str = "boot") -> DataFrame:
@@ -62,14 +77,33 @@ def paired_difference(rows: DataFrame, unit: str, a: str, b: str, n_draws: int =
     return resampled(units, [], [unit], [a, b, "_one"], n_draws, salt).select("draw", ((F.col(a) - F.col(b)) / F.col("_one")).alias("difference"))
 
 
+#: The Poisson(1) distribution function at 0, 1, ..., 5.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def _poisson(seed: Column) -> Column:
+    """A Poisson(1) number, 6 at most, from the hash of a seed."""
+    u = pick(seed) / F.lit(float(1 << 48))
+    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0)).cast("long")
+
+
 def poisson_weights(units: DataFrame, key: str, n_draws: int, salt: str = "weight") -> DataFrame:
     """key, draw and a Poisson(1) weight by hash: the weights that several statistics share, without a common size to know."""
-    u = pick(F.lit(salt), F.col("draw").cast("string"), F.col(key).cast("string")) / F.lit(float(1 << 48))
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
+    weight = _poisson(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(key).cast("string")))
     return units.select(key, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).withColumn("weight", weight)
 
 
+def poisson_mean(rows: DataFrame, by: Sequence[str], value: str, key: str, n_draws: int, salt: str = "poisson") -> DataFrame:
+    """by, draw, the weighted sum of value and the sum of Poisson(1) weights, which hashes of draw and key give.
+
+    A row needs nothing but its own key, so there is no join: draws are made and summed where rows lie, and a task shuffles a
+    row a group and draw.
+    """
+    w = _poisson(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(key).cast("string")))
+    drawn = rows.select(*by, key, value, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).withColumn("_w", w)
+    return drawn.groupBy(*by, "draw").agg(F.sum(F.col("_w") * F.col(value)).alias(value), F.sum("_w").alias("n"))
+
+
 def sign_flip(rows: DataFrame, unit: str, difference: str, n_draws: int = 10_000, two_sided: bool = False, salt: str = "flip") -> DataFrame:
     """A permutation test by random signs over units: n, observed sum, draws at least as large, p = (ge + 1) / (draws + 1).
 

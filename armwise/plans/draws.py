@@ -157,3 +157,23 @@ def ml5_pooled_rows(t):
 @query("SELECT vec_id, label, " + PICK.format("'fold|' || (vec_id % 50)") + " % 3 AS fold FROM embeddings")
 def ml1_folds(t):
     return B.folds(t("embeddings").withColumn("group", F.col("vec_id") % 50), "group", 3).select("vec_id", "label", F.col("fold").cast("long").alias("fold"))
+
+
+_W = " + ".join(f"({PICK.format(chr(39) + 'poisson|' + chr(39) + ' || d || ' + chr(39) + '|' + chr(39) + ' || p_partkey')} / 281474976710656.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in R.POISSON)
+
+
+@query(f"WITH w AS (SELECT p_type, d AS draw, p_size, {_W} AS w FROM part, range(40) r(d)) SELECT p_type, draw, sum(w * p_size)::BIGINT AS v, sum(w)::BIGINT AS n FROM w GROUP BY 1, 2")
+def bst1_poisson_mean(t):
+    return R.poisson_mean(t("part").select("p_type", "p_partkey", F.col("p_size").cast("long").alias("v")), ["p_type"], "v", "p_partkey", 40).withColumn("draw", F.col("draw").cast("long"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS c, c_custkey % 7 AS a, c_custkey % 5 AS b, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer), k AS (SELECT d AS draw, {PICK.format("'paired|' || d || '|' || i")} % n AS i FROM p, range(30) r(d))
+SELECT draw, (sum(a) - sum(b)) / count(*)::DOUBLE AS difference FROM k JOIN p USING (i) GROUP BY 1""")
+def bst4_paired_customers(t):
+    rows = t("customer").select(F.col("c_custkey").alias("c"), (F.col("c_custkey") % 7).alias("a"), (F.col("c_custkey") % 5).alias("b"))
+    return R.paired_difference(rows, "c", "a", "b", 30).withColumn("draw", F.col("draw").cast("long"))
+
+
+@query("WITH s AS (SELECT l_returnflag || l_linestatus AS arm, list_sort(list(DISTINCT l_linenumber)) AS l FROM lineitem GROUP BY 1) SELECT list_sort(list(arm)) AS arms, len(l)::BIGINT AS entities FROM s GROUP BY l")
+def set6_coverage_classes(t):
+    return M.coverage_classes(t("lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("arm"), F.col("l_linenumber").alias("e")), "arm", "e")
