@@ -7,8 +7,8 @@ connected over shared prefix tokens come together in blocks of bounded size. The
 group; groups that share a prefix token are filtered by size, and the members of the pairs that are left are verified where
 they are not connected already.
 
-Hashes travel packed: a map task writes, for each range of hashes, one row of sorted arrays, so that counting every token of
-the corpus shuffles ten bytes a token, and the counts return only for tokens that repeat.
+Hashes travel packed: a map task writes, for each range of hashes, one row of sorted arrays as differences, so that counting
+every token of the corpus shuffles some eight bytes a token, and the counts return only for tokens that repeat.
 """
 
 from __future__ import annotations
@@ -31,8 +31,27 @@ CHUNK_TOKENS, CHUNK_DOCS, BLOCK, MANY = 1_000_000, 60_000, 2_000, 8
 _PACKED = "bucket int, chunk long, kind int, a binary, b binary, c binary"
 
 
-def _row(bucket: int, chunk: int, kind: int, *parts: np.ndarray) -> tuple:
-    return (bucket, chunk, kind, *[p.tobytes() for p in parts], *[None] * (3 - len(parts)))
+def _row(bucket: int, chunk: int, kind: int, *parts: bytes) -> tuple:
+    return (bucket, chunk, kind, *parts, *[None] * (3 - len(parts)))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte of rank, so that the empty high bytes of small ones lie together and compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _whole(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(ordered: np.ndarray) -> bytes:
+    """Sorted tokens as differences."""
+    return _planes(np.diff(ordered, prepend=at.U(0)))
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    return np.cumsum(_whole(data, "<u8"), dtype=np.uint64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -57,9 +76,9 @@ def _pack(sets: list[np.ndarray], keys: list[int | None], chunk: int, buckets: i
     for k in range(buckets):
         a, b = bounds[k], bounds[k + 1]
         if b > a:
-            rows.append(_row(k, chunk, 0, flat[a:b].astype("<u8"), doc[a:b].astype("<u2")))
+            rows.append(_row(k, chunk, 0, _steps(flat[a:b]), _planes(doc[a:b])))
     ids = np.array([(0, 1) if k is None else (k, 0) for k in keys], "<i8").reshape(-1, 2)
-    rows.append(_row(chunk % buckets, chunk, 1, ids, n.astype("<i8"), prints.astype("<u8")))
+    rows.append(_row(chunk % buckets, chunk, 1, ids.tobytes(), n.astype("<i8").tobytes(), prints.astype("<u8").tobytes()))
     yield _batch(rows)
 
 
@@ -103,8 +122,8 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
                 if r[2]:
                     meta.append(r)
                     continue
-                tokens.append(np.frombuffer(r[3], "<u8"))
-                docs_of.append(np.frombuffer(r[4], "<u2"))
+                tokens.append(_tokens(r[3]))
+                docs_of.append(_whole(r[4], "<u2"))
                 chunks.append(r[1])
             if meta:
                 yield _batch(meta)
@@ -125,7 +144,7 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
             for i, chunk in enumerate(chunks):
                 own = back[bounds[i] : bounds[i + 1]]
                 if len(own):
-                    out.append(_row(bucket, chunk, 0, token[own].astype("<u8"), df[own].astype("<u4"), doc[own].astype("<u2")))
+                    out.append(_row(bucket, chunk, 0, _steps(token[own]), _planes(df[own].astype("<u4")), _planes(doc[own])))
             if out:
                 yield _batch(out)
 
@@ -137,9 +156,9 @@ def token_table(docs: DataFrame, key: str, text: str, words: int, share: tuple[i
                 if r[2]:
                     ids, n, prints = np.frombuffer(r[3], "<i8").reshape(-1, 2), np.frombuffer(r[4], "<i8"), np.frombuffer(r[5], "<i8").reshape(-1, 2)
                 else:
-                    tokens.append(np.frombuffer(r[3], "<u8"))
-                    dfs.append(np.frombuffer(r[4], "<u4"))
-                    docs_of.append(np.frombuffer(r[5], "<u2"))
+                    tokens.append(_tokens(r[3]))
+                    dfs.append(_whole(r[4], "<u4"))
+                    docs_of.append(_whole(r[5], "<u2"))
             token, df, doc = np.concatenate(tokens), np.concatenate(dfs), np.concatenate(docs_of)
             order = np.lexsort((token, df, doc))
             token, doc = token[order], doc[order]
