@@ -27,7 +27,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments whose ids a worker remembers; bytes of text that are cut into segments at once, unless one text is longer.
-REMEMBERED, SLICE = 250_000, 1 << 20
+REMEMBERED, SLICE = 400_000, 1 << 20
 
 
 @dataclass
@@ -166,8 +166,8 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         got: list[list[int]] = []
-        for lo in range(0, len(new), 4096):  # an encoding holds far more than its ids
-            got += [e.ids for e in self.library.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False)]
+        for lo in range(0, len(new), 16384):  # an encoding holds far more than its ids
+            got += [e.ids for e in self.library.encode_batch_fast(new[lo : lo + 16384], add_special_tokens=False)]
         n = len(self.known)
         for i, (a, b) in enumerate(zip(got, self._other(new), strict=True)):
             if a == b:

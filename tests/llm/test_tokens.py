@@ -107,3 +107,41 @@ def test_words_apart_encode_as_whole_texts(library, texts):
     ids, ends = token_files._encoder(vocabulary(WORDS)).encode(pa.array(texts, pa.string()), 2)
     got = [x.tolist() for x in np.split(ids, ends)[:-1]]
     assert got == [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def message(*fields: tuple[int, bytes | float | int]) -> bytes:
+    """A protobuf message: bytes, floats and small integers by field number."""
+    out = b""
+    for n, v in fields:
+        if isinstance(v, bytes):
+            size = b""
+            k = len(v)
+            while True:
+                size += bytes([k & 127 | (128 if k > 127 else 0)])
+                k >>= 7
+                if not k:
+                    break
+            out += bytes([n << 3 | 2]) + size + v
+        elif isinstance(v, float):
+            out += bytes([n << 3 | 5]) + np.float32(v).tobytes()
+        else:
+            out += bytes([n << 3, v])
+    return out
+
+
+def test_rebuilt_unigram_model_gives_sentencepiece_s_ids(tmp_path):
+    """A model file written by hand: unigram scores, a dummy prefix and single spaces."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(p, s, 1) for p, s in (("▁", -3.1), ("▁the", -2.2), ("▁qu", -4.5), ("ick", -4.1), ("▁quick", -7.3), ("fox", -6.2), ("▁f", -5.9), ("ox", -5.2), ("ze", -6.6), ("bra", -6.7), ("▁zebra", -12.9))]
+    pieces += [(chr(97 + i), -8.0 - i / 8, 1) for i in range(26)]
+    model = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    model += message((2, message((3, 1))), (3, message((3, 1), (4, 1), (5, 1))))
+    path = tmp_path / "m.model"
+    path.write_bytes(model)
+    codec, other = piece_codec.Codec(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert codec.model.kind == piece_codec.UNIGRAM and codec.model.one_space
+    for t in ["the quick fox", "", "  two  ends  ", "zebra quick", "foxbox thethe", "a  b   c", "naïve", "quickthe zebrabra"]:
+        (ids, same), = codec.encode([t])
+        assert same and ids.tolist() == other.encode(t), t
