@@ -165,10 +165,10 @@ def txt22_stem_gene(t):
     return t("part").select("p_partkey", T.stem_gene(stem).alias("gene"))
 
 
-@query("SELECT p_partkey, CASE WHEN 20 / p_size::DOUBLE >= 0.8 THEN 'head' || chr(10) || 'IPR2 part [3-4]' ELSE 'head' || chr(10) || 'IPR1 ' || p_name || ' [1-20]' || chr(10) || 'IPR2 part [3-4]' END AS kept FROM part WHERE p_size > 4")
+@query("SELECT p_partkey, 'head' || CASE WHEN 20 / p_size::DOUBLE >= 0.8 THEN '' ELSE chr(10) || 'IPR1 ' || p_name || ' [1-20]' END || CASE WHEN 2 / p_size::DOUBLE >= 0.8 THEN '' ELSE chr(10) || 'IPR2 part [3-4]' END AS kept FROM part")
 def txt23_long_entries_removed(t):
     lines = F.concat(F.lit("head\nIPR1 "), "p_name", F.lit(" [1-20]\nIPR2 part [3-4]"))
-    return t("part").where("p_size > 4").select("p_partkey", T.without_long_entries(lines, F.col("p_size")).alias("kept"))
+    return t("part").select("p_partkey", T.without_long_entries(lines, F.col("p_size")).alias("kept"))
 
 
 @query("SELECT p_partkey, 'Which ' || p_type || '?' || chr(10) || 'A) ' || p_name || chr(10) || 'B) ' || p_brand AS prompt FROM part")

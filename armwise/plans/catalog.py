@@ -491,10 +491,10 @@ def jn8_same_text_pairs(t):
     return P.same_text_pairs(t("part"), "p_name", "p_partkey", "p_brand", "p_type")
 
 
-@query(f"WITH {EDGES}, ty AS (SELECT DISTINCT term FROM closed WHERE distance = 0 AND NOT contains(term, ' ')) SELECT a.term AS a, b.term AS b FROM ty a JOIN ty b ON a.term <> b.term WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE (c.term = a.term AND c.ancestor = b.term) OR (c.term = b.term AND c.ancestor = a.term))")
+@query(f"WITH {EDGES}, ty AS (SELECT DISTINCT term FROM closed WHERE distance = 0) SELECT a.term AS a, b.term AS b FROM ty a JOIN ty b ON a.term <> b.term WHERE NOT EXISTS (SELECT 1 FROM closed c WHERE (c.term = a.term AND c.ancestor = b.term) OR (c.term = b.term AND c.ancestor = a.term))")
 def jn9_unrelated_pairs(t):
     c = O.closure(edges(t))
-    types = c.where("distance = 0 and not contains(term, ' ')").select("term")
+    types = c.where("distance = 0").select("term")
     return P.unrelated_pairs(types, c.where("distance > 0").select(F.col("term").alias("a"), F.col("ancestor").alias("b")), "term")
 
 
@@ -697,12 +697,12 @@ def dag5_most_informative(t):
     return best.join(info.select(F.col("term").alias("mica"), "descendants"), "mica").select("a", "b", "mica", "descendants")
 
 
-FACTS = "fc AS (SELECT DISTINCT p_name AS term, 'brand' AS relation, p_brand AS object FROM part WHERE p_size < 5 UNION SELECT DISTINCT 'a:' || split_part(p_name, ' ', 1), 'like', left(p_name, 1) FROM part), inh AS (SELECT DISTINCT c.term, relation, object FROM closed c JOIN fc ON fc.term = c.ancestor)"
+FACTS = "fc AS (SELECT DISTINCT p_name AS term, 'brand' AS relation, p_brand AS object FROM part UNION SELECT DISTINCT 'a:' || split_part(p_name, ' ', 1), 'like', left(p_name, 1) FROM part), inh AS (SELECT DISTINCT c.term, relation, object FROM closed c JOIN fc ON fc.term = c.ancestor)"
 
 
 def facts(t: Tables) -> DataFrame:
     p = t("part")
-    own = p.where("p_size < 5").select(F.col("p_name").alias("term"), F.lit("brand").alias("relation"), F.col("p_brand").alias("object"))
+    own = p.select(F.col("p_name").alias("term"), F.lit("brand").alias("relation"), F.col("p_brand").alias("object"))
     up = p.select(F.concat(F.lit("a:"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("term"), F.lit("like").alias("relation"), F.substring("p_name", 1, 1).alias("object"))
     return own.unionByName(up).distinct()
 

@@ -78,9 +78,9 @@ def src7_done_keys(t):
     return R.read_done(o.sparkSession, path, ORDER, ["o_orderkey"])
 
 
-@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, role, md5(coalesce(nullif(text, ''), '-')) AS digest FROM conversations")
 def src9_csv_fields(t):
-    c, path = t("conversations").where("text <> ''"), new(t("conversations"), "csv")
+    c, path = t("conversations").withColumn("text", F.coalesce(F.nullif("text", F.lit("")), F.lit("-"))), new(t("conversations"), "csv")  # CSV cannot tell nothing from empty
     W.write_csv(c, path)
     return R.read_csv(c.sparkSession, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("digest"))
 
