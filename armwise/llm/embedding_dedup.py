@@ -74,7 +74,7 @@ def list_keys(nearest: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _block(members: list[tuple], least: float, cross: bool, kind: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted links of each member (key, node, copies, vector, nearest, part) and connecting edges, for one list or one pair of parts."""
+    """Weighted links of each member (key, node, copies, vector, nearest, part), in order of node, and connecting edges to the smallest node, for one list or one pair of parts."""
     key = members[0][0]
     x = _unit([m[3] for m in members], kind)
     near = np.stack([np.frombuffer(m[4], np.int16) for m in members])
@@ -181,7 +181,7 @@ def _search(spark: SparkSession, classes: DataFrame, least: float, kind: str) ->
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in _grouped(batches, 0):
-            members = [m[1:] for m in members]
+            members = sorted((m[1:] for m in members), key=lambda m: m[1])
             links, edges = _block(members, least, members[0][6] != members[0][7], kind)
             u = [m[1] for m, n in zip(members, links, strict=True) if n] + [e[0] for e in edges]
             v = [None for n in links if n] + [e[1] for e in edges]
