@@ -94,3 +94,36 @@ def test_obfuscated_words_are_classified(spark):
     got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
     assert {x: got[1000 + i] for i, x in enumerate(forms)} == dict.fromkeys(forms, 1)
     assert got[2000] == 0
+
+
+def plain_statistics(text: str | None) -> list[float]:
+    """The statistics of one text by words and characters, without arrays."""
+    t = text or ""
+    ws = plain.WORD.findall(plain.lower(t))
+    n, size = len(ws), sum(len(w.encode()) for w in ws)
+    shares = [sum(t.count(c) for c in chars) / max(size, 1) for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#$%&*<>", "!", "|", "0123456789", ".,;:?")]
+    out = [np.log1p(n), np.log1p(size / max(n, 1)), *np.sqrt(shares), np.log(max(n, 1) / (t.count("\n") + 1) + 1), 0.0, 0.0, 0.0]
+    if n > 1:
+        pairs = list(zip(ws, ws[1:], strict=False))
+        out[9:] = [np.sqrt(sum(a == b for a, b in pairs) / (n - 1)), np.log1p(len(set(ws)) - 1) / np.log1p(n), np.sqrt((len(pairs) - len(set(pairs))) / n)]
+    return out
+
+
+def test_scores_are_those_of_a_plain_version(spark):
+    from armwise.llm.calibration import calibrate
+
+    docs, labels = (spark.read.parquet(f"{plain.SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    x = {k: np.array(plain_statistics(t)) for k, t in texts.items()}
+    order = list(texts)
+    assert np.allclose(quality_classifier.statistics(pa.array([texts[k] for k in order])), [x[k] for k in order])
+    groups = [np.array([x[k] for k in order if plain.crc(k) % 4 != 2 and label.get(k) == c]) for c in (0, 1)]
+    model = quality_classifier.fit(np.array([float(len(g)) for g in groups]), np.array([g.sum(0) for g in groups]), np.array([g.T @ g for g in groups]))
+    d = [model.difference(g) for g in groups]
+    slope, shift = calibrate(np.concatenate(d), np.repeat([0.0, 1.0], list(map(len, d))), np.repeat([1.0, 0.0], list(map(len, d))))
+    want = {k: 1 / (1 + np.exp(-(slope * model.difference(x[k][None])[0] + shift))) for k in order}
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    near = [abs(got[k].score - want[k]) for k in order]
+    assert max(near) < 0.02 and np.mean(np.array(near) < 1e-6) > 0.98  # a difference is rounded to tenths, which sums in another order can turn
+    assert all(got[k].predicted == int(got[k].score >= 0.7) for k in order)
