@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from armwise.llm import arrowtext as at
 from armwise.llm.calibration import calibrate
 from armwise.llm.common import remainder, written
+from armwise.llm.memo import slices, spread
 
 #: Characters that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -22,6 +23,10 @@ SEPARATORS = ".-_*'~/"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: A longer run of '*' is a rule or a mark, and parts letters; in a shorter one each may stand for any letter.
 STARS = 3
+#: Paths of a token's lattice that are written out at most; tokens of more are decoded state by state.
+PATHS = 64
+#: Bytes of text whose words are looked at together, unless one text is longer.
+SLICE = 2 << 20
 #: Log-probabilities of the channel: a letter written as another sign, a separator put in, a letter repeated, a space put between single letters or meant.
 STANDS, PARTS, REPEATS, JOINED, MEANT = np.log([0.3, 0.5, 0.2, 0.9, 0.1]).tolist()
 #: Labelled documents that a fit takes at most, and contexts that weigh as much as the prior.
@@ -86,12 +91,40 @@ def _any_letter(states: dict, lm: np.ndarray) -> dict:
     return after
 
 
-def restore(token: str, lm: np.ndarray) -> str:
-    """The likeliest writing of a token; blanks part single letters. States are the last two codes; time is linear in length."""
+def _ended(state: tuple[int, int], stars: int, lm: np.ndarray) -> tuple[float, list[str]]:
+    """What some last stars add to the score of a state, and the letters that they stand for: as _any_letter and a word's end, over a table of all states."""
+    table = np.full((N, N), -np.inf)
+    table[state] = 0.0
+    steps = []
+    for _ in range(stars):
+        rows = np.flatnonzero((table > -np.inf).any(1))
+        reached = table[rows][:, :, None] + lm[rows][:, :, 1:27] + STANDS
+        best, which = reached.max(0), rows[reached.argmax(0)]
+        table = table + PARTS
+        letter = best > table[:, 1:27]
+        table[:, 1:27] = np.where(letter, best, table[:, 1:27])
+        steps.append((letter, which))
+    table += lm[:, :, 0]
+    a, b = (int(i) for i in np.unravel_index(table.argmax(), table.shape))
+    gain, said = float(table[a, b]), []
+    for letter, which in reversed(steps):
+        if 1 <= b <= 26 and letter[a, b - 1]:
+            said.append(LETTERS[b - 1])
+            a, b = int(which[a, b - 1]), a
+    return gain, said[::-1]
+
+
+def restore(token: str, lm: np.ndarray, ends: dict | None = None) -> str:
+    """The likeliest writing of a token; blanks part single letters. States are the last two codes; time is linear in length.
+
+    ends remembers, by state, what last stars stand for.
+    """
+    ends = {} if ends is None else ends
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     missing = "*" * (STARS + 1) not in token
-    for ch in token:
+    stars = len(token) - len(token.rstrip("*")) if missing else 0
+    for ch in token[: len(token) - stars]:
         if ch == "*" and missing:
             states, last = _any_letter(states, lm), ch
             continue
@@ -117,32 +150,97 @@ def restore(token: str, lm: np.ndarray) -> str:
                 if (x, y) not in after or after[x, y][0] < s:
                     after[x, y] = (s, (trail, out) if out else trail)
         states = after
-    best = max(states.items(), key=lambda x: x[1][0] + lm[x[0][0], x[0][1], 0])[1][1]
-    parts = []
+    top, best, parts = -np.inf, None, []
+    for k, (score, trail) in states.items():
+        if (*k, stars) not in ends:
+            ends[*k, stars] = _ended(k, stars, lm)
+        gain, said = ends[*k, stars]
+        if score + gain > top:
+            top, best, parts = score + gain, trail, list(said)
+    parts.reverse()
     while best:
         best, out = best
         parts.append(out)
     return "".join(reversed(parts))
 
 
+def _options(ch: str) -> list[tuple[str, float]]:
+    """What a sign other than a blank or a star that stands for a letter can be written for, with the channel's cost."""
+    steps = [(ch, 0.0)] if ch.isalpha() else [("", PARTS)] if ch in SEPARATORS else []
+    return steps + [(x, STANDS) for x in LEET.get(ch, "")] or [(ch, 0.0)]
+
+
+def restore_many(tokens: list[str], lm: np.ndarray, ends: dict | None = None) -> list[str]:
+    """restore of each token. A lattice of up to PATHS paths, as nearly all are, has its paths written out and scored together; others are decoded one by one."""
+    out = [""] * len(tokens)
+    known: dict[str, list[tuple[str, float]]] = {}
+    texts: list[str] = []
+    costs: list[float] = []
+    first, owner = [], []
+    for k, token in enumerate(tokens):
+        paths: list[tuple[str, float]] = [("", 0.0)]
+        last = ""
+        for ch in token:
+            steps = known.get(ch)
+            if steps is None:
+                steps = known[ch] = _options(ch)
+            if ch == last:
+                steps = [*(x for x in steps if x[0] != ch or ch.isalpha() or ch in LEET), ("", REPEATS)]
+            last = ch
+            if len(steps) == 1:
+                x, cost = steps[0]
+                paths = [(a + x, c + cost) for a, c in paths]
+            else:
+                paths = [(a + x, c + cost) for a, c in paths for x, cost in steps]
+            if len(paths) > PATHS:
+                break
+        if len(paths) > PATHS or " " in token or "*" in token:
+            out[k] = restore(token, lm, ends)
+            continue
+        first.append(len(texts))
+        owner.append(k)
+        texts += [a for a, _ in paths]
+        costs += [c for _, c in paths]
+    if not texts:
+        return out
+    data = [t.encode() for t in texts]
+    n = np.fromiter(map(len, data), np.int64, len(data))
+    codes = np.zeros(int(n.sum()) + 3 * len(data), np.int64)  # two bounds before each path, one after
+    block = np.cumsum(n + 3) - (n + 3)
+    codes[spread(block + 2, n)] = _CODE[np.frombuffer(b"".join(data), np.uint8)]
+    at_ = spread(block, n + 1)
+    steps_ = lm[codes[at_], codes[at_ + 1], codes[at_ + 2]]
+    score = np.add.reduceat(steps_, np.cumsum(n + 1) - (n + 1)) + np.array(costs)
+    sizes = np.diff(np.append(first, len(texts)))
+    best = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), sizes))
+    of = np.repeat(np.arange(len(first)), sizes)[best]
+    for i, k in zip(best[np.unique(of, return_index=True)[1]].tolist(), owner, strict=True):
+        out[k] = texts[i]
+    return out
+
+
 class Restorer:
     """Restores tokens, and remembers them."""
 
     def __init__(self, lm: np.ndarray) -> None:
         self.lm = lm
         self.known: dict[str, str] = {}
+        self.ends: dict = {}
 
-    def __call__(self, token: str) -> str:
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[token] = restore(token, self.lm)
-        return got
+    def __call__(self, tokens: list[str]) -> list[str]:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        new = list(dict.fromkeys(t for t in tokens if t not in self.known))
+        self.known.update(zip(new, restore_many(new, self.lm, self.ends), strict=True))
+        return [self.known[t] for t in tokens]
 
 
-def suspects(data: np.ndarray, w: at.Words) -> np.ndarray:
-    """Of each word with a letter, whether it may be obfuscated: a sign for a letter anywhere, a star, a separator inside, or a doubled letter."""
+def suspects(data: np.ndarray, w: at.Words, lm: np.ndarray) -> np.ndarray:
+    """Of each word with a letter, whether it may be obfuscated: a sign for a letter anywhere, a star, a separator inside, a letter three times, or a doubled letter.
+
+    Whether one of two equal letters is dropped depends on their neighbours alone; a word whose only doubled letters are of the
+    kind that decoding keeps means what it says, and is no suspect.
+    """
     n = len(data)
     pad = np.zeros(n + 4, np.uint8)
     pad[:n] = at._LOWER[data]
@@ -152,7 +250,14 @@ def suspects(data: np.ndarray, w: at.Words) -> np.ndarray:
     odd = leet[:n] | (pad[:n] == ord("*"))
     odd |= (pad[:n] == 0xE2) & (pad[1 : n + 1] == 0x82) & (pad[2 : n + 2] == 0xAC)  # the euro sign
     odd |= sep[:n] & np.append(False, ~blank[: n - 1])[:n] & ~blank[1 : n + 1]
-    odd |= alpha[:n] & (pad[:n] == pad[1 : n + 1]) & (pad[:n] < 128)
+    twice = np.flatnonzero(alpha[:n] & (pad[:n] == pad[1 : n + 1]) & (pad[:n] < 128))
+    opens, closes = np.zeros(n + 4, bool), np.zeros(n + 4, bool)
+    opens[w.starts], closes[w.ends - 1] = True, True
+    twice = twice[~closes[twice]]
+    letter = _CODE[pad[twice]]
+    before, after = np.where(opens[twice], 0, _CODE[pad[twice - 1]]), np.where(closes[twice + 1], 0, _CODE[pad[twice + 2]])
+    dropped = lm[before, letter, after] + REPEATS >= lm[before, letter, letter] + lm[letter, letter, after]
+    odd[twice[dropped | (~closes[twice + 1] & (pad[twice] == pad[twice + 2]))]] = True
     odd |= (pad[:n] >= 0xC0) & (pad[:n] == pad[2 : n + 2]) & (pad[1 : n + 1] == pad[3 : n + 3])
     some = at.counts_between(odd, w.starts, w.ends) > 0
     return some & (at.counts_between(alpha[:n], w.starts, w.ends) > 0)
@@ -198,63 +303,68 @@ def _word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return out
 
 
-def evidence(column: pa.Array, restorer: Restorer) -> Iterator[Evidence]:
+def extras(column: pa.Array, restorer: Restorer) -> list[str]:
+    """Of each text, what its suspect words and runs of short words are restored to, where that is not what they say."""
+    out: list[list[str]] = [[] for _ in range(len(column))]
     for s in at.slices(column):
         w = at.find_words(s)
         rows = np.repeat(np.arange(s.lo, s.hi), np.diff(w.first))
-        f = _word_features(s.data, w.starts, w.ends)
-        left = np.append(np.zeros(1, np.uint64), f[:-1, 0])[: len(f)]
-        left[w.first[:-1][w.first[:-1] < len(f)]] = 0
-        again: list[tuple[int, bytes]] = []
-        odd = np.flatnonzero(suspects(s.data, w))
+        odd = np.flatnonzero(suspects(s.data, w, restorer.lm))
         _, first, place = np.unique(at.hash_spans(s.data, w.starts[odd], w.ends[odd]), return_index=True, return_inverse=True)
-        meant = [restorer(s.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "replace").lower()).encode().split() for i in odd[first]]
-        again += [(int(r), x) for r, k in zip(rows[odd], place, strict=True) for x in meant[k]]
-        for a, b in dict.fromkeys(runs(s.data, w, rows, 1) + runs(s.data, w, rows, 2)):
-            text = b" ".join(s.data[w.starts[i] : w.ends[i]].tobytes() for i in range(a, b)).decode("utf-8", "replace").lower()
-            again += [(int(rows[a]), x) for x in restorer(text).encode().split()]
-        if again:
-            joined = np.frombuffer(b" ".join(x for _, x in again), np.uint8)
-            ends = np.cumsum([len(x) + 1 for _, x in again]) - 1
-            starts = ends - [len(x) for _, x in again]
-            f = np.concatenate([f, _word_features(joined, starts, ends)])
-            rows = np.append(rows, [r for r, _ in again])
-            left = np.append(left, np.zeros(len(again), np.uint64))
-        yield Evidence(rows, f, left)
+        said = [s.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8", "replace").lower() for i in odd[first].tolist()]
+        meant = restorer(said)
+        other = np.fromiter((a != b for a, b in zip(said, meant, strict=True)), bool, len(said))[place]
+        for r, k in zip(rows[odd][other].tolist(), place[other].tolist(), strict=True):
+            out[r].append(meant[k])
+        short = list(dict.fromkeys(runs(s.data, w, rows, 1) + runs(s.data, w, rows, 2)))
+        texts = [b" ".join(s.data[w.starts[i] : w.ends[i]].tobytes() for i in range(a, b)).decode("utf-8", "replace").lower() for a, b in short]
+        for (a, _), text, meaning in zip(short, texts, restorer(texts), strict=True):
+            if text != meaning:
+                out[int(rows[a])].append(meaning)
+    return [" ".join(x) for x in out]
+
+
+def evidence(column: pa.Array, extra: pa.Array) -> Evidence:
+    """The words of some texts, and, without neighbours, of what was restored of them."""
+    rows, features, left = [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(STEMS)), np.uint64)], [np.zeros(0, np.uint64)]
+    for texts, whole in ((column, True), (extra, False)):
+        for s in at.slices(texts):
+            w = at.find_words(s)
+            f = _word_features(s.data, w.starts, w.ends)
+            before = np.append(np.zeros(1, np.uint64), f[:-1, 0])[: len(f)] if whole else np.zeros(len(f), np.uint64)
+            before[w.first[:-1][w.first[:-1] < len(f)]] = 0
+            rows.append(np.repeat(np.arange(s.lo, s.hi), np.diff(w.first)))
+            features.append(f)
+            left.append(before)
+    return Evidence(np.concatenate(rows), np.concatenate(features), np.concatenate(left))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _tally(table: DataFrame, restorer_lm: np.ndarray, toxic: bool, only: np.ndarray | None) -> DataFrame:
+def _tally(table: DataFrame, toxic: bool, only: np.ndarray | None) -> DataFrame:
     """In how many documents of a class each feature occurs; the class's rows alone, and of the features only those given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(restorer_lm)
         for b in at.released(batches):
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                weight = part.column(1).to_numpy(zero_copy_only=False)
-                found = []
-                for e in evidence(part.column(0), r):
-                    f = e.features.ravel()
-                    rows = np.repeat(e.rows, e.features.shape[1])
-                    keep = f != 0
-                    if only is not None:
-                        keep &= _among(f, only)
-                    f, rows = f[keep], rows[keep]
-                    order = np.argsort(at.mix(f + rows.astype(np.uint64) * at.U(at._STEP)), kind="stable")
-                    f, rows = f[order], rows[order]
-                    first = np.append(True, (f[1:] != f[:-1]) | (rows[1:] != rows[:-1]))[: len(f)]
-                    found.append((f[first], weight[rows[first]]))
-                f = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-                n = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-                keys, place = np.unique(f, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(np.bincount(place, n, len(keys)).astype(np.int64))], ["f", "n"])
+            for part in slices(b, 0, SLICE):
+                weight = part.column(2).to_numpy(zero_copy_only=False)
+                e = evidence(part.column(0), part.column(1))
+                f = e.features.ravel()
+                rows = np.repeat(e.rows, e.features.shape[1])
+                keep = f != 0
+                if only is not None:
+                    keep &= _among(f, only)
+                f, rows = f[keep], rows[keep]
+                order = np.argsort(at.mix(f + rows.astype(np.uint64) * at.U(at._STEP)), kind="stable")
+                f, rows = f[order], rows[order]
+                first = np.append(True, (f[1:] != f[:-1]) | (rows[1:] != rows[:-1]))[: len(f)]
+                keys, place = np.unique(f[first], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(np.bincount(place, weight[rows[first]], len(keys)).astype(np.int64))], ["f", "n"])
 
     weight = F.col("n1" if toxic else "n0")
-    return table.where(weight > 0).select("text", weight.cast("long")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return table.where(weight > 0).select("text", "extra", weight.cast("long")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -263,21 +373,21 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
-def _contexts(table: DataFrame, lm: np.ndarray, only: np.ndarray) -> DataFrame:
+def _contexts(table: DataFrame, only: np.ndarray) -> DataFrame:
     """Of each given feature, the distinct left neighbours in toxic and in other documents: copies of a text add none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(lm)
         for b in at.released(batches):
-            n1, n0 = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            for e in evidence(b.column(0), r):
+            for part in slices(b, 0, SLICE):
+                n1, n0 = part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)
+                e = evidence(part.column(0), part.column(1))
                 f = e.features.ravel()
                 keep = _among(f, only)
                 rows = np.repeat(e.rows, e.features.shape[1])[keep]
                 left = np.repeat(e.left, e.features.shape[1])[keep]
                 yield pa.RecordBatch.from_arrays([_signed(f[keep]), _signed(left), pa.array(n1[rows] > 0), pa.array(n0[rows] > 0)], ["f", "context", "t", "o"])
 
-    seen = table.select("text", F.col("n1").cast("long"), F.col("n0").cast("long")).mapInArrow(run, "f long, context long, t boolean, o boolean")
+    seen = table.select("text", "extra", "n1", "n0").mapInArrow(run, "f long, context long, t boolean, o boolean")
     seen = seen.groupBy("f", "context").agg(F.max("t").alias("t"), F.max("o").alias("o"))
     return seen.groupBy("f").agg(F.sum(F.col("t").cast("long")).alias("c1"), F.sum(F.col("o").cast("long")).alias("c0"))
 
@@ -291,13 +401,13 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def share(self, column: pa.Array, restorer: Restorer) -> np.ndarray:
+    def share(self, column: pa.Array, extra: pa.Array) -> np.ndarray:
         """The largest share of toxic contexts among each text's features; a tenth of the base rate where it has none."""
         found = np.full(len(column), self.base / 10)
-        for e in evidence(column, restorer):
-            f = e.features.ravel()
-            hit = _among(f, self.features)
-            np.maximum.at(found, np.repeat(e.rows, e.features.shape[1])[hit], self.shares[np.searchsorted(self.features, f[hit])])
+        e = evidence(column, extra)
+        f = e.features.ravel()
+        hit = _among(f, self.features)
+        np.maximum.at(found, np.repeat(e.rows, e.features.shape[1])[hit], self.shares[np.searchsorted(self.features, f[hit])])
         return found
 
     def score(self, share: np.ndarray) -> np.ndarray:
@@ -332,32 +442,40 @@ def fit(docs: DataFrame, votes: DataFrame, lm: np.ndarray, key: str, text: str)
     """
     total = votes.count()
     sample = votes if total <= LABELLED else votes.orderBy(F.xxhash64(key), key).limit(LABELLED)
-    table = written(docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).drop(key), "labelled")
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = Restorer(lm)
+        for b in at.released(batches):
+            for part in slices(b, 0, SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(extras(part.column(0), r), pa.string()), part.column(1), part.column(2)], ["text", "extra", "n1", "n0"])
+
+    table = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("text", F.col("n1").cast("long"), F.col("n0").cast("long"))
+    table = written(table.mapInArrow(restored, "text string, extra string, n1 long, n0 long"), "labelled")
     n1, n0 = (x or 0 for x in table.agg(F.sum((F.col("n1") > 0).cast("long")), F.sum((F.col("n0") > 0).cast("long"))).first())
     base = n1 / max(1, n1 + n0)
     none = Model(lm, np.zeros(0, np.uint64), np.zeros(0), base if n1 + n0 else 0.5)
     if not n1:
         return none
-    toxic = written(_tally(table, lm, True, None).where("n >= 3"), "toxic")
+    toxic = written(_tally(table, True, None).where("n >= 3"), "toxic")
     first = np.sort(toxic.select("f").toPandas().f.to_numpy(np.int64).view(np.uint64))
-    others = _tally(table, lm, False, first).withColumnRenamed("n", "n0")
+    others = _tally(table, False, first).withColumnRenamed("n", "n0")
     share = (F.col("n") + PRIOR * base) / (F.col("n") + F.coalesce("n0", F.lit(0)) + PRIOR)
     lean = toxic.join(others, "f", "left").where(share > max(2 * base, 0.25)).select("f").toPandas()
     if not len(lean):
         return none
-    c = _contexts(table, lm, np.sort(lean.f.to_numpy(np.int64).view(np.uint64))).toPandas()
+    c = _contexts(table, np.sort(lean.f.to_numpy(np.int64).view(np.uint64))).toPandas()
     f = c.f.to_numpy(np.int64).view(np.uint64)
     share = ((c.c1 + PRIOR * base) / (c.c1 + c.c0 + PRIOR)).to_numpy(float)
     order = np.argsort(f)
     model = Model(lm, f[order], share[order], base)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = Restorer(lm)
         for b in at.released(batches):
-            x = np.round(_logit(model.share(b.column(0), r)), 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x), b.column(1), b.column(2)], ["x", "n1", "n0"])
+            for part in slices(b, 0, SLICE):
+                x = np.round(_logit(model.share(part.column(0), part.column(1))), 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x), part.column(2), part.column(3)], ["x", "n1", "n0"])
 
-    held = table.select("text", F.col("n1").cast("long"), F.col("n0").cast("long")).mapInArrow(shares, "x double, n1 long, n0 long")
+    held = table.select("text", "extra", "n1", "n0").mapInArrow(shares, "x double, n1 long, n0 long")
     held = held.groupBy("x").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toPandas()  # logits to two places: at most 1,900 rows
     return replace(model, **dict(zip(("slope", "shift"), calibrate(*held.to_numpy(float).T), strict=True)))
 
@@ -379,8 +497,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model.lm)
         for b in at.released(batches):
-            score = model.score(model.share(b.column(2), r))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= least).astype(np.int32))], [key, "held_out", "score", "predicted"])
+            for part in slices(b, 2, SLICE):
+                texts = part.column(2)
+                score = model.score(model.share(texts, pa.array(extras(texts, r), pa.string())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= least).astype(np.int32))], [key, "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(key), (remainder(key, by) == out).alias("held_out"), F.col(text))
     return rows.mapInArrow(run, f"{key} {kind}, held_out boolean, score double, predicted int")

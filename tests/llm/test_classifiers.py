@@ -4,6 +4,8 @@ import numpy as np
 import plain
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from armwise.llm import quality_classifier, toxicity
 
@@ -127,3 +129,32 @@ def test_scores_are_those_of_a_plain_version(spark):
     near = [abs(got[k].score - want[k]) for k in order]
     assert max(near) < 0.02 and np.mean(np.array(near) < 1e-6) > 0.98  # a difference is rounded to tenths, which sums in another order can turn
     assert all(got[k].predicted == int(got[k].score >= 0.7) for k in order)
+
+
+_LM = toxicity.language_model(toxicity.trigrams(pa.array(["the stupid idiot said hello to people walking along the river, naïve éclair sheep feel shall"] * 9)))
+
+
+def score_of(path: str, token: str, lm: np.ndarray) -> float:
+    """The best score of writing path as token, by all ways to do so."""
+    ways = {"": 0.0}
+    last = ""
+    for ch in token:
+        steps = [(ch, 0.0)] if ch.isalpha() else [("", toxicity.PARTS)] if ch in toxicity.SEPARATORS else []
+        steps += [(x, toxicity.STANDS) for x in toxicity.LEET.get(ch, "")]
+        steps += [("", toxicity.REPEATS)] if ch == last else []
+        last = ch
+        after: dict[str, float] = {}
+        for a, c in ways.items():
+            for x, cost in steps or [(ch, 0.0)]:
+                after[a + x] = max(after.get(a + x, -np.inf), c + cost)
+        ways = after
+    codes = [0, 0, *toxicity._CODE[np.frombuffer(path.encode(), np.uint8)].tolist(), 0]
+    return ways[path] + sum(lm[x] for x in zip(codes, codes[1:], codes[2:], strict=False))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abeilostéñ01$!@.-,#ß"), min_size=1, max_size=9), max_size=5))
+def test_paths_scored_together_are_as_likely_as_decoded_ones(tokens):
+    one, many = [toxicity.restore(t, _LM) for t in tokens], toxicity.restore_many(tokens, _LM)
+    for t, a, b in zip(tokens, one, many, strict=True):
+        assert a == b or np.isclose(score_of(a, t, _LM), score_of(b, t, _LM))
