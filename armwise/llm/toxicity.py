@@ -357,7 +357,7 @@ def _tally(table: DataFrame, toxic: bool, only: np.ndarray | None) -> DataFrame:
                 if only is not None:
                     keep &= _among(f, only)
                 f, rows = f[keep], rows[keep]
-                order = np.argsort(at.mix(f + rows.astype(np.uint64) * at.U(at._STEP)), kind="stable")
+                order = np.argsort(at.mix(f + rows.astype(np.uint64) * at.U(at._STEP)))
                 f, rows = f[order], rows[order]
                 first = np.append(True, (f[1:] != f[:-1]) | (rows[1:] != rows[:-1]))[: len(f)]
                 keys, place = np.unique(f[first], return_inverse=True)
@@ -368,9 +368,17 @@ def _tally(table: DataFrame, toxic: bool, only: np.ndarray | None) -> DataFrame:
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are among some ordered numbers; most that are not are told by their low bits."""
+    out = np.zeros(len(x), bool)
     if not len(ordered):
-        return np.zeros(len(x), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+        return out
+    low = at.U((1 << 20) - 1)
+    flags = np.zeros(1 << 20, bool)
+    flags[(ordered & low).astype(np.int64)] = True
+    maybe = np.flatnonzero(flags[(x & low).astype(np.int64)])
+    some = x[maybe]
+    out[maybe] = ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+    return out
 
 
 def _contexts(table: DataFrame, only: np.ndarray) -> DataFrame:
