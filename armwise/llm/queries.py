@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armwise.llm import embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, sharding, token_files, toxicity, warc
+from armwise.llm import annulus, embedding_dedup, mixing, ngram_join, piece_codec, quality_classifier, quality_rules, secrets, sharding, token_files, toxicity, vector_codes, warc
 
 
 def vocabulary(name: str) -> str:
@@ -61,6 +61,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_slot")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_pivot_index, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op9_cube_mix, op10_warc)}
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.join_sql(), "op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql()}
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_pivot_index, op4_toxicity, op5_piece_codec, op6_token_files, op7_quality_rules, op8_rendezvous_shards, op9_cube_mix, op10_warc, op11_annulus, op12_vector_codes, op13_secrets)}
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.join_sql(), "op7_quality_rules": quality_rules.rules_sql(), "op10_warc": warc.archive_sql(), "op11_annulus": annulus.cluster_sql(), "op12_vector_codes": vector_codes.encode_sql()}
