@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armwise.functions.sequence import pick
+from armwise.operators.matching import in_order
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -127,28 +128,11 @@ def matched_controls(targets: DataFrame, pool: DataFrame, within: Sequence[str],
 def greedy_nearest(targets: DataFrame, pool: DataFrame, within: str, key: str, value: str, tiers: Sequence[str] = ()) -> DataFrame:
     """One-to-one greedy pairs: targets in hash order take the nearest unused control, first among those that agree on most tiers.
 
-    Sequential by nature, so a group (one atlas, one cell) is one task's work: groups are bounded by the caller.
+    Pairs are those of one walk after the other; rounds over ranges of the axis make them (see matching), no group is one task's.
     """
-    names = [within, key, value, *tiers]
-    both = targets.select(*names, F.lit(True).alias("_t"), F.lit(False).alias("_c")).unionByName(pool.select(*names, F.lit(False).alias("_t"), F.lit(True).alias("_c")))
-    kind = targets.schema[key].dataType.simpleString()
-
-    def match(pdf):
-        import hashlib
-
-        import pandas as pd
-
-        t, c = pdf[pdf["_t"]], pdf[pdf["_c"]].sort_values([value, key])
-        free = dict(zip(c[key], c[[value, *tiers]].itertuples(index=False, name=None), strict=True))
-        out = []
-        for row in sorted(t.itertuples(index=False), key=lambda r: hashlib.md5(str(getattr(r, key)).encode()).hexdigest()):
-            mine = [getattr(row, x) for x in tiers]
-            best = min(free, key=lambda k: (next((i for i in range(len(tiers) + 1) if list(free[k][1 : 1 + len(tiers) - i]) == mine[: len(tiers) - i]), len(tiers)), abs(free[k][0] - getattr(row, value)), free[k][0], k), default=None)
-            if best is not None:
-                out.append((getattr(row, within), getattr(row, key), best, abs(free.pop(best)[0] - getattr(row, value))))
-        return pd.DataFrame(out, columns=[within, key, "control", "distance"])
-
-    return both.groupBy(within).applyInPandas(match, f"{within} {targets.schema[within].dataType.simpleString()}, {key} {kind}, control {kind}, distance double")
+    turn = targets.withColumn("_turn", F.md5(F.col(key).cast("string")))
+    levels = [tiers[: len(tiers) - i] for i in range(len(tiers) + 1)]
+    return in_order(turn, pool, [within], key, value, ["_turn"], levels).where("control is not null").drop("level")
 
 
 def with_source_arm(rows: DataFrame, entity: str, arm: str, text_arm: str, input_arm: str, text: str, other: str, name: str) -> DataFrame:
