@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,11 +251,85 @@ def salient(features: DataFrame, key: str, start: str, end: str, evidence: Colum
     return features.select(key, evidence.alias("evidence"), F.explode(F.sequence(start, end)).alias("place")).groupBy(key, "place").agg(F.min("evidence").alias("evidence"))
 
 
+#: Places of a block: spans are cut at blocks, so that a key's spans are swept in several tasks and a block's starts are bounded.
+BLOCK = 1 << 16
+
+
+def _pieces(features: DataFrame, key: str, start: str, end: str, *others: Column) -> DataFrame:
+    """key, block and the part (s, e) of every span in each block that it reaches; a span that ends before it starts has none."""
+    s, e = F.col(start).cast("long"), F.col(end).cast("long")
+    cut = features.where(e >= s).select(key, s.alias("_s"), e.alias("_e"), *others, F.explode(F.sequence(F.floor(s / BLOCK), F.floor(e / BLOCK))).alias("block"))
+    low = F.col("block") * BLOCK
+    return cut.withColumn("s", F.greatest("_s", low)).withColumn("e", F.least("_e", low + BLOCK - 1)).drop("_s", "_e")
+
+
+def covered_places(features: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """key and how many places its spans cover together, by a sweep over spans in order of start; no place becomes a row."""
+    far = _pieces(features, key, start, end).groupBy(key, "block", "s").agg(F.max("e").alias("e"))
+    before = F.max("e").over(Window.partitionBy(key, "block").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    new = far.withColumn("_new", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s") - 1, F.coalesce(before, F.col("s") - 1))))
+    return new.groupBy(key).agg(F.sum("_new").alias("covered"))
+
+
+def salient_segments(features: DataFrame, key: str, start: str, end: str, evidence: Column) -> DataFrame:
+    """key, start, end and evidence of segments: neighbouring places whose best evidence is the same, cut at blocks.
+
+    Spans of a block come sorted by start, one a start and evidence; a heap keeps those that the sweep is in.
+    """
+    best = _pieces(features, key, start, end, evidence.alias("v")).groupBy(key, "block", "s", "v").agg(F.max("e").alias("e"))
+    kinds = [f"{key} {features.schema[key].dataType.simpleString()}", "start long", "end long", f"evidence {best.schema['v'].dataType.simpleString()}"]
+
+    def segments(spans: list[tuple]) -> Iterator[tuple]:
+        points = sorted({s for s, _, _ in spans} | {e + 1 for _, e, _ in spans})
+        active: list[tuple] = []
+        held, i = None, 0
+        for a, b in zip(points, points[1:]):
+            while i < len(spans) and spans[i][0] == a:
+                heappush(active, (spans[i][2], spans[i][1]))
+                i += 1
+            while active and active[0][1] < a:
+                heappop(active)
+            now = active[0][0] if active else None
+            if held and held[2] == now and held[1] == a - 1:
+                held = (held[0], b - 1, now)
+                continue
+            if held:
+                yield held
+            held = (a, b - 1, now) if active else None
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                types[:] = [b.schema.types[0], pa.int64(), pa.int64(), b.schema.types[4]]
+                yield from ((r[:2], r[2:]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+        out: list[tuple] = []
+        for (k, _), group in groupby(each(), key=lambda r: r[0]):
+            out += [(k, *x) for x in segments([x for _, x in group])]
+            if len(out) > 50_000:
+                yield _batch(out, types, schema)
+                out = []
+        if out:
+            yield _batch(out, types, schema)
+
+    schema = [k.split()[0] for k in kinds]
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = best.where("v IS NOT NULL").select(key, "block", "s", "e", "v").repartition(parts, key, "block").sortWithinPartitions(key, "block", "s")
+    return dealt.mapInArrow(run, ", ".join(kinds))
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def largest_span(features: DataFrame, key: str, start: str, end: str, order: str) -> DataFrame:
     """key and its longest feature, the first by order where several are, and how many places all features cover together."""
     best = features.groupBy(key).agg(F.max_by(F.struct(start, end), F.struct((F.col(end) - F.col(start)).alias("n"), (-F.col(order)).alias("o"))).alias("_b"))
-    covered = salient(features, key, start, end, F.lit(0)).groupBy(key).agg(F.count(F.lit(1)).alias("covered"))
-    return best.join(covered, key).select(key, f"_b.{start}", f"_b.{end}", "covered")
+    return best.join(covered_places(features, key, start, end), key, "left").select(key, f"_b.{start}", f"_b.{end}", F.coalesce("covered", F.lit(0).cast("long")).alias("covered"))
 
 
 def around(x: Column, y: Column, before: int, after: int) -> Column:

@@ -235,6 +235,86 @@ def in_order(targets: DataFrame, pool: DataFrame, within: Sequence[str], key: st
     return named.join(took, "tid", "left").select(*mine, "control", F.abs(F.col("_v") - F.col("v")).alias("distance"), "level")
 
 
+def cheapest(cost: np.ndarray) -> np.ndarray:
+    """For each row of a cost matrix with no more rows than columns its column in an assignment of least total cost.
+
+    Rows join one by one along shortest augmenting paths in reduced costs; a step over all columns is one array operation.
+    """
+    n, m = cost.shape
+    u, v = np.zeros(n), np.zeros(m)
+    of = np.full(m, -1)
+    for i in range(n):
+        least, through = np.full(m, np.inf), np.full(m, -1)
+        done = np.zeros(m, bool)
+        row, j, far = i, -1, 0.0
+        while True:
+            reach = far + cost[row] - u[row] - v
+            nearer = ~done & (reach < least)
+            least[nearer], through[nearer] = reach[nearer], j
+            j = int(np.where(done, np.inf, least).argmin())
+            far = least[j]
+            done[j] = True
+            if of[j] < 0:
+                break
+            row = of[j]
+        settled = np.flatnonzero(done & (of >= 0))
+        u[of[settled]] += far - least[settled]
+        v[settled] -= far - least[settled]
+        u[i] += far
+        while j >= 0:
+            before = through[j]
+            of[j] = of[before] if before >= 0 else i
+            j = before
+    out = np.empty(n, int)
+    out[of[of >= 0]] = np.flatnonzero(of >= 0)
+    return out
+
+
+def assigned(left: DataFrame, right: DataFrame, within: Sequence[str], key: str, costs: dict[str, float], most: int = 1000, salt: str = "select") -> DataFrame:
+    """within, key, side, partner and cost: in each group the one-to-one pairs of left and right of least total cost.
+
+    A pair costs the sum of weight * |difference| over the columns that costs names. Every row comes back: partner is null for
+    the rows that the smaller side leaves over, and for those beyond `most` of a side, which are the last in hash order; so a
+    group is one task's work of a known size (most * most costs), which is a parameter of the experiment, as groups are
+    balanced samples. Keys are unique in a group and side; rows with a null cost column have no partner.
+    """
+    from armwise.functions.sequence import pick
+
+    kind = left.schema[key].dataType.simpleString()
+    group = F.to_json(F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(within)])) if within else F.lit("")
+    fields = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(costs)]
+    weights = np.array(list(costs.values()))
+    both = None
+    for side, rows in (("left", left), ("right", right)):
+        one = rows.select(group.alias("g"), F.lit(side).alias("side"), F.col(key).alias("key"), *fields, pick(F.lit(salt), F.lit(side), F.col(key).cast("string")).alias("h"), F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)], F.lit(0).alias("_")).alias("w"))
+        both = one if both is None else both.unionByName(one)
+    both = _kept(both, "sides")
+    whole = both.where(" AND ".join(f"c{i} IS NOT NULL" for i in range(len(costs))))
+    pieces = whole.withColumn("p", F.pmod(F.xxhash64("key"), F.lit(64)))  # a side of a group is cut before it is sorted as one
+    for by in (["g", "side", "p"], ["g", "side"]):
+        pieces = pieces.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "key"))).where(F.col("r") <= most)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == s].sort_values(["h", "key"]) for s in ("left", "right"))
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("g", "side", "key", "partner", "cost")})
+        swap = len(a) > len(b)
+        few, many = (b, a) if swap else (a, b)
+        x, y = (d[[f"c{i}" for i in range(len(costs))]].to_numpy(float) for d in (few, many))
+        total = np.zeros((len(x), len(y)))
+        for i, w in enumerate(weights):
+            total += w * np.abs(x[:, i, None] - y[None, :, i])
+        to = cheapest(total)
+        one, other = few["key"].to_numpy(), many["key"].to_numpy()[to]
+        names = ("right", "left") if swap else ("left", "right")
+        spent = total[np.arange(len(x)), to]
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "side": [names[0]] * len(one) + [names[1]] * len(one), "key": [*one, *other], "partner": [*other, *one], "cost": [*spent, *spent]})
+
+    met = pieces.select("g", "side", "key", "h", *[f"c{i}" for i in range(len(costs))]).groupBy("g").applyInPandas(pairs, f"g string, side string, key {kind}, partner {kind}, cost double")
+    out = both.join(met, ["g", "side", "key"], "left")
+    return out.select(*[F.col(f"w.w{i}").alias(c) for i, c in enumerate(within)], F.col("key").alias(key), "side", "partner", "cost")
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again."""
     path = scratch(df.sparkSession, name)

@@ -29,10 +29,11 @@ def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
     return now
 
 
-def propagated(annotations: DataFrame, closed: DataFrame, entity: Sequence[str], term: str = "term") -> DataFrame:
-    """Every term of an entity and all its ancestors, once."""
+def propagated(annotations: DataFrame, closed: DataFrame, entity: Sequence[str], term: str = "term", once: bool = True) -> DataFrame:
+    """Every term of an entity and all its ancestors; once, unless what follows makes sets of them anyway."""
     up = closed.select(F.col("term").alias(term), "ancestor")
-    return annotations.join(up, term).select(*entity, F.col("ancestor").alias(term)).distinct()
+    rows = annotations.join(up, term).select(*entity, F.col("ancestor").alias(term))
+    return rows.distinct() if once else rows
 
 
 def resolved(terms: DataFrame, alternatives: DataFrame, term: str = "term") -> DataFrame:
@@ -55,22 +56,18 @@ def corpus_information(annotations: DataFrame, term: str = "term") -> DataFrame:
 def information_accretion(annotations: DataFrame, edges: DataFrame, entity: str = "entity", term: str = "term") -> DataFrame:
     """term, n (entities with it), n_parents (entities with all its parents) and -log2(n / n_parents); 0 for roots.
 
-    annotations are propagated. A term of one parent has that parent's entities, which needs no join; for the others, the
-    entities of the rarest parent are held against the other parents by counting.
+    annotations are propagated; rows may repeat. They are shuffled once, into an entity's set of terms; an entity has all
+    parents of a term if its terms have the term as a child as often as the term has parents, which is counted where the set
+    lies. Only counts of terms are shuffled after that.
     """
-    have = annotations.select(entity, term).distinct()
-    n = have.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
-    parents = edges.select(F.col("child").alias(term), "parent").distinct()
-    needed = parents.groupBy(term).agg(F.count(F.lit(1)).alias("_k"))
-    sized = parents.join(n.select(F.col(term).alias("parent"), F.col("n").alias("_pn")), "parent", "left").withColumn("_pn", F.coalesce("_pn", F.lit(0)))
-    rarest = sized.groupBy(term).agg(F.min(F.struct("_pn", "parent")).alias("_m"), F.count(F.lit(1)).alias("_k"))
-    single = rarest.where("_k = 1").select(term, F.col("_m._pn").alias("n_parents"))
-    few = rarest.where("_k > 1").select(term, F.col("_m.parent").alias("parent"), "_k")
-    base = few.join(have.withColumnRenamed(term, "parent"), "parent").select(term, entity, "_k")
-    others = parents.join(few.select(term, F.col("parent").alias("_rarest")), term).where("parent <> _rarest").select(term, "parent")
-    met = base.join(others, term).join(have.withColumnRenamed(term, "parent"), ["parent", entity], "left_semi").groupBy(term, entity, "_k").agg(F.count(F.lit(1)).alias("_m"))
-    many = met.where("_m = _k - 1").groupBy(term).agg(F.count(F.lit(1)).alias("n_parents"))
-    whole = single.where("n_parents > 0").unionByName(many)
+    sets = annotations.where(F.col(term).isNotNull()).groupBy(entity).agg(F.collect_set(term).alias("_ts"))
+    parents = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
+    kids = parents.join(parents.groupBy("_c").agg(F.count(F.lit(1)).alias("_k")), "_c")
+    held = sets.select(entity, F.explode("_ts").alias(term))
+    n = held.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
+    met = held.join(kids, F.col(term) == F.col("_p")).groupBy(entity, "_c", "_k").agg(F.count(F.lit(1)).alias("_m"))
+    whole = met.where("_m = _k").groupBy(F.col("_c").alias(term)).agg(F.count(F.lit(1)).alias("n_parents"))
+    needed = kids.select(F.col("_c").alias(term), "_k").distinct()
     out = n.join(whole, term, "left").join(needed, term, "left")
     ia = F.when(F.col("_k").isNull(), 0.0).when(F.col("n_parents") > 0, -F.log2(F.col("n") / F.col("n_parents")))
     return out.select(term, "n", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), ia.alias("ia"))

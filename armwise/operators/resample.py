@@ -144,9 +144,57 @@ def weighted_slope(rows: DataFrame, by: Sequence[str], x: str, y: str, weight: s
     return s.select(*by, ((F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / F.nullif(F.col("w") * F.col("xx") - F.col("x") * F.col("x"), F.lit(0.0))).alias("slope"))
 
 
+#: Distinct values of a range that are ordered at once.
+ORDERED = 100_000
+
+
+def exact_quantile(rows: DataFrame, value: str, share: float) -> float | None:
+    """The quantile of a column of doubles by linear interpolation; null of none. Nulls are left out, NaN is the largest.
+
+    A range of values that holds the wanted ranks is narrowed: a sketch of bounded size proposes a smaller one, and counts say
+    whether it holds them. When few enough distinct values are left, their counts are ordered. No task holds more than those.
+    """
+    v = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n = v.count()
+    if not n:
+        return None
+    first = int(share * (n - 1))
+    last = min(first + 1, n - 1)
+    low, high, below = None, None, 0
+
+    def within(df: DataFrame) -> DataFrame:
+        return df if low is None else df.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+
+    inside, margin = n, 0.001
+    while True:
+        few = within(v).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        if low == high and low is not None or inside <= ORDERED or few.count() <= ORDERED:
+            break
+        at = (first - below) / max(1, inside - 1)
+        a, b = within(v).agg(F.percentile_approx("v", [max(0.0, at - margin), min(1.0, at + margin)], 10_000)).first()[0]
+        seen = within(v).agg(F.sum((F.col("v") < F.lit(a)).cast("long")), F.sum(((F.col("v") >= F.lit(a)) & (F.col("v") <= F.lit(b))).cast("long"))).first()
+        if below + seen[0] <= first and last < below + seen[0] + seen[1] and seen[1] < inside:
+            low, high, below, inside, margin = a, b, below + seen[0], seen[1], 0.001
+        else:
+            margin *= 4
+            if margin > 4:
+                break  # values stay together however the range is cut: their counts are ordered as they are
+    found, so_far = {}, below
+    for r in few.orderBy("v").toLocalIterator():
+        so_far += r.c
+        for rank in (first, last):
+            if rank < so_far:
+                found.setdefault(rank, r.v)
+        if last in found:
+            break
+    part = share * (n - 1) - first
+    return found[first] + (found[last] - found[first]) * part if part else found[first]
+
+
 def lowest_share(rows: DataFrame, value: str, share: float) -> DataFrame:
     """Rows at or below a quantile, interpolated."""
-    return rows.crossJoin(F.broadcast(rows.agg(F.percentile(value, share).alias("_cut")))).where(F.col(value) <= F.col("_cut")).drop("_cut")
+    cut = exact_quantile(rows, value, share)
+    return rows.where(F.lit(False)) if cut is None else rows.where(F.col(value) <= F.lit(cut))
 
 
 def rank_sum_test(rows: DataFrame, feature: str, group: str, value: str, target) -> DataFrame:
@@ -197,6 +245,23 @@ def logistic_odds(cells: DataFrame, by: Sequence[str], x: Sequence[str], y: str,
     return cells.groupBy(*by).applyInPandas(solve, f"{keys}, term string, coefficient double, odds_ratio double")
 
 
+def odds_intervals(cells: DataFrame, by: Sequence[str], x: Sequence[str], y: str, weight: str, unit: str, n_draws: int = 200, alpha: float = 0.05, salt: str = "odds") -> DataFrame:
+    """by, term, odds_ratio of a weighted logistic regression, with an interval from refits on resampled units.
+
+    cells: unit, x, y and weight; (x, y) takes few distinct values. A unit's Poisson(1) weights in all draws come from its own
+    hash, so cells are not joined with anything: one aggregation gives every draw's weight of each distinct (x, y), a small table
+    that the draws' Newton steps share, and no refit reads the cells again. Draw -1 is the fit itself. Bounds are interpolated.
+    """
+    w = F.when(F.col("draw") < 0, F.lit(1).cast("long")).otherwise(_poisson(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string"))))
+    units = cells.groupBy(*by, unit, *x, y).agg(F.sum(weight).alias("_w")).groupBy(*by, unit).agg(F.collect_list(F.struct(*x, y, "_w")).alias("_cells"))
+    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1)))).withColumn("_d", w).where("_d > 0")  # a hash a unit and draw
+    flat = drawn.select(*by, "draw", "_d", F.explode("_cells").alias("_c")).select(*by, "draw", "_d", "_c.*")
+    table = flat.groupBy(*by, "draw", *x, y).agg(F.sum(F.col("_w") * F.col("_d")).alias("_w")).where("_w > 0")
+    fits = logistic_odds(table, [*by, "draw"], x, y, "_w")
+    own = fits.where("draw < 0").select(*by, "term", "coefficient", "odds_ratio")
+    return own.join(interpolated_interval(fits.where("draw >= 0"), [*by, "term"], "odds_ratio", alpha), [*by, "term"], "left")
+
+
 def unit_weights(units: DataFrame, by: Sequence[str], unit: str, n_draws: int, salt: str = "weights") -> DataFrame:
     """by, draw, unit and how often the draw takes the unit: one table of multinomial weights that many statistics share."""
     named = units.select(*by, unit).distinct()

@@ -205,8 +205,21 @@ def txt27_bleu_counts(t):
 
 @query()
 def txt27_rouge_l(t):
-    rows = t("conversations").where("turn = 0").alias("a").join(t("conversations").where("turn = 1").alias("b"), F.col("a.conv_id") == F.col("b.conv_id"))
-    return T.rouge_l(rows.select(F.col("a.conv_id").alias("conv_id"), F.col("a.text").alias("x"), F.col("b.text").alias("y")), "conv_id", "x", "y")
+    """Every turn against the one before it."""
+    c = t("conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return T.rouge_l(c.select("conv_id", "turn", "text").join(before, ["conv_id", "turn"]), ["conv_id", "turn"], "text", "before")
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS k, string_split(lower(p_name || ' of ' || p_type || ' and ' || p_name), ' ') AS g, string_split(lower('the ' || p_name || ' of ' || p_brand || ' and ' || p_type), ' ') AS h FROM part),
+e AS (SELECT s, k, n, unnest(x) AS gram FROM ({_GRAMS})), c AS (SELECT s, k, n, gram, count(*) AS c FROM e GROUP BY ALL),
+b AS (SELECT g.n AS n, sum(least(g.c, coalesce(h.c, 0))) / sum(g.c)::DOUBLE AS p FROM c g LEFT JOIN c h ON h.s = 'h' AND h.k = g.k AND h.n = g.n AND h.gram = g.gram WHERE g.s = 'g' GROUP BY 1), l AS (SELECT sum(len(g))::BIGINT AS g, sum(len(h))::BIGINT AS h FROM w)
+SELECT any_value(l.g) AS guess_words, any_value(l.h) AS gold_words, round(any_value(least(1, exp(1 - l.h / l.g::DOUBLE))) * 1e9)::BIGINT AS brevity_e9, round(any_value(least(1, exp(1 - l.h / l.g::DOUBLE))) * exp(avg(ln(p))) * 1e9)::BIGINT AS bleu_e9 FROM b, l""")
+def txt27_corpus_bleu(t):
+    guess = F.concat_ws(" ", "p_name", F.lit("of"), "p_type", F.lit("and"), "p_name")
+    gold = F.concat_ws(" ", F.lit("the"), "p_name", F.lit("of"), "p_brand", F.lit("and"), "p_type")
+    out = T.corpus_bleu(t("part").select("p_partkey", guess.alias("guess"), gold.alias("gold")), "p_partkey", "guess", "gold")
+    return out.select("guess_words", "gold_words", F.round(F.col("brevity") * 1e9).cast("long").alias("brevity_e9"), F.round(F.col("bleu") * 1e9).cast("long").alias("bleu_e9"))
 
 
 @query("""WITH x AS (SELECT conv_id, turn, chr(9) || ' ' || coalesce(text, '') || chr(10) || ' ' AS x FROM conversations), s AS (SELECT conv_id, turn, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS stripped FROM x)

@@ -224,7 +224,7 @@ ANNOTATED = "ann AS (SELECT DISTINCT l_orderkey AS entity, ancestor AS term FROM
 
 def annotations(t: Tables) -> DataFrame:
     rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entity"), F.col("p_name").alias("term"))
-    return O.propagated(rows, O.closure(edges(t)), ["entity"])
+    return O.propagated(rows, O.closure(edges(t)), ["entity"], once=False)
 
 
 @query(f"""WITH {EDGES}, x AS (SELECT DISTINCT l_orderkey AS e, l_returnflag AS arm, ancestor AS term, left(ancestor, 2) AS aspect FROM lineitem JOIN part ON l_partkey = p_partkey JOIN closed ON term = p_name WHERE left(ancestor, 2) IN ('a:', 'n:')),

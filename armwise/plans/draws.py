@@ -95,6 +95,26 @@ def sta3_odds_ratio(t):
     return R.logistic_odds(cells, ["p_type"], ["x"], "h", "w").where("term = 'x'").select("p_type", F.round(F.col("odds_ratio") * 1e3).cast("long").alias("odds_e3"))
 
 
+_ODDS = " + ".join(f"({PICK.format(chr(39) + 'odds|' + chr(39) + ' || d || ' + chr(39) + '|' + chr(39) + ' || u')} / 281474976710656.0::DOUBLE >= {c!r}::DOUBLE)::INT" for c in R.POISSON)
+
+
+# With one covariate of two values the fit is the cross product of four sums, draw by draw.
+@query(f"""WITH c AS (SELECT c_custkey % 40 AS u, c_acctbal > 4500 AS x, c_custkey % 3 = 0 AS h, count(*) AS n FROM customer GROUP BY ALL), d AS (SELECT *, CASE WHEN d < 0 THEN 1 ELSE {_ODDS} END AS w FROM c, range(-1, 60) r(d)),
+s AS (SELECT d, sum(CASE WHEN h AND x THEN w * n END)::DOUBLE AS a, sum(CASE WHEN NOT h AND x THEN w * n END)::DOUBLE AS b, sum(CASE WHEN h AND NOT x THEN w * n END)::DOUBLE AS c, sum(CASE WHEN NOT h AND NOT x THEN w * n END)::DOUBLE AS e FROM d GROUP BY 1)
+SELECT round(max(CASE WHEN d < 0 THEN a * e / (b * c) END) * 1e4)::BIGINT AS odds_e4, round(quantile_cont(a * e / (b * c), 0.025) FILTER (d >= 0) * 1e4)::BIGINT AS low_e4, round(quantile_cont(a * e / (b * c), 0.975) FILTER (d >= 0) * 1e4)::BIGINT AS high_e4 FROM s""")
+def sta3_odds_interval(t):
+    c = t("customer").select((F.col("c_custkey") % 40).alias("u"), (F.col("c_acctbal") > 4500).cast("int").alias("x"), (F.col("c_custkey") % 3 == 0).cast("int").alias("h"), F.lit(1).cast("long").alias("w"))
+    out = R.odds_intervals(c, [], ["x"], "h", "w", "u", 60).where("term = 'x'")
+    return out.select(*[F.round(F.col(c) * 1e4).cast("long").alias(n) for c, n in (("odds_ratio", "odds_e4"), ("ci_low", "low_e4"), ("ci_high", "high_e4"))])
+
+
+@query()
+def sta3_odds_of_slots(t):
+    """Three covariates over all lines, resampled by order: what cites a slot, its place, its size and its return."""
+    li = t("lineitem").select(F.col("l_orderkey").alias("u"), F.least(F.lit(9), (F.col("l_linenumber") * 10 / 8).cast("int")).alias("decile"), (F.col("l_quantity") > 25).cast("int").alias("large"), (F.col("l_returnflag") == "R").cast("int").alias("returned"), (F.col("l_linestatus") == "F").cast("int").alias("cited"), F.lit(1).cast("long").alias("w"))
+    return R.odds_intervals(li, [], ["decile", "large", "returned"], "cited", "w", "u", 40)
+
+
 @query(f"""WITH {EDGES}, w AS (SELECT DISTINCT ancestor AS term, length(ancestor) % 4 AS weight FROM closed), x AS (SELECT DISTINCT l_orderkey AS e, l_returnflag AS arm, ancestor AS term FROM lineitem JOIN part ON l_partkey = p_partkey JOIN closed ON term = p_name),
 g AS (SELECT DISTINCT e, term FROM x WHERE arm <> 'R'), gn AS (SELECT e, sum(weight) AS g FROM g JOIN w USING (term) GROUP BY 1), s AS (SELECT arm, e, sum(weight) AS p, sum(CASE WHEN h THEN weight ELSE 0 END) AS tp FROM (SELECT x.*, g.e IS NOT NULL AS h FROM x LEFT JOIN g ON g.e = x.e AND g.term = x.term) JOIN w USING (term) GROUP BY 1, 2)
 SELECT arm, (SELECT count(*) FROM gn) AS entities, sum((p > 0)::INT)::BIGINT AS predicting, round(avg(CASE WHEN p > 0 THEN tp / p::DOUBLE END) * 1e6)::BIGINT AS precision_e6, round(sum(tp / g::DOUBLE) / (SELECT count(*) FROM gn) * 1e6)::BIGINT AS recall_e6 FROM s JOIN gn USING (e) GROUP BY 1""")

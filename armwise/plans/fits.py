@@ -37,6 +37,21 @@ def jn14_one_to_one(t):
     return got.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("targets"), F.count("control").alias("pairs"), F.count_distinct("control").alias("controls"))
 
 
+# Which pairs are cheapest is no SQL; how many there are, and that every row comes back once, is.
+@query("""WITH c AS (SELECT c_nationkey, sum((c_mktsegment = 'BUILDING')::INT)::BIGINT AS l, sum((c_mktsegment IN ('MACHINERY', 'FURNITURE'))::INT)::BIGINT AS r FROM customer GROUP BY 1)
+SELECT c_nationkey, l + r AS n, 2 * least(l, r) AS paired, least(l, r) AS partners, l + r - 2 * least(l, r) AS unmatched FROM c WHERE l + r > 0""")
+def jn13_assignment_counts(t):
+    got = jn13_assignment(t)
+    return got.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.count("partner").alias("paired"), F.count_distinct(F.when(F.col("side") == "left", F.col("partner"))).alias("partners"), F.sum(F.col("partner").isNull().cast("long")).alias("unmatched"))
+
+
+@query()
+def jn13_assignment(t):
+    """Sides of unlike sizes in each nation, by balance and, at a thousand a step, by a second number."""
+    c = t("customer").withColumn("step", F.col("c_custkey") % 3)
+    return X.assigned(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment IN ('MACHINERY', 'FURNITURE')"), ["c_nationkey"], "c_custkey", {"c_acctbal": 1.0, "step": 1000.0})
+
+
 def _labelled(t):
     return t("embeddings").select("vec_id", (F.col("vec_id") % 50).alias("family"), "embedding", "label", (F.col("label") >= 5).cast("int").alias("y"))
 

@@ -181,6 +181,12 @@ def seq17_salient_places(t):
     return S.salient(features(t), "l_partkey", "s", "e", F.col("rank"))
 
 
+@query(f"""WITH {FEATURES}, x AS (SELECT l_partkey, rank, unnest(range(s, e + 1)) AS place FROM f), b AS (SELECT l_partkey, place, min(rank) AS evidence FROM x GROUP BY 1, 2),
+i AS (SELECT *, place - row_number() OVER (PARTITION BY l_partkey, evidence ORDER BY place) AS island FROM b) SELECT l_partkey, min(place)::BIGINT AS "start", max(place)::BIGINT AS "end", evidence FROM i GROUP BY l_partkey, evidence, island""")
+def seq17_salient_segments(t):
+    return S.salient_segments(features(t), "l_partkey", "s", "e", F.col("rank"))
+
+
 @query(f"""WITH {FEATURES}, d AS (SELECT l_partkey, s, e, row_number() OVER (PARTITION BY l_partkey ORDER BY e - s DESC, l_orderkey, s) AS r FROM (SELECT l_partkey, l_orderkey, min(s) AS s, min(e) AS e FROM f GROUP BY 1, 2)),
 c AS (SELECT l_partkey, count(DISTINCT place) AS covered FROM (SELECT l_partkey, unnest(range(min(s), min(e) + 1)) AS place FROM f GROUP BY l_partkey, l_orderkey) GROUP BY 1) SELECT l_partkey, s, e, covered FROM d JOIN c USING (l_partkey) WHERE r = 1""")
 def seq18_largest_span(t):

@@ -88,3 +88,45 @@ def test_empty_sides(spark):
     assert set(run(spark, targets, pool[:0] + [(1, "a", None, ["x", "p"])]).values()) == {None}
     t = spark.createDataFrame([], "o int, k long, g string, v double")
     assert X.in_order(t, spark.createDataFrame([(1, "a", 1.0)], "k long, g string, v double"), ["g"], "k", "v", ["o"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cheapest_assignment_equals_trying_all(seed):
+    from itertools import permutations
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n, m = int(rng.integers(1, 6)), int(rng.integers(6, 8))
+    cost = rng.integers(0, 6, (n, m)).astype(float) if seed % 2 else rng.random((n, m))
+    to = X.cheapest(cost)
+    assert len(set(to)) == n
+    assert abs(cost[range(n), to].sum() - min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))) < 1e-9
+
+
+def test_cheapest_assignment_in_one_dimension_is_by_rank():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random(150), rng.random(150)
+    cost = np.abs(a[:, None] - b[None, :])
+    assert abs(cost[range(150), X.cheapest(cost)].sum() - np.abs(np.sort(a) - np.sort(b)).sum()) < 1e-9
+
+
+def test_assigned_rows_come_back_once_with_least_cost(spark):
+    from itertools import permutations
+
+    rng = random.Random(4)
+    left = [(i, g, rng.random(), rng.choice([10, 11])) for g in ("a", "b", None) for i in range(4 if g == "a" else 3)] + [(50, "c", 1.0, 1), (51, "a", None, 3)]
+    right = [(100 + i, g, rng.random(), rng.choice([10, 11, 12])) for g in ("a", "b", None) for i in range(6 if g == "b" else 3)]
+    names = "k long, g string, gc double, n int"
+    rows = X.assigned(spark.createDataFrame(left, names), spark.createDataFrame(right, names), ["g"], "k", {"gc": 1.0, "n": 1000.0}).collect()
+    assert sorted((r.k, r.side) for r in rows) == sorted([(r[0], "left") for r in left] + [(r[0], "right") for r in right])
+    for g in ("a", "b", None):
+        a, b = [r for r in left if r[1] == g and r[2] is not None], [r for r in right if r[1] == g]
+        few, many = (a, b) if len(a) <= len(b) else (b, a)
+        best = min(sum(abs(x[2] - y[2]) + 1000 * abs(x[3] - y[3]) for x, y in zip(few, p)) for p in permutations(many, len(few)))
+        got = [r for r in rows if r.g == g and r.side == "left" and r.partner is not None]
+        assert len(got) == len(few) and abs(sum(r.cost for r in got) - best) < 1e-9
+    capped = X.assigned(spark.createDataFrame(left, names), spark.createDataFrame(right, names), ["g"], "k", {"gc": 1.0}, most=2).collect()
+    assert len(capped) == len(left) + len(right) and sum(r.partner is not None for r in capped) == 12
