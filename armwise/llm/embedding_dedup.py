@@ -118,8 +118,8 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept for every row.
 
-    Pivots: chosen among the SAMPLE vectors of the lowest hash of each length of more than PART vectors, about as many as the
-    square root of the number of distinct vectors, between FEWEST and MOST. Every vector is indexed; equal vectors are indexed once and counted as often as they
+    Pivots: chosen among the SAMPLE vectors of the lowest hash of each length, about as many as the square root of the number of
+    distinct vectors, between FEWEST (all, where there are fewer) and MOST. Every vector is indexed; equal vectors are indexed once and counted as often as they
     occur. Links found are exact; those near the bound can be missed, and recall is measured in the tests.
     Defined cases: null, empty and zero vectors and those with null or non-finite numbers link with nothing; vectors of
     different lengths do not link; a null key stays null; repeated rows and equal keys are rows like others; an empty table
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, key: str = "vec_id"
 def _search(spark: SparkSession, classes: DataFrame, least: float, kind: str) -> tuple[DataFrame, DataFrame]:
     """(class, links) and edges (u, v) among distinct vectors."""
     pivots = {}
-    for dim, n in classes.groupBy("dim").count().where(F.col("count") > PART).collect():  # vectors of a rarer length are one list, no longer than a part
+    for dim, n in classes.groupBy("dim").count().where(F.col("count") > 1).collect():  # a row a length; a single vector links with nothing
         sample = [bytes(r.vector) for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()]
         pivots[dim] = choose_pivots(sample, int(min(MOST, max(FEWEST, n**0.5))), kind)
 

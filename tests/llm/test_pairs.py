@@ -172,3 +172,25 @@ def test_rare_lengths_are_compared_whole(spark):
         rows += [(10 * d, v.tolist()), (10 * d + 1, (v * 3).tolist()), (10 * d + 2, (-v).tolist())]
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {i: int(i % 10 < 2) for i in got} and len(got) == len(rows)
+
+
+@pytest.mark.parametrize(("pivots", "n"), [(40, 40), (64, 400), (707, 3000), (4000, 3000)])
+@pytest.mark.parametrize("dims", [64, 384])
+def test_recall_of_the_rule_near_the_bound(pivots, n, dims):
+    """Pairs of cosine 0.951 to 0.97 that are on one list and share enough pivots, at all numbers of pivots."""
+    rng = np.random.default_rng(pivots + dims)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    sample = rng.normal(size=(min(embedding_dedup.SAMPLE, max(2 * n, pivots)), dims)).astype(np.float32)
+    base = unit(rng.normal(size=(n, dims)))
+    cosine = rng.uniform(0.951, 0.97, (n, 1))
+    other = rng.normal(size=(n, dims))
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    chosen = embedding_dedup.choose_pivots([v.tobytes() for v in sample], pivots, "f4")
+    assert len(chosen) == pivots
+    a, b = embedding_dedup.describe(base, chosen), embedding_dedup.describe(cosine * base + np.sqrt(1 - cosine**2) * other, chosen)
+    met = (embedding_dedup.list_keys(a, dims)[:, :, None] == embedding_dedup.list_keys(b, dims)[:, None, :]).any((1, 2))
+    shared = np.array([len(set(x) & set(y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)]) >= embedding_dedup.SHARED
+    assert (met & shared).mean() >= 0.9
