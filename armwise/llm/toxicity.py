@@ -15,16 +15,14 @@ from pyspark.sql import functions as F
 from armwise.llm import arrowtext as at
 from armwise.llm.calibration import calibrate
 from armwise.llm.common import remainder, written
-from armwise.llm.memo import slices, spread
+from armwise.llm.memo import slices
 
 #: Characters that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = ".-_*'~/"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: A longer run of '*' is a rule or a mark, and parts letters; in a shorter one each may stand for any letter.
+#: A longer run of '*' is a rule or a mark, and parts letters; in a shorter one each may stand for any letter. Each run is judged by itself.
 STARS = 3
-#: Paths of a token's lattice that are written out at most; tokens of more are decoded state by state.
-PATHS = 64
 #: Bytes of text whose words are looked at together, unless one text is longer.
 SLICE = 2 << 20
 #: Log-probabilities of the channel: a letter written as another sign, a separator put in, a letter repeated, a space put between single letters or meant.
@@ -76,23 +74,8 @@ def language_model(counts: np.ndarray, k: float = 5.0) -> np.ndarray:
     return np.log((n3 + k * p2) / (n3.sum(2, keepdims=True) + k))
 
 
-def _any_letter(states: dict, lm: np.ndarray) -> dict:
-    """The states after a star: a separator, or any letter by the best state before it, for all letters at once."""
-    after = {k: (score + PARTS, trail) for k, (score, trail) in states.items()}
-    table = np.full((N, N), -np.inf)
-    for k, (score, _) in states.items():
-        table[k] = score
-    reached = table[:, :, None] + lm[:, :, 1:27] + STANDS
-    best, which = reached.max(0), reached.argmax(0)
-    for b, c in zip(*np.nonzero(best > -np.inf), strict=True):
-        k = (int(b), int(c) + 1)
-        if k not in after or after[k][0] < best[b, c]:
-            after[k] = (float(best[b, c]), (states[int(which[b, c]), int(b)][1], LETTERS[c]))
-    return after
-
-
 def _ended(state: tuple[int, int], stars: int, lm: np.ndarray) -> tuple[float, list[str]]:
-    """What some last stars add to the score of a state, and the letters that they stand for: as _any_letter and a word's end, over a table of all states."""
+    """What some last stars add to the score of a state, and the letters that they stand for: a star parts letters or is one of them, over a table of all states, and then the word ends."""
     table = np.full((N, N), -np.inf)
     table[state] = 0.0
     steps = []
@@ -114,111 +97,129 @@ def _ended(state: tuple[int, int], stars: int, lm: np.ndarray) -> tuple[float, l
     return gain, said[::-1]
 
 
-def restore(token: str, lm: np.ndarray, ends: dict | None = None) -> str:
-    """The likeliest writing of a token; blanks part single letters. States are the last two codes; time is linear in length.
-
-    ends remembers, by state, what last stars stand for.
-    """
-    ends = {} if ends is None else ends
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last = ""
-    missing = "*" * (STARS + 1) not in token
-    stars = len(token) - len(token.rstrip("*")) if missing else 0
-    for ch in token[: len(token) - stars]:
-        if ch == "*" and missing:
-            states, last = _any_letter(states, lm), ch
-            continue
-        steps: list[tuple[str, float]] = []
-        if ch.isalpha():
-            steps.append((ch, 0.0))
-        elif ch == " ":
-            steps += [("", JOINED), (" ", MEANT)]
-        elif ch in SEPARATORS:
-            steps.append(("", PARTS))
-        steps += [(x, STANDS) for x in LEET.get(ch, "")]
-        if ch == last and ch != " ":
-            steps.append(("", REPEATS))
-        last = ch
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (score, trail) in states.items():
-            for out, cost in steps or [(ch, 0.0)]:
-                x, y, s = a, b, score + cost
-                for byte in out.encode():
-                    code = int(_CODE[byte])
-                    s += lm[x, y, code]
-                    x, y = y, code
-                if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, (trail, out) if out else trail)
-        states = after
-    top, best, parts = -np.inf, None, []
-    for k, (score, trail) in states.items():
-        if (*k, stars) not in ends:
-            ends[*k, stars] = _ended(k, stars, lm)
-        gain, said = ends[*k, stars]
-        if score + gain > top:
-            top, best, parts = score + gain, trail, list(said)
-    parts.reverse()
-    while best:
-        best, out = best
-        parts.append(out)
-    return "".join(reversed(parts))
-
-
 def _options(ch: str) -> list[tuple[str, float]]:
-    """What a sign other than a blank or a star that stands for a letter can be written for, with the channel's cost."""
+    """What a sign of a token can be written for, with the channel's cost; blanks part single letters."""
+    if ch == " ":
+        return [("", JOINED), (" ", MEANT)]
     steps = [(ch, 0.0)] if ch.isalpha() else [("", PARTS)] if ch in SEPARATORS else []
     return steps + [(x, STANDS) for x in LEET.get(ch, "")] or [(ch, 0.0)]
 
 
+@dataclass(frozen=True)
+class Lattice:
+    """Signs of some tokens as steps: each has the options from `first` on, so many, and one more where a letter can be a repeat."""
+
+    first: np.ndarray
+    number: np.ndarray
+    repeats: np.ndarray
+    said: list[str]
+    codes: np.ndarray
+    size: np.ndarray
+    cost: np.ndarray
+
+    @classmethod
+    def of(cls, chars: np.ndarray, same: np.ndarray, star: np.ndarray) -> Lattice:
+        """same: equal to the sign before it in its token; star: of a run of stars that stand for letters."""
+        signs, kind = np.unique(np.append(chars, ord("*")), return_inverse=True)
+        kind = np.where(star, len(signs), kind[:-1])
+        each = [_options(chr(c)) for c in signs.tolist()] + [[("", PARTS), *((x, STANDS) for x in LETTERS)], [("", REPEATS)]]
+        flat = [x for options in each for x in options]
+        sizes = np.array([len(x) for x in each])
+        at_ = np.cumsum(sizes) - sizes
+        data = [x.encode("utf-8", "replace") for x, _ in flat]
+        codes = np.zeros((len(flat), 4), np.int64)
+        for i, x in enumerate(data):
+            codes[i, : len(x)] = _CODE[np.frombuffer(x, np.uint8)]
+        repeats = same & ~star & (chars != ord(" "))
+        return cls(at_[kind], sizes[kind], repeats, [x for x, _ in flat], codes, np.array([len(x) for x in data]), np.array([c for _, c in flat]))
+
+
 def restore_many(tokens: list[str], lm: np.ndarray, ends: dict | None = None) -> list[str]:
-    """restore of each token. A lattice of up to PATHS paths, as nearly all are, has its paths written out and scored together; others are decoded one by one."""
-    out = [""] * len(tokens)
-    known: dict[str, list[tuple[str, float]]] = {}
-    texts: list[str] = []
-    costs: list[float] = []
-    first, owner = [], []
-    for k, token in enumerate(tokens):
-        paths: list[tuple[str, float]] = [("", 0.0)]
-        last = ""
-        for ch in token:
-            steps = known.get(ch)
-            if steps is None:
-                steps = known[ch] = _options(ch)
-            if ch == last:
-                steps = [*(x for x in steps if x[0] != ch or ch.isalpha() or ch in LEET), ("", REPEATS)]
-            last = ch
-            if len(steps) == 1:
-                x, cost = steps[0]
-                paths = [(a + x, c + cost) for a, c in paths]
-            else:
-                paths = [(a + x, c + cost) for a, c in paths for x, cost in steps]
-            if len(paths) > PATHS:
-                break
-        if len(paths) > PATHS or " " in token or "*" in token:
-            out[k] = restore(token, lm, ends)
-            continue
-        first.append(len(texts))
-        owner.append(k)
-        texts += [a for a, _ in paths]
-        costs += [c for _, c in paths]
-    if not texts:
-        return out
-    data = [t.encode() for t in texts]
-    n = np.fromiter(map(len, data), np.int64, len(data))
-    codes = np.zeros(int(n.sum()) + 3 * len(data), np.int64)  # two bounds before each path, one after
-    block = np.cumsum(n + 3) - (n + 3)
-    codes[spread(block + 2, n)] = _CODE[np.frombuffer(b"".join(data), np.uint8)]
-    at_ = spread(block, n + 1)
-    steps_ = lm[codes[at_], codes[at_ + 1], codes[at_ + 2]]
-    score = np.add.reduceat(steps_, np.cumsum(n + 1) - (n + 1)) + np.array(costs)
-    sizes = np.diff(np.append(first, len(texts)))
-    best = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), sizes))
-    of = np.repeat(np.arange(len(first)), sizes)[best]
-    for i, k in zip(best[np.unique(of, return_index=True)[1]].tolist(), owner, strict=True):
-        out[k] = texts[i]
+    """The likeliest writing of each token, by one Viterbi decoding of all their lattices, sign by sign.
+
+    States are a token's last two codes. Of equal ones the first reached is kept, in the order of the states before and of
+    the options; so a token is decoded alike whatever comes with it. ends remembers, by state, what last stars stand for.
+    """
+    ends = {} if ends is None else ends
+    length = np.array([len(t) for t in tokens], np.int64)
+    chars = np.frombuffer("".join(tokens).encode("utf-32-le", "replace"), np.uint32)
+    start = np.cumsum(length) - length
+    owner = np.repeat(np.arange(len(tokens)), length)
+    fresh = np.ones(len(chars), bool)
+    fresh[1:] = (chars[1:] != chars[:-1]) | (owner[1:] != owner[:-1])
+    run = np.cumsum(fresh) - 1
+    star = (chars == ord("*")) & (np.bincount(run)[run] <= STARS if len(run) else fresh)
+    last = np.zeros(len(tokens), np.int64)  # last stars, which `ends` says the meaning of
+    tail = np.flatnonzero(length)
+    end = start[tail] + length[tail] - 1
+    last[tail] = np.where(star[end], np.bincount(run)[run[end]], 0) if len(tail) else 0
+    length = length - last
+    lat = Lattice.of(chars, ~fresh, star)
+    again = len(lat.said) - 1
+    token, a, b = np.arange(len(tokens)), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+    score, node = np.zeros(len(tokens)), np.full(len(tokens), -1)
+    parents: list[np.ndarray] = []
+    chosen: list[np.ndarray] = []
+    done: list[tuple[np.ndarray, ...]] = []
+    made = 0
+    for t in range(int(length.max(initial=0)) + 1):
+        over = length[token] <= t
+        if over.any():
+            done.append((token[over], a[over], b[over], score[over], node[over]))
+            token, a, b, score, node = (x[~over] for x in (token, a, b, score, node))
+        if not len(token):
+            break
+        sign = start[token] + t
+        n = lat.number[sign] + lat.repeats[sign]
+        at_ = np.repeat(np.arange(len(token)), n)
+        k = np.arange(len(at_)) - np.repeat(np.cumsum(n) - n, n)
+        option = np.where(k < lat.number[sign][at_], lat.first[sign][at_] + k, again)
+        x, y, s = a[at_], b[at_], score[at_] + lat.cost[option]
+        size = lat.size[option]
+        for j in range(int(size.max())):
+            more = np.flatnonzero(size > j)
+            code = lat.codes[option[more], j]
+            s[more] += lm[x[more], y[more], code]
+            x[more], y[more] = y[more], code
+        key = (token[at_] * N + x) * N + y
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.diff(key[order], prepend=-1))
+        best = np.repeat(np.maximum.reduceat(s[order], begin), np.diff(np.append(begin, len(order))))
+        keep = np.minimum.reduceat(np.where(s[order] == best, order, len(order)), begin)[np.argsort(order[begin], kind="stable")]
+        parents.append(node[at_[keep]])
+        chosen.append(option[keep])
+        token, a, b, score = token[at_[keep]], x[keep], y[keep], s[keep]
+        node = made + np.arange(len(keep))
+        made += len(keep)
+    token, a, b, score, node = (np.concatenate(c) for c in zip(*done, strict=True)) if done else (token, a, b, score, node)
+    order = np.argsort(token, kind="stable")
+    token, a, b, score, node = token[order], a[order], b[order], score[order], node[order]
+    total = score + lm[a, b, 0]
+    for i in np.flatnonzero(last[token]).tolist():
+        state = (int(a[i]), int(b[i]), int(last[token[i]]))
+        if state not in ends:
+            ends[state] = _ended(state[:2], state[2], lm)
+        total[i] = score[i] + ends[state][0]
+    begin = np.flatnonzero(np.diff(token, prepend=-1))
+    best = np.repeat(np.maximum.reduceat(total, begin), np.diff(np.append(begin, len(token)))) if len(token) else total
+    place = np.minimum.reduceat(np.where(total == best, np.arange(len(token)), len(token)), begin) if len(token) else begin
+    parent, option = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (parents, chosen))
+    out: list[str] = []
+    up, said = parent.tolist(), option.tolist()
+    for i in place.tolist():
+        parts, k = [], int(node[i])
+        while k >= 0:
+            parts.append(lat.said[said[k]])
+            k = up[k]
+        tail_ = ends[int(a[i]), int(b[i]), int(last[token[i]])][1] if last[token[i]] else []
+        out.append("".join(reversed(parts)) + "".join(tail_))
     return out
 
 
+def restore(token: str, lm: np.ndarray, ends: dict | None = None) -> str:
+    return restore_many([token], lm, ends)[0]
+
+
 class Restorer:
     """Restores tokens, and remembers them."""
 
