@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from armwise.operators import matching as X
 from armwise.operators import probe_fits as Q
-from armwise.plans.catalog import query
+from armwise.operators import resample as R
+from armwise.plans.catalog import PICK, query
 
 # SQL walks each customer's orders one after the other; customers have few.
 @query("""WITH RECURSIVE t AS (SELECT o_custkey AS g, o_orderkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS r FROM orders WHERE o_orderstatus = 'F'),
@@ -106,3 +107,40 @@ def ml3_probe_over_seeds(t):
     """Hits of a probe, seed by seed over ten seeds of grouped folds, all fitted in the same passes."""
     scores = Q.probe(_labelled(t), "vec_id", "family", "embedding", "y", k=5, seeds=range(10))
     return Q.decided(scores).groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+
+
+def _family_rows(per, draws: int):
+    """cat, arm, families, mean area and an interval from resampled families; cat -1 pools all categories' families."""
+    named = per.withColumn("fam", F.concat_ws(":", F.col("cat").cast("string"), F.col("family").cast("string")))
+    every = named.unionByName(named.withColumn("cat", F.lit(-1).cast("long"))).withColumn("one", F.lit(1).cast("long"))
+    drawn = R.resampled(every, ["cat", "arm"], ["fam"], ["auroc", "one"], draws, "families").withColumn("m", F.col("auroc") / F.col("one"))
+    own = every.groupBy("cat", "arm").agg(F.count(F.lit(1)).alias("families"), F.avg("auroc").alias("mean"))
+    return own.join(R.interpolated_interval(drawn, ["cat", "arm"], "m"), ["cat", "arm"])
+
+
+_ARMS = [("first", 0), ("second", 1), ("last", 63)]
+
+
+@query(f"""WITH s AS (SELECT vec_id % 4 AS cat, vec_id % 50 AS family, label >= 5 AS y, unnest([{{'arm': 'first', 's': embedding[1]::DOUBLE}}, {{'arm': 'second', 's': embedding[2]::DOUBLE}}, {{'arm': 'last', 's': embedding[64]::DOUBLE}}], recursive := true) FROM embeddings),
+r AS (SELECT cat, family, arm, y, rank() OVER (PARTITION BY cat, family, arm ORDER BY s) + (count(*) OVER (PARTITION BY cat, family, arm, s) - 1) / 2.0::DOUBLE AS r FROM s),
+a AS (SELECT cat, family, arm, (sum(CASE WHEN y THEN r ELSE 0 END) - sum(y::INT) * (sum(y::INT) + 1) / 2.0::DOUBLE) / (sum(y::INT) * (count(*) - sum(y::INT))) AS v FROM r GROUP BY 1, 2, 3 HAVING sum(y::INT) > 0 AND sum(y::INT) < count(*)),
+u AS (SELECT cat, arm, cat || ':' || family AS fam, v FROM a UNION ALL SELECT -1, arm, cat || ':' || family, v FROM a),
+p AS (SELECT *, row_number() OVER (PARTITION BY cat, arm ORDER BY fam) - 1 AS i, count(*) OVER (PARTITION BY cat, arm) AS n FROM u),
+k AS (SELECT cat, arm, d, {PICK.format("'families|' || d || '|' || i")} % n AS i FROM p, range(100) x(d)), m AS (SELECT k.cat, k.arm, k.d, sum(p.v) / count(*) AS m FROM k JOIN p ON k.cat = p.cat AND k.arm = p.arm AND k.i = p.i GROUP BY ALL)
+SELECT cat, arm, families, mean_e6, low_e6, high_e6 FROM (SELECT cat, arm, count(*) AS families, round(avg(v) * 1e6)::BIGINT AS mean_e6 FROM u GROUP BY 1, 2) JOIN (SELECT cat, arm, round(quantile_cont(m, 0.025) * 1e6)::BIGINT AS low_e6, round(quantile_cont(m, 0.975) * 1e6)::BIGINT AS high_e6 FROM m GROUP BY 1, 2) USING (cat, arm)""")
+def family_table_arms(t):
+    """The family table: for every property and for all, each arm's area within families and its interval over families."""
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.col("embedding")[i].cast("double").alias("score")) for a, i in _ARMS])
+    rows = _labelled(t).select((F.col("vec_id") % 4).alias("cat"), "family", "y", F.explode(arms).alias("a")).select("cat", "family", "y", "a.*")
+    out = _family_rows(Q.family_auroc(rows, ["cat", "arm"], "family", positive=F.col("y") == 1), 100)
+    return out.select("cat", "arm", "families", *[F.round(F.col(c) * 1e6).cast("long").alias(n) for c, n in (("mean", "mean_e6"), ("ci_low", "low_e6"), ("ci_high", "high_e6"))])
+
+
+@query()
+def family_table_probe(t):
+    """The same table for the probe: its own out-of-fold scores and twenty null labelings, from the passes that fit them all."""
+    scores = Q.probe(_labelled(t), "vec_id", "family", "embedding", "y", k=5, draws=20, stratify=False).withColumn("cat", F.col("key") % 4).withColumnRenamed("group", "family")
+    per = Q.family_auroc(scores, ["cat", "draw"], "family")
+    own = _family_rows(per.where("draw < 0").select("cat", F.lit("probe").alias("arm"), "family", "auroc"), 100)
+    null = per.where("draw >= 0").groupBy("cat", "draw").agg(F.avg("auroc").alias("m")).groupBy("cat").agg(F.avg("m").alias("null_mean"), F.stddev_pop("m").alias("null_sd"))
+    return own.join(null, "cat", "left")
