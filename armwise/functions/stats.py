@@ -19,6 +19,11 @@ def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
+def subset(a: Column, b: Column) -> Column:
+    """Whether every term of a is one of b's."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def retention(a: Column, b: Column) -> Column:
     """The share of a's terms that b keeps; null for an empty a."""
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_distinct(a)), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from armwise.functions.sequence import pick
 from armwise.operators.matching import in_order
+from armwise.operators.resample import numbered, placed_in_groups
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -147,6 +148,27 @@ def shard_of(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.withColumn("shard", (pick(F.lit("shard"), F.col(key).cast("string")) % n).cast("int"))
 
 
+def dealt_shards(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """rows with the shard that keys in sorted order fall in, dealt in turn (turn) and cut into n blocks as even as can be (block)."""
+    placed = numbered(rows, [], [key])
+    return placed.withColumn("turn", (F.col("_i") % n).cast("int")).withColumn("block", F.floor(F.col("_i") * n / F.col("_n")).cast("int")).drop("_i", "_n")
+
+
+def tried_donors(rows: DataFrame, key: str, within: Sequence[str], unlike: Sequence[str], tries: int = 8, salt: str = "try") -> DataFrame:
+    """key and donor: the first of so many random rows of the group that differs in every one of the unlike columns; null where none does.
+
+    A try is a hash of key and its number, which names a place in the group's order by key; tries meet rows by that place, so
+    no pair of rows is made that was not tried. Nulls are a value.
+    """
+    placed = placed_in_groups(rows.select(key, *within, *unlike), within, [key])
+    asks = placed.select(key, *within, *[F.col(c).alias(f"_{i}") for i, c in enumerate(unlike)], "_n", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_t"))
+    asks = asks.withColumn("_i", pick(F.lit(salt), F.col("_t").cast("string"), F.col(key).cast("string")) % F.col("_n"))
+    met = asks.join(placed.select(*within, "_i", F.col(key).alias("donor"), *unlike), [*within, "_i"])
+    for i, c in enumerate(unlike):
+        met = met.where(~F.col(f"_{i}").eqNullSafe(F.col(c)))
+    return rows.select(key).join(met.groupBy(key).agg(F.min_by("donor", "_t").alias("donor")), key, "left")
+
+
 def not_done(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not in the sink yet."""
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")

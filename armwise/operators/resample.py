@@ -34,6 +34,13 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return placed.drop("_p", "_at", "_before")
 
 
+def placed_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with their place from 0 in their group and the group's size, from one global order; no group is sorted in one task. Null groups have no place."""
+    placed = numbered(rows, [], [*by, *order]).drop("_n")
+    spans = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return placed.join(spans, list(by)).withColumn("_i", F.col("_i") - F.col("_first")).drop("_first")
+
+
 def resampled(units: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], n_draws: int, salt: str = "boot") -> DataFrame:
     """by, draw and the sums over a draw of as many units as the group has, with replacement.
 
@@ -219,6 +226,20 @@ def rank_sum_test(rows: DataFrame, feature: str, group: str, value: str, target)
     return s.withColumn("_q", F.col("p") * every / place).withColumn("q", F.least(F.lit(1.0), F.min("_q").over(up.rowsBetween(Window.unboundedPreceding, 0)))).select(feature, "n", "k", "z", "p", "q")
 
 
+def marker_table(rows: DataFrame, feature: str, group: str, value: str, target, least_fold: float = 1.0, most_q: float = 0.05) -> DataFrame:
+    """feature, z, q, fold (log2 of the mean in the target group over the mean in the rest), whether it is a marker, and its score.
+
+    Values are natural logs of 1 + x, and means are taken back to x before the fold. A marker has a fold of least_fold or more
+    and a q below most_q; its score is the fold times -log10(q), q no smaller than 1e-300.
+    """
+    inside = F.col(group) == target
+    means = rows.groupBy(feature).agg(F.avg(F.when(inside, F.col(value))).alias("_a"), F.avg(F.when(~inside, F.col(value))).alias("_b"))
+    fold = F.log2((F.expm1("_a") + 1e-9) / (F.expm1("_b") + 1e-9))
+    out = rank_sum_test(rows, feature, group, value, target).join(means.withColumn("fold", fold).drop("_a", "_b"), feature)
+    marker = (F.col("fold") >= least_fold) & (F.col("q") < most_q)
+    return out.withColumn("marker", marker).withColumn("score", F.when(marker, -F.col("fold") * F.log10(F.greatest(F.col("q"), F.lit(1e-300))))).select(feature, "z", "q", "fold", "marker", "score")
+
+
 def logistic_odds(cells: DataFrame, by: Sequence[str], x: Sequence[str], y: str, weight: str) -> DataFrame:
     """Weighted logistic regression by group of aggregated cells (few rows a group): a row a coefficient, by Newton steps."""
     names = list(x)

@@ -61,6 +61,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="armwise-"))
         there = spark.sparkContext.getCheckpointDir()
     return f"{there.rstrip('/')}/armwise/{name}-{uuid.uuid4().hex}"
