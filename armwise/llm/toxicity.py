@@ -161,7 +161,7 @@ def restore_many(tokens: list[str], lm: np.ndarray, ends: dict | None = None) ->
     parents: list[np.ndarray] = []
     chosen: list[np.ndarray] = []
     done: list[tuple[np.ndarray, ...]] = []
-    made = 0
+    made, alone = 0, True  # alone: every token has one state
     for t in range(int(length.max(initial=0)) + 1):
         over = length[token] <= t
         if over.any():
@@ -171,6 +171,21 @@ def restore_many(tokens: list[str], lm: np.ndarray, ends: dict | None = None) ->
             break
         sign = start[token] + t
         n = lat.number[sign] + lat.repeats[sign]
+        if alone and int(n.max()) == 1:  # nothing to choose
+            option = lat.first[sign]
+            score = score + lat.cost[option]
+            size = lat.size[option]
+            a, b = a.copy(), b.copy()
+            for j in range(int(size.max())):
+                more = np.flatnonzero(size > j)
+                code = lat.codes[option[more], j]
+                score[more] += lm[a[more], b[more], code]
+                a[more], b[more] = b[more], code
+            parents.append(node)
+            chosen.append(option)
+            node = np.arange(made, made + len(node))
+            made += len(node)
+            continue
         at_ = np.repeat(np.arange(len(token)), n)
         k = np.arange(len(at_)) - np.repeat(np.cumsum(n) - n, n)
         option = np.where(k < lat.number[sign][at_], lat.first[sign][at_] + k, again)
@@ -183,14 +198,22 @@ def restore_many(tokens: list[str], lm: np.ndarray, ends: dict | None = None) ->
             x[more], y[more] = y[more], code
         key = (token[at_] * N + x) * N + y
         order = np.argsort(key, kind="stable")
-        begin = np.flatnonzero(np.diff(key[order], prepend=-1))
-        best = np.repeat(np.maximum.reduceat(s[order], begin), np.diff(np.append(begin, len(order))))
-        keep = np.minimum.reduceat(np.where(s[order] == best, order, len(order)), begin)[np.argsort(order[begin], kind="stable")]
+        new = np.ones(len(order), bool)
+        ranked = key[order]
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        begin = np.flatnonzero(new)
+        if len(begin) == len(order):
+            keep = np.arange(len(order))
+        else:
+            in_order = s[order]
+            best = np.maximum.reduceat(in_order, begin)[np.cumsum(new) - 1]
+            keep = np.minimum.reduceat(np.where(in_order == best, order, len(order)), begin)[np.argsort(order[begin], kind="stable")]
         parents.append(node[at_[keep]])
         chosen.append(option[keep])
         token, a, b, score = token[at_[keep]], x[keep], y[keep], s[keep]
-        node = made + np.arange(len(keep))
+        node = np.arange(made, made + len(keep))
         made += len(keep)
+        alone = not (token[1:] == token[:-1]).any()
     token, a, b, score, node = (np.concatenate(c) for c in zip(*done, strict=True)) if done else (token, a, b, score, node)
     order = np.argsort(token, kind="stable")
     token, a, b, score, node = token[order], a[order], b[order], score[order], node[order]
