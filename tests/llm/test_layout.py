@@ -133,7 +133,7 @@ def test_loser_tree_merges(runs):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{plain.SF}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, plain.SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
