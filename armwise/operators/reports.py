@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,12 @@ from armwise.functions.sequence import pick
 from armwise.functions.stats import jaccard
 from armwise.operators.metrics import count_if
 from armwise.operators.pairing import paired_with_reference
-from armwise.operators.resample import _poisson, odds_intervals
+from armwise.operators.resample import POISSON, odds_intervals
+from armwise.sources.writers import scratch
+
+
+#: The Poisson distribution function's steps as the first twelve hexadecimal digits of a hash: digits compare like their numbers.
+STEPS = [format(ceil(c * (1 << 48)), "012x") for c in POISSON]
 
 
 def micro(c: Column) -> Column:
@@ -28,10 +34,18 @@ def micro(c: Column) -> Column:
 def drawn_sums(rows: DataFrame, by: Sequence[str], unit: str, sums: Sequence[str], n_draws: int, salt: str = "report") -> DataFrame:
     """by, draw (-1 for the observed) and the weighted sums of each draw. Nulls add nothing; a null unit is a unit of its own."""
     per = rows.groupBy(*by, unit).agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in sums])
-    weights = F.transform(F.sequence(F.lit(-1), F.lit(n_draws - 1)), lambda d: F.struct(
-        d.alias("draw"), F.when(d < 0, F.lit(1).cast("long")).otherwise(_poisson(F.concat_ws("|", F.lit(salt), d.cast("string"), F.col(unit).cast("string")))).alias("w")))
-    drawn = per.select(*by, *sums, F.explode(weights).alias("_d")).where("_d.w > 0")
-    return drawn.groupBy(*by, F.col("_d.draw").alias("draw")).agg(*[F.sum(F.col(c) * F.col("_d.w")).alias(c) for c in sums])
+    drawn = per.select(*by, unit, *sums, F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))).alias("draw"))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string")).cast("binary")), 1, 12)
+    weight = F.when(F.col("draw") < 0, 1).otherwise(reduce(lambda x, y: x + y, [(F.col("_h") >= h).cast("int") for h in STEPS]))
+    drawn = drawn.withColumn("_h", digits).withColumn("_w", weight)  # no filter by weight here: it would hash a row once a step
+    return drawn.groupBy(*by, "draw").agg(F.sum("_w").alias("_any"), *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums]).where("_any > 0").drop("_any")
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """A small table of sums that several statistics read, written once to the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def ratio(a: str | Column, b: str | Column) -> Column:
@@ -80,13 +94,13 @@ def arm_report(rows: DataFrame, arm: str = "arm", unit: str = "unit", split: str
     """
     flags = {c: F.coalesce(F.col(c), F.lit(False)).cast("long") for c in ("correct", "mapped", "answered", "named")}
     r = rows.select(F.col(arm).alias("arm"), F.col(unit).alias("unit"), F.col(split).cast("string").alias("split"), *[v.alias(k) for k, v in flags.items()]).withColumn("rows", F.lit(1).cast("long"))
-    plain = drawn_sums(r, ["arm"], "unit", ["rows", *flags], n_draws)
+    by_split = held(drawn_sums(r, ["arm", "split"], "unit", ["rows", *flags], n_draws), "arms")
+    plain = by_split.groupBy("arm", "draw").agg(*[F.sum(c).alias(c) for c in ("rows", *flags)])
     n = F.col("rows")
     rates = bounded(plain, ["arm"], {
         "accuracy_rows": (n, ratio("correct", n)), "reached": (n, ratio("named", n)), "unmapped": (n, ratio(n - F.col("mapped"), n)), "no_answer": (n, ratio(n - F.col("answered"), n))}, "arm")
     means = drawn_sums(_cluster_means(r, ["arm"], "unit", F.col("correct"), "m"), ["arm"], "unit", ["m", "one"], n_draws)
     answered = drawn_sums(_cluster_means(r.where("answered = 1"), ["arm"], "unit", F.col("correct"), "m"), ["arm"], "unit", ["m", "one"], n_draws)
-    by_split = drawn_sums(r, ["arm", "split"], "unit", ["rows", "correct"], n_draws)
     parts = [
         rates, bounded(means, ["arm"], {"accuracy": (F.col("one"), ratio("m", "one") / 1e6)}, "arm"), bounded(answered, ["arm"], {"accuracy_answered": (F.col("one"), ratio("m", "one") / 1e6)}, "arm"),
         bounded(by_split, ["arm", "split"], {"s": (n, ratio("correct", n))}, "split").withColumn("series", F.coalesce("split", F.lit("none"))).drop("split"),
@@ -206,7 +220,7 @@ def f1_report(truth: DataFrame, said: DataFrame, covered: DataFrame, reference:
         p, r = F.coalesce(ratio(pr, says), F.lit(0.0)) / 1e6, F.coalesce(ratio(re, one), F.lit(0.0)) / 1e6
         return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
-    d = drawn_sums(sides, ["side", "arm", "aspect"], "entity", cols, n_draws).withColumn("f", f1("pr", "says", "re", "one")).withColumn("fw", f1("pr_w", "says_w", "re_w", "one_w"))
+    d = held(drawn_sums(sides, ["side", "arm", "aspect"], "entity", cols, n_draws), "f1").withColumn("f", f1("pr", "says", "re", "one")).withColumn("fw", f1("pr_w", "says_w", "re_w", "one_w"))
     aspects = bounded(d.where("side = 'all'"), ["arm", "aspect"], {"f1": (F.col("one"), F.col("f")), "f1_weighed": (F.col("one"), F.col("fw"))}, "f1")
     aspects = aspects.withColumn("series", F.concat_ws(":", "series", "aspect")).drop("aspect")
     mean = d.groupBy("side", "arm", "draw").agg(F.avg("f").alias("f"), F.avg("fw").alias("fw"), F.max("one").alias("one"))
@@ -269,7 +283,7 @@ def order_report(genes: DataFrame, reference: str, scrambled: str, n_draws: int
     kind = F.concat(ribo, F.when(F.col("deg"), "_deg").otherwise("_other"))
     pools = F.explode(F.array(F.col("atlas").cast("string"), F.lit("pooled")))
     d = fine.withColumn("atlas", pools).withColumn("series", F.explode(F.array(F.lit("all"), ribo, deg, kind))).withColumn("decile", F.explode(F.array(F.col("decile"), F.lit(-1).cast("long"))))
-    d = d.groupBy(*by, "series", "draw").agg(F.sum("tot").alias("tot"), F.sum("cit").alias("cit"))
+    d = held(d.groupBy(*by, "series", "draw").agg(F.sum("tot").alias("tot"), F.sum("cit").alias("cit")), "cited")
     rates = bounded(d.withColumnRenamed("series", "s"), [*by, "s"], {"x": (F.col("tot"), ratio("cit", "tot"))}, "cited").withColumn("series", F.col("s")).drop("s")
 
     def of(series: str, c: str) -> Column:
@@ -287,7 +301,8 @@ def order_report(genes: DataFrame, reference: str, scrambled: str, n_draws: int
 
     lists = cited_lists(genes)
     sums = [c for c in lists.columns if c not in ("atlas", "cell", "cond")]
-    cells = drawn_sums(lists, ["atlas", "cond"], "cell", sums, n_draws).withColumn("atlas", pools).groupBy("atlas", "cond", "draw").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("decile", F.lit(-1).cast("long"))
+    cells = drawn_sums(lists, ["atlas", "cond"], "cell", sums, n_draws).withColumn("atlas", pools).groupBy("atlas", "cond", "draw").agg(*[F.sum(c).alias(c) for c in sums])
+    cells = held(cells, "lists").withColumn("decile", F.lit(-1).cast("long"))
     n = F.col("cells")
     shares_of = {
         "in_list": ratio("ref_in", "n_ref"), "ribo_share": ratio("ref_ribo", "n_ref"), "deg_precision": ratio("ref_deg", "n_ref"), "deg_precision5": ratio("ref5_deg", "n_ref5")}
