@@ -9,6 +9,7 @@ from armwise.functions import sequence as S
 from armwise.operators import checks as C
 from armwise.operators import ontology as O
 from armwise.plans.catalog import ARMS, Tables, answers, query
+from armwise.sources import arrays as N
 from armwise.sources import readers as R
 from armwise.sources import writers as W
 
@@ -170,6 +171,22 @@ def src20_vectors_by_content(t):
     return rows.join(vectors, "sha").select("p_partkey", "vec_id", F.size("embedding").alias("numbers"))
 
 
+@query("SELECT vec_id AS key, len(embedding)::INT AS numbers, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT))::BIGINT AS sum_e6 FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0")
+def src20_array_shards(t):
+    """All vectors written as array shards named by their content, and read back by ranges of rows."""
+    e = t("embeddings")
+    path = W.scratch(e.sparkSession, "arrays")
+    N.write_arrays(e, "vec_id", "embedding", path)
+    total = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1e6).cast("long"))
+    return N.read_keyed(e.sparkSession, path).select("key", F.size("vector").alias("numbers"), total.alias("sum_e6"))
+
+
+@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings), r AS (SELECT label, count(*) AS rows FROM embeddings GROUP BY 1)
+SELECT label, rows, count(*) AS numbers, sum((x <> 0)::INT)::BIGINT AS nonzero, sum((x < 0)::INT)::BIGINT AS negative, sum((x <> floor(x))::INT)::BIGINT AS fraction, sum((NOT isfinite(x))::INT)::BIGINT AS broken FROM x JOIN r USING (label) GROUP BY 1, 2""")
+def src19_count_checks(t):
+    return N.count_checks(t("embeddings").select("label", F.col("embedding").cast("array<double>").alias("vector")), "label")
+
+
 @query("SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY 1")
 def snk1_appended(t):
     o, path = order_lines(t, "appended")
