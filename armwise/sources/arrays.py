@@ -10,8 +10,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a written shard and of a range that is read at once.
-ROWS = 4096
+#: Rows of a range that is read at once, and bytes of arrays that a task reads in all.
+ROWS, TASK = 4096, 128 << 20
+
+
+def _spread(files: DataFrame, size: str, least: int = 1) -> DataFrame:
+    """Rows that name work of `size` bytes, dealt to as many tasks as the work asks for: they are too short to be dealt by their own size."""
+    work = files.agg(F.sum(size)).first()[0] or 0
+    return files.repartition(max(least, -(-int(work) // TASK)), F.xxhash64(*files.columns))
 
 
 def _opened(path: str):
@@ -23,7 +29,7 @@ def _opened(path: str):
 def write_arrays(rows: DataFrame, key: str, vector: str, path: str) -> DataFrame:
     """Writes vectors as shards of doubles and their whole-number keys beside them; gives the shards (shard, rows, width).
 
-    A shard holds vectors of one length. It is named by the SHA-1 of its content, so a task that runs again writes the same
+    A shard holds one Arrow batch's vectors of one length (spark.sql.execution.arrow.maxRecordsPerBatch bounds it). It is named by the SHA-1 of its content, so a task that runs again writes the same
     files, and the table of shards, committed by Spark under path/shards, says which files count. Rows without key or vector,
     and vectors with null components, are left out.
     """
@@ -78,7 +84,8 @@ def array_headers(files: DataFrame) -> DataFrame:
                 out.append((path, shape[0], shape[1] if len(shape) > 1 else 1, dtype.str, head.tell()))
             yield pd.DataFrame(out, columns=["path", "rows", "width", "dtype", "start"])
 
-    return files.select("path").mapInPandas(read, "path string, rows long, width int, dtype string, start long")
+    dealt = _spread(files.select("path", F.lit(1 << 16).alias("size")), "size")
+    return dealt.select("path").mapInPandas(read, "path string, rows long, width int, dtype string, start long")
 
 
 def read_arrays(headers: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -97,7 +104,8 @@ def read_arrays(headers: DataFrame, rows: int = ROWS) -> DataFrame:
                 yield pd.DataFrame({"path": r.path, "row": np.arange(r.first, r.first + n), "vector": list(data)})
 
     ranges = headers.where("rows > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(rows).cast("long"))))
-    return ranges.repartition(F.xxhash64("path", "first")).mapInPandas(read, "path string, row long, vector array<double>")
+    sized = ranges.withColumn("size", F.least(F.lit(rows), F.col("rows") - F.col("first")) * F.col("width") * 8)
+    return _spread(sized, "size", 8).mapInPandas(read, "path string, row long, vector array<double>")
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
