@@ -34,23 +34,30 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return placed.drop("_p", "_at", "_before")
 
 
+#: Groups up to which a table of a row a group is broadcast.
+FEW_GROUPS = 50_000
+
+
 def placed_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows with their place from 0 in their group and the group's size, from one global order; no group is sorted in one task. Null groups have no place."""
     placed = numbered(rows, [], [*by, *order]).drop("_n")
     spans = placed.groupBy(*by).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return placed.join(spans, list(by)).withColumn("_i", F.col("_i") - F.col("_first")).drop("_first")
+    # Few groups are named as the side to broadcast: by estimates Spark may broadcast the rows and leave what follows to one task.
+    few = spans.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return placed.join(spans.hint("broadcast" if few else "shuffle_hash"), list(by)).withColumn("_i", F.col("_i") - F.col("_first")).drop("_first")
 
 
 def resampled(units: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str], n_draws: int, salt: str = "boot") -> DataFrame:
     """by, draw and the sums over a draw of as many units as the group has, with replacement.
 
     units: a row a cluster (or a row a row), already summed. For each draw and place a hash picks a unit: n_draws rows a unit,
-    made by explode and reduced at once.
+    made by explode and reduced at once. Spark estimates exploded rows as if there were one a unit, so the join names the units
+    as the side to hash; left to the estimate, all picks may be collected and broadcast.
     """
-    placed = numbered(units, by, order)
+    placed = placed_in_groups(units, by, order) if by else numbered(units, by, order)
     slots = placed.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     picked = slots.select(*by, "draw", (pick(F.lit(salt), F.col("draw").cast("string"), F.col("_i").cast("string")) % F.col("_n")).alias("_i"))
-    return picked.join(placed.select(*by, "_i", *sums), [*by, "_i"]).groupBy(*by, "draw").agg(*[F.sum(s).alias(s) for s in sums])
+    return picked.join(placed.select(*by, "_i", *sums).hint("shuffle_hash"), [*by, "_i"]).groupBy(*by, "draw").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def interval(values: DataFrame, by: Sequence[str], value: str, n_draws: int, alpha: float = 0.05) -> DataFrame:
