@@ -294,13 +294,13 @@ def unit_weights(units: DataFrame, by: Sequence[str], unit: str, n_draws: int, s
     """by, draw, unit and how often the draw takes the unit: one table of multinomial weights that many statistics share."""
     named = units.select(*by, unit).distinct()
     one = named.withColumn("weight", F.lit(1).cast("long"))
-    placed = numbered(one, by, [unit])
+    placed = placed_in_groups(one, by, [unit]) if by else numbered(one, by, [unit])
     slots = placed.select(*by, "_n", "_i", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
     picked = slots.select(*by, "draw", (pick(F.lit(salt), F.col("draw").cast("string"), F.col("_i").cast("string")) % F.col("_n")).alias("_i"))
     taken = picked.groupBy(*by, "draw", "_i").agg(F.count(F.lit(1)).alias("weight"))
-    return taken.join(placed.select(*by, unit, "_i"), [*by, "_i"]).select(*by, "draw", unit, "weight")
+    return taken.join(placed.select(*by, unit, "_i").hint("shuffle_hash"), [*by, "_i"]).select(*by, "draw", unit, "weight")
 
 
 def weighted_sums(units: DataFrame, weights: DataFrame, by: Sequence[str], unit: str, sums: Sequence[str]) -> DataFrame:
     """by, draw and the weighted sum of each column: every statistic of a draw from one join."""
-    return weights.join(units, [*by, unit]).groupBy(*by, "draw").agg(*[F.sum(F.col("weight") * F.col(s)).alias(s) for s in sums])
+    return weights.join(units.hint("shuffle_hash"), [*by, unit]).groupBy(*by, "draw").agg(*[F.sum(F.col("weight") * F.col(s)).alias(s) for s in sums])
