@@ -104,7 +104,7 @@ def win14_longest_first(t):
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, (o_totalprice / 1000)::BIGINT AS n FROM orders), s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
 SELECT o_custkey, o_orderkey, n, floor(before / 700)::BIGINT AS batch FROM s""")
 def win16_length_batches(t):
-    rows = t("orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("n"))
+    rows = t("orders").select("o_custkey", "o_orderkey", F.rint(F.col("o_totalprice") / 1000).cast("long").alias("n"))  # a half goes to the even number, as in SQL's cast
     return P.batches(rows, ["o_custkey"], "o_orderkey", "n", 700)
 
 
