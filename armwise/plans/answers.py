@@ -51,8 +51,12 @@ ONORM = r"trim(regexp_replace(regexp_replace(lower(trim({})), '[\s_\-]+', ' ', '
 
 
 def opted(t: Tables) -> DataFrame:
+    """OPTED on Spark: arrays by function, capitals letter by letter."""
     c = t("conversations")
-    return c.sparkSession.sql(OPTED.replace("[w1", "array(w1").replace("w3] AS", "w3) AS").replace("FROM conversations", "FROM {c}"), c=c)
+    for i in (1, 2):
+        c = c.withColumn(f"u{i}", T.upper_letters(F.split_part("text", F.lit(" "), F.lit(i))))
+    sql = OPTED.replace("[w1", "array(w1").replace("w3] AS", "w3) AS").replace("upper(w1)", "u1").replace("upper(w2)", "u2")
+    return c.sparkSession.sql(sql.replace("AS w3 FROM conversations", "AS w3, u1, u2 FROM {c}"), c=c)
 
 
 ORACLE_SQL_OF_OPTIONS = f"""WITH o AS ({OPTED}), l AS (SELECT k, opts, trim(regexp_replace(trim(regexp_replace(split_part(trim(said), chr(10), 1), '<[^>]+>', '', 'g')), '^\\.+|\\.+$', '', 'g')) AS t FROM o),

@@ -1,8 +1,11 @@
 """Steps whose work must stay spread and bounded when tables grow, and values that the engines once read differently."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import armwise.queries as base
+from armwise.functions import text as T
 from armwise.operators import resample as R
 
 
@@ -24,3 +27,34 @@ def test_no_group_is_placed_by_one_task(spark):
     got = R.bootstrap_mean(rows, ["g"], "v", ["id"], 3)
     assert "Window [row_number" not in plan(got)
     assert {(r.g, r.draw): r.n for r in got.collect()} == {(g, d): n for g, n in ((0, 200), (1, 250)) for d in range(3)}
+
+
+def test_shared_weights_are_never_broadcast(spark):
+    units = spark.range(300).select(F.col("id").alias("u"), (F.col("id") % 5).alias("v"))
+    weights = R.unit_weights(units, [], "u", 4)
+    sums = R.weighted_sums(units.withColumn("one", F.lit(1)), weights, [], "u", ["one"])
+    assert plan(sums).count("ShuffledHashJoin") == 2
+    assert sorted(tuple(r) for r in sums.collect()) == [(d, 300) for d in range(4)]
+
+
+def test_capitals_letter_by_letter(spark):
+    said = ["Undenöteer enß", "straße", "", None, "ŉ ǰ ᾀb ﬀ", "Übe"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").orderBy("i").select(T.upper_letters(F.col("x"))).collect()]
+    assert got == [None if x is None else duckdb.execute("select upper(?)", [x]).fetchone()[0] for x in said]
+
+
+@pytest.mark.parametrize("name", ["score_mcq", "txt6_option"])
+def test_options_of_letters_with_two_capitals(spark, tmp_path, name):
+    rows = [(c, k, "user", x) for c in range(6) for k, x in enumerate(["Undenöteer enß so", "Straß e ß", "groß", None])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(base.ORACLE_SQL[name])
+    assert sorted(tuple(r) for r in base.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_halves_of_sizes_go_to_the_even_number(spark, tmp_path):
+    rows = [(225, 3882, 198500.0), (225, 7, 199500.0), (225, 9, 600400.0), (1, 1, 500.0), (1, 2, 1500.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.o_custkey, r.o_orderkey): (r.n, r.batch) for r in base.QUERIES["win16_length_batches"](spark, str(tmp_path)).collect()}
+    assert got == {(225, 9): (600, 0), (225, 7): (200, 0), (225, 3882): (198, 1), (1, 1): (0, 0), (1, 2): (2, 0)}
