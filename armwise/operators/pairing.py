@@ -81,18 +81,57 @@ def rank_matched(left: DataFrame, right: DataFrame, key: str, by: str, within: S
     return ranked(left, "left").join(ranked(right, "right"), [*within, "rank"])
 
 
+#: Keys of a block at most on average; two blocks are paired where they lie.
+BLOCK = 1024
+
+
+def blocks(rows: DataFrame, by: Sequence[str], key: str, values: Sequence[str] = ()) -> DataFrame:
+    """by, _b and _rows: each group's rows (key and values) in blocks of bounded size by hash, however large a group is."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.join(sizes, list(by)).withColumn("_b", F.pmod(F.xxhash64(key, *values), F.ceil(F.col("_n") / BLOCK)))
+    return dealt.groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(key).alias("key"), *values)).alias("_rows"))
+
+
+def met_in_blocks(met: DataFrame) -> DataFrame:
+    """met with _x and _y, a row of _rows_a and one of _rows_b: all of both, made where the blocks lie and never shuffled.
+
+    Block pairs are dealt at random over the tasks, so that a large group is the work of all.
+    """
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n, F.rand(7)).withColumn("_x", F.explode("_rows_a")).drop("_rows_a").withColumn("_y", F.explode("_rows_b")).drop("_rows_b")
+
+
 def same_text_pairs(rows: DataFrame, text: str, key: str, variant: str, label: str) -> DataFrame:
-    """Unordered pairs of one text with different variants, and whether the answer should change. A self-join by text: for texts of few rows."""
-    a = rows.select(text, F.col(key).alias("a"), F.col(variant).alias("_va"), F.col(label).alias("_la"))
-    b = rows.select(text, F.col(key).alias("b"), F.col(variant).alias("_vb"), F.col(label).alias("_lb"))
-    return a.join(b, text).where("a < b and _va <> _vb").select(text, "a", "b", (F.col("_la") != F.col("_lb")).alias("should_change"))
+    """Unordered pairs of one text with different variants, and whether the answer should change.
+
+    As many rows as there are pairs; a text's rows are cut into blocks and pairs of blocks dealt over all tasks, so only blocks
+    are shuffled, and a frequent text is no one task's.
+    """
+    r = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(variant).isNotNull())
+    cut = blocks(r.select(text, key, F.col(variant).alias("v"), F.col(label).alias("l")), [text], key, ["v", "l"])
+    a, b = (cut.select(text, F.col("_b").alias(f"_b_{s}"), F.col("_rows").alias(f"_rows_{s}")) for s in "ab")
+    met = met_in_blocks(a.join(b, text).where("_b_a <= _b_b")).where("_x.v <> _y.v AND (_b_a < _b_b OR _x.key < _y.key) AND _x.key <> _y.key")
+    return met.select(text, F.least("_x.key", "_y.key").alias("a"), F.greatest("_x.key", "_y.key").alias("b"), (F.col("_x.l") != F.col("_y.l")).alias("should_change"))
 
 
 def shared_member_pairs(rows: DataFrame, within: str, key: str, member: str) -> DataFrame:
-    """Unordered pairs of keys that share a member within a group, and how many they share: an equi-join on (group, member)."""
-    r = rows.select(within, key, member).distinct()
-    a, b = r.withColumnRenamed(key, "a"), r.withColumnRenamed(key, "b")
-    return a.join(b, [within, member]).where("a < b").groupBy(within, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """Unordered pairs of keys that share a member within a group, and how many they share.
+
+    Keys of one group with the same members are a class. Classes meet by an equi-join on (group, member), a row a class, and how
+    many members two classes share is counted once for all their keys; the pairs of keys are then made from blocks of both
+    classes and never shuffled. Keys with members of their own are classes of one, and the join is that of keys.
+    """
+    r = rows.select(within, key, member).where(F.col(within).isNotNull() & F.col(key).isNotNull() & F.col(member).isNotNull())
+    sets = r.groupBy(within, key).agg(F.array_sort(F.collect_set(member)).alias("_set"))
+    classes = sets.groupBy(within, "_set").agg(F.min(key).alias("_class"))
+    cut = blocks(sets.join(classes, [within, "_set"]).select(within, "_class", key), [within, "_class"], key)
+    m = classes.select(within, "_class", F.explode("_set").alias("_m"))
+    a, b = (m.withColumnRenamed("_class", f"_class_{s}") for s in "ab")
+    met = a.join(b, [within, "_m"]).where("_class_a <= _class_b").groupBy(within, "_class_a", "_class_b").agg(F.count(F.lit(1)).alias("shared"))
+    for s in "ab":
+        met = met.join(cut.select(within, F.col("_class").alias(f"_class_{s}"), F.col("_b").alias(f"_b_{s}"), F.col("_rows").alias(f"_rows_{s}")), [within, f"_class_{s}"])
+    made = met_in_blocks(met.where("_class_a < _class_b OR _b_a <= _b_b")).where("_class_a < _class_b OR _b_a < _b_b OR _x.key < _y.key")
+    return made.select(within, F.least("_x.key", "_y.key").alias("a"), F.greatest("_x.key", "_y.key").alias("b"), "shared")
 
 
 def contrasts(negatives: DataFrame, positives: DataFrame, on: Sequence[str], a: str, b: str, score: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import armwise.queries as base
 from armwise.functions import text as T
+from armwise.operators import pairing as P
 from armwise.operators import resample as R
 
 
@@ -58,3 +59,25 @@ def test_halves_of_sizes_go_to_the_even_number(spark, tmp_path):
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     got = {(r.o_custkey, r.o_orderkey): (r.n, r.batch) for r in base.QUERIES["win16_length_batches"](spark, str(tmp_path)).collect()}
     assert got == {(225, 9): (600, 0), (225, 7): (200, 0), (225, 3882): (198, 1), (1, 1): (0, 0), (1, 2): (2, 0)}
+
+
+def test_pairs_of_one_text_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 7)
+    rows = [(f"t{i % 3}", i, i % 4, i % 5) for i in range(60)] + [("t0", 0, 3, 1), (None, 70, 1, 1), (None, 71, 2, 1), ("t1", 72, None, 1), ("t1", 73, 2, None)]
+    got = P.same_text_pairs(spark.createDataFrame(rows, "t string, k int, v int, l int"), "t", "k", "v", "l")
+    want = [(t, a, b, None if la is None or lb is None else la != lb) for t, a, va, la in rows for u, b, vb, lb in rows if t and t == u and a < b and None not in (va, vb) and va != vb]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_keys_of_equal_members_meet_as_classes(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 5)
+    rows = [(i % 2, i, (i * 7 + j * j) % 5) for i in range(50) for j in range(1 + i % 4)] + [(0, 1, 2), (None, 1, 2), (0, None, 2), (0, 60, None)]
+    got = P.shared_member_pairs(spark.createDataFrame(rows, "w int, k int, m int"), "w", "k", "m")
+    held = {}
+    for w, k, m in rows:
+        if None not in (w, k, m):
+            held.setdefault((w, k), set()).add(m)
+    want = [(w, a, b, len(x & y)) for (w, a), x in held.items() for (u, b), y in held.items() if w == u and a < b and x & y]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    text = plan(got)
+    assert text.index("Generate") < text.index("Exchange")  # nothing is shuffled after keys are paired
