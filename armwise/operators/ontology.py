@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a table of an ontology is sent to every task.
+FEW = 500_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A table that joins send to every task if it is small, by its count: estimates of closures and derived edges say nothing of their size."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
     """term, ancestor, distance (shortest), each term its own ancestor at 0. Distances double at each join, so a deep graph takes few.
 
@@ -30,9 +39,13 @@ def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
 
 
 def propagated(annotations: DataFrame, closed: DataFrame, entity: Sequence[str], term: str = "term", once: bool = True) -> DataFrame:
-    """Every term of an entity and all its ancestors; once, unless what follows makes sets of them anyway."""
-    up = closed.select(F.col("term").alias(term), "ancestor")
-    rows = annotations.join(up, term).select(*entity, F.col("ancestor").alias(term))
+    """Every term of an entity and all its ancestors; once, unless what follows makes sets of them anyway.
+
+    Rows are dealt by the first entity column before ancestors are added, so that what follows by entity shuffles nothing more.
+    """
+    up = sent(closed.select(F.col("term").alias(term), "ancestor"))
+    said = annotations.select(*entity, term).repartition(entity[0]).distinct()
+    rows = said.join(up, term).select(*entity, F.col("ancestor").alias(term))
     return rows.distinct() if once else rows
 
 
@@ -56,20 +69,24 @@ def corpus_information(annotations: DataFrame, term: str = "term") -> DataFrame:
 def information_accretion(annotations: DataFrame, edges: DataFrame, entity: str = "entity", term: str = "term") -> DataFrame:
     """term, n (entities with it), n_parents (entities with all its parents) and -log2(n / n_parents); 0 for roots.
 
-    annotations are propagated; rows may repeat. They are shuffled once, into an entity's set of terms; an entity has all
-    parents of a term if its terms have the term as a child as often as the term has parents, which is counted where the set
-    lies. Only counts of terms are shuffled after that.
+    annotations are propagated; rows may repeat. They are shuffled once, into an entity's set of terms. A term of one parent has
+    the parent's count. Terms with the same parents share one count: where an entity has the rarest of them, its set is looked at
+    for the others, so no row of an entity and a child is made to be grouped. Only counts are shuffled after the sets.
     """
     sets = annotations.where(F.col(term).isNotNull()).groupBy(entity).agg(F.collect_set(term).alias("_ts"))
-    parents = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
-    kids = parents.join(parents.groupBy("_c").agg(F.count(F.lit(1)).alias("_k")), "_c")
-    held = sets.select(entity, F.explode("_ts").alias(term))
+    held = sets.select("_ts", F.explode("_ts").alias(term))
     n = held.groupBy(term).agg(F.count(F.lit(1)).alias("n"))
-    met = held.join(kids, F.col(term) == F.col("_p")).groupBy(entity, "_c", "_k").agg(F.count(F.lit(1)).alias("_m"))
-    whole = met.where("_m = _k").groupBy(F.col("_c").alias(term)).agg(F.count(F.lit(1)).alias("n_parents"))
-    needed = kids.select(F.col("_c").alias(term), "_k").distinct()
-    out = n.join(whole, term, "left").join(needed, term, "left")
-    ia = F.when(F.col("_k").isNull(), 0.0).when(F.col("n_parents") > 0, -F.log2(F.col("n") / F.col("n_parents")))
+    families = edges.groupBy(F.col("child").alias("_c")).agg(F.array_sort(F.collect_set("parent")).alias("_ps")).where(F.size("_ps") > 0)
+    alike = families.where(F.size("_ps") > 1).groupBy("_ps").agg(F.min("_c").alias("_s"))
+    few = alike.limit(FEW + 1).count() <= FEW
+    each = alike.select("_s", "_ps", F.explode("_ps").alias(term)).join(n, term, "left")
+    rarest = each.groupBy("_s", "_ps").agg(F.min_by(term, F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col(term).alias("t"))).alias(term))
+    met = held.join(F.broadcast(rarest) if few else rarest, term).where(F.size(F.array_except("_ps", "_ts")) == 0)
+    whole = met.groupBy("_s").agg(F.count(F.lit(1)).alias("n_parents")).join(alike, "_s").select("_ps", "n_parents")
+    single = n.select(F.array(term).alias("_ps"), F.col("n").alias("n_parents"))
+    of = families.join(whole.unionByName(single), "_ps", "left").select(F.col("_c").alias(term), F.lit(True).alias("_child"), "n_parents")
+    out = n.join(of, term, "left")
+    ia = F.when(F.col("_child").isNull(), 0.0).when(F.col("n_parents") > 0, -F.log2(F.col("n") / F.col("n_parents")))
     return out.select(term, "n", F.coalesce("n_parents", F.lit(0)).alias("n_parents"), ia.alias("ia"))
 
 
@@ -153,10 +170,12 @@ def indent_tree(lines: DataFrame, order: str, depth: str, name: str, tree: str)
 
 def same_type(left: DataFrame, right: DataFrame, closed: DataFrame, key: str) -> DataFrame:
     """key and whether any term of its left set is, or lies over or under, one of its right set; for keys with both sets."""
+    left, right = (side.repartition(key) for side in (left, right))  # all that follows goes by key
+    up = sent(closed.select("term", "ancestor"))
     both = left.select(key).distinct().join(right.select(key).distinct(), key)
 
     def under(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(closed.select("term", "ancestor"), "term").join(b.select(key, F.col("term").alias("ancestor")), [key, "ancestor"]).select(key)
+        return a.join(up, "term").join(b.select(key, F.col("term").alias("ancestor")), [key, "ancestor"]).select(key)
 
     hit = under(left, right).unionByName(under(right, left)).distinct().withColumn("_hit", F.lit(True))
     return both.join(hit, key, "left").select(key, F.coalesce("_hit", F.lit(False)).alias("same"))
