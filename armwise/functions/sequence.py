@@ -35,10 +35,11 @@ def shuffled_words(x: Column, seed: Column) -> Column:
 
 
 def kmers(rows: DataFrame, key: str, sequence: Column, k: int) -> DataFrame:
-    """key, kmer and n of every run of k letters."""
+    """key, kmer and n of every run of k letters. Sequences are dealt by key before runs are made, so each is counted where it lies."""
     n = F.length(sequence)
     runs = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(sequence, i, F.lit(k))))
-    return rows.select(key, F.explode(runs).alias("kmer")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    dealt = rows.select(key, runs.alias("_r")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.select(key, F.explode("_r").alias("kmer")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def share_of(x: Column, chars: str) -> Column:
