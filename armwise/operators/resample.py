@@ -121,9 +121,11 @@ def poisson_mean(rows: DataFrame, by: Sequence[str], value: str, key: str, n_dra
 def sign_flip(rows: DataFrame, unit: str, difference: str, n_draws: int = 10_000, two_sided: bool = False, salt: str = "flip") -> DataFrame:
     """A permutation test by random signs over units: n, observed sum, draws at least as large, p = (ge + 1) / (draws + 1).
 
-    Null below three units; 1 where all differences are zero. Differences are best given as integers.
+    Null below three units; 1 where all differences are zero. Differences are best given as integers. Units are dealt over all
+    tasks before draws are made, as a small file is one task's.
     """
-    signs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"), unit, difference)
+    dealt = rows.select(unit, difference).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), unit)
+    signs = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"), unit, difference)
     signed = F.when(pick(F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string")) % 2 == 0, F.col(difference)).otherwise(-F.col(difference))
     sums = signs.groupBy("draw").agg(F.sum(signed).alias("_s"))
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(difference).alias("observed"), F.sum(F.abs(difference)).alias("_any"))

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import armwise.queries as base
+from armwise.functions import sequence as S
 from armwise.functions import text as T
+from armwise.operators import ontology as O
 from armwise.operators import pairing as P
 from armwise.operators import resample as R
 
@@ -81,3 +83,25 @@ def test_keys_of_equal_members_meet_as_classes(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     text = plan(got)
     assert text.index("Generate") < text.index("Exchange")  # nothing is shuffled after keys are paired
+
+
+def test_accretion_makes_no_row_of_entity_and_child(spark):
+    edges = [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("z", "a"), ("a", "r"), ("b", "r"), ("w", "b"), ("w", "q")]
+    held = {1: "xabr", 2: "yabr", 3: "zar", 4: "br", 5: "r", 6: "wbr", 7: "ab"}
+    said = spark.createDataFrame([(e, c) for e, ts in held.items() for c in ts + ts[0]], "entity int, term string")
+    got = O.information_accretion(said, spark.createDataFrame(edges, "child string, parent string"))
+    of = {}
+    for c, p in edges:
+        of.setdefault(c, set()).add(p)
+    want = [(c, sum(c in ts for ts in held.values()), sum(of[c] <= set(ts) for ts in held.values()) if c in of else 0) for c in "xyzabrw"]
+    assert sorted((r.term, r.n, r.n_parents) for r in got.collect()) == sorted(want)
+    assert "keys=[entity" in plan(got) and "_k#" not in plan(got)
+
+
+def test_runs_and_signs_are_dealt_before_they_are_made(spark):
+    rows = spark.createDataFrame([(1, "abab"), (1, "ab"), (2, "a"), (3, None)], "k int, s string")
+    got = S.kmers(rows, "k", F.col("s"), 2)
+    assert plan(got).count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, "ab", 3), (1, "ba", 1)]
+    flips = R.sign_flip(spark.range(9).coalesce(1).select("id", (F.col("id") - 4).alias("d")), "id", "d", 5)
+    assert "REPARTITION_BY_NUM" in plan(flips) and flips.first().n == 9
