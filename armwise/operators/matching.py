@@ -9,9 +9,10 @@ targets before one is passed over.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -270,13 +271,109 @@ def cheapest(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assigned(left: DataFrame, right: DataFrame, within: Sequence[str], key: str, costs: dict[str, float], most: int = 1000, salt: str = "select") -> DataFrame:
+def cheapest_classes(x: np.ndarray, supply: np.ndarray, y: np.ndarray, room: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row class, column class, how many) of least total cost, where all rows find room; classes are distinct points of a pair's fields.
+
+    Rows join one by one along shortest augmenting paths, as in cheapest(), but costs are made where they are looked at: columns
+    with room have potential 0 and others at most 0, so no path is shorter by a column that costs more than the nearest one with
+    room. Columns lie sorted by the field of most values, and a row looks at those within that reach. Memory grows with the
+    classes; time is near their number where sides are mixed, and cubic at worst, where rows far outnumber columns in a region.
+    """
+    m = len(y)
+    varied = [len(np.unique(y[:, f])) if w > 0 else 0 for f, w in enumerate(weights)]
+    axis = int(np.argmax(varied))
+    laid = np.argsort(y[:, axis], kind="stable")
+    y, free = y[laid], room[laid].astype(int)
+    along = max(float(weights[axis]), 0.0)
+    pos, px = (y[:, axis] * along).tolist(), (x[:, axis] * along).tolist()
+    slack = sum(-w * (max(x[:, f].max(), y[:, f].max()) - min(x[:, f].min(), y[:, f].min())) for f, w in enumerate(weights) if w < 0)
+    u, v, least, through = np.zeros(len(x)), np.zeros(m), np.full(m, np.inf), np.full(m, -1)
+    flow: list[dict[int, int]] = [{} for _ in range(m)]
+
+    def nearest(i: int) -> tuple[float, int]:
+        """A column with room, the nearest unless the window ends before that is sure, and its cost."""
+        at, wide = bisect_left(pos, px[i]), 16
+        while True:
+            lo, hi = max(0, at - wide), min(m, at + wide)
+            some = lo + np.flatnonzero(free[lo:hi])
+            edge = min(px[i] - pos[lo] if lo else FAR, pos[hi - 1] - px[i] if hi < m else FAR) - slack
+            if len(some):
+                c = np.abs(y[some] - x[i]) @ weights
+                a = int(c.argmin())
+                if c[a] <= edge or edge == FAR:
+                    return float(c[a]), int(some[a])
+            wide *= 2
+
+    for i in range(len(x)):
+        left = int(supply[i])
+        while left:
+            cost, sink = nearest(i)
+            best, last = cost - u[i], i
+            rows, came, queue, settled, touched = {i: 0.0}, {i: -1}, [], [], []
+            todo = [i]
+            while True:
+                for k in todo:
+                    far = rows[k]
+                    reach = (best - far + u[k] + slack) * (1 + 1e-12)
+                    lo, hi = bisect_left(pos, px[k] - reach), bisect_right(pos, px[k] + reach)
+                    d = np.maximum(far if k != i else -FAR, far + np.abs(y[lo:hi] - x[k]) @ weights - u[k] - v[lo:hi])
+                    near = np.flatnonzero(d < np.minimum(least[lo:hi], best))
+                    d, near = d[near], near + lo
+                    some = free[near] > 0
+                    if some.any():
+                        a = int(np.where(some, d, np.inf).argmin())
+                        best, sink, last = float(d[a]), int(near[a]), k
+                    on = ~some & (d < best)
+                    d, near = d[on], near[on]
+                    least[near], through[near] = d, k
+                    touched.append(near)
+                    for entry in zip(d.tolist(), near.tolist()):
+                        heappush(queue, entry)
+                todo = []
+                while queue and not todo:
+                    far, j = heappop(queue)
+                    if far >= best:
+                        queue = []
+                    elif far == least[j]:
+                        settled.append((j, far))
+                        least[j] = -np.inf
+                        todo = [k for k in flow[j] if k not in rows]
+                        for k in todo:
+                            rows[k], came[k] = far, j
+                if not todo:
+                    break
+            for k, far in rows.items():
+                u[k] += best - far
+            for j, far in settled:
+                v[j] -= best - far
+            for some in touched:
+                least[some] = np.inf
+            path, k = [(last, sink)], last
+            while came[k] >= 0:
+                path.append((int(through[came[k]]), came[k]))
+                k = path[-1][0]
+            # each row of the path but the first gives up as many of the column that led to it
+            given = [(k, came[k]) for k, _ in path if came[k] >= 0]
+            n = min(left, int(free[sink]), *[flow[j][k] for k, j in given])
+            for k, j in path:
+                flow[j][k] = flow[j].get(k, 0) + n
+            for k, j in given:
+                flow[j][k] -= n
+                if not flow[j][k]:
+                    del flow[j][k]
+            free[sink] -= n
+            left -= n
+    return sorted((k, int(laid[j]), n) for j, of in enumerate(flow) for k, n in of.items())
+
+
+def assigned(left: DataFrame, right: DataFrame, within: Sequence[str], key: str, costs: dict[str, float], most: int | None = None, salt: str = "select") -> DataFrame:
     """within, key, side, partner and cost: in each group the one-to-one pairs of left and right of least total cost.
 
     A pair costs the sum of weight * |difference| over the columns that costs names. Every row comes back: partner is null for
-    the rows that the smaller side leaves over, and for those beyond `most` of a side, which are the last in hash order; so a
-    group is one task's work of a known size (most * most costs), which is a parameter of the experiment, as groups are
-    balanced samples. Keys are unique in a group and side; rows with a null cost column have no partner.
+    the rows that the smaller side leaves over. A group is one task's work, with memory for its rows and none for its pairs;
+    rows of equal costs count as a class. most: an experiment that wants balanced samples takes that many rows of a side, the
+    first in hash order, and leaves the others without partner. Keys are unique in a group and side; rows with a null, NaN or
+    infinite cost column have no partner.
     """
     from armwise.functions.sequence import pick
 
@@ -289,10 +386,18 @@ def assigned(left: DataFrame, right: DataFrame, within: Sequence[str], key: str,
         one = rows.select(group.alias("g"), F.lit(side).alias("side"), F.col(key).alias("key"), *fields, pick(F.lit(salt), F.lit(side), F.col(key).cast("string")).alias("h"), F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)], F.lit(0).alias("_")).alias("w"))
         both = one if both is None else both.unionByName(one)
     both = _kept(both, "sides")
-    whole = both.where(" AND ".join(f"c{i} IS NOT NULL" for i in range(len(costs))))
-    pieces = whole.withColumn("p", F.pmod(F.xxhash64("key"), F.lit(64)))  # a side of a group is cut before it is sorted as one
-    for by in (["g", "side", "p"], ["g", "side"]):
-        pieces = pieces.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "key"))).where(F.col("r") <= most)
+    pieces = both.where(" AND ".join(f"abs(c{i}) < double('infinity')" for i in range(len(costs))))
+    if most is not None:
+        pieces = pieces.withColumn("p", F.pmod(F.xxhash64("key"), F.lit(64)))  # a side of a group is cut before it is sorted as one
+        for by in (["g", "side", "p"], ["g", "side"]):
+            pieces = pieces.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "key"))).where(F.col("r") <= most)
+
+    def classes(d: pd.DataFrame) -> tuple[np.ndarray, list[list[int]]]:
+        """Distinct points in the order of their first rows, and each one's rows."""
+        held: dict[tuple, list[int]] = {}
+        for i, point in enumerate(d[[f"c{i}" for i in range(len(costs))]].itertuples(index=False, name=None)):
+            held.setdefault(point, []).append(i)
+        return np.array(list(held), float), list(held.values())
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf["side"] == s].sort_values(["h", "key"]) for s in ("left", "right"))
@@ -300,14 +405,14 @@ def assigned(left: DataFrame, right: DataFrame, within: Sequence[str], key: str,
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("g", "side", "key", "partner", "cost")})
         swap = len(a) > len(b)
         few, many = (b, a) if swap else (a, b)
-        x, y = (d[[f"c{i}" for i in range(len(costs))]].to_numpy(float) for d in (few, many))
-        total = np.zeros((len(x), len(y)))
-        for i, w in enumerate(weights):
-            total += w * np.abs(x[:, i, None] - y[None, :, i])
-        to = cheapest(total)
+        (x, own), (y, there) = classes(few), classes(many)
+        to, spent = np.empty(len(few), int), np.empty(len(few))
+        for k, j, n in cheapest_classes(x, np.array([len(r) for r in own]), y, np.array([len(r) for r in there]), weights):
+            mine, theirs = own[k][:n], there[j][:n]
+            own[k], there[j] = own[k][n:], there[j][n:]
+            to[mine], spent[mine] = theirs, np.abs(x[k] - y[j]) @ weights
         one, other = few["key"].to_numpy(), many["key"].to_numpy()[to]
         names = ("right", "left") if swap else ("left", "right")
-        spent = total[np.arange(len(x)), to]
         return pd.DataFrame({"g": pdf["g"].iloc[0], "side": [names[0]] * len(one) + [names[1]] * len(one), "key": [*one, *other], "partner": [*other, *one], "cost": [*spent, *spent]})
 
     met = pieces.select("g", "side", "key", "h", *[f"c{i}" for i in range(len(costs))]).groupBy("g").applyInPandas(pairs, f"g string, side string, key {kind}, partner {kind}, cost double")

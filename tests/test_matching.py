@@ -130,3 +130,38 @@ def test_assigned_rows_come_back_once_with_least_cost(spark):
         assert len(got) == len(few) and abs(sum(r.cost for r in got) - best) < 1e-9
     capped = X.assigned(spark.createDataFrame(left, names), spark.createDataFrame(right, names), ["g"], "k", {"gc": 1.0}, most=2).collect()
     assert len(capped) == len(left) + len(right) and sum(r.partner is not None for r in capped) == 12
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_cheapest_classes_cost_as_much_as_all_pairs(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n, fields, spread = int(rng.integers(1, 25)), int(rng.integers(1, 4)), [2, 6, 1000][seed % 3]
+    a, b = rng.integers(0, spread, (n, fields)).astype(float), rng.integers(0, spread, (n + seed, fields)).astype(float)
+    b[:, 0] += spread / 2 * (seed % 2)  # rows outnumber columns on one side
+    weights = rng.choice([1.0, 0.5, 0.0, 1000.0] + [-1.0] * (seed % 4 == 0), fields)
+    cost = (np.abs(a[:, None] - b[None]) * weights).sum(2)
+    (x, supply), (y, room) = (np.unique(s, axis=0, return_counts=True) for s in (a, b))
+    flow = X.cheapest_classes(x, supply, y, room, weights)
+    spent, used = np.zeros(len(x), int), np.zeros(len(y), int)
+    for k, j, q in flow:
+        spent[k] += q
+        used[j] += q
+    assert (spent == supply).all() and (used <= room).all()
+    assert sum(q * (np.abs(x[k] - y[j]) @ weights) for k, j, q in flow) == pytest.approx(cost[range(n), X.cheapest(cost)].sum())
+
+
+def test_sides_of_any_size_are_assigned_whole(spark):
+    rng = random.Random(7)
+    made = [[(k, f"g{k % 2}", float(rng.randrange(900)), k % 3) for k in range(start, start + n)] for start, n in ((0, 2400), (5000, 3000))]
+    bad = [(9000, "g0", float("nan"), 1), (9001, "g0", float("inf"), 1), (9002, "g0", None, 1)]
+    left, right = (spark.createDataFrame(rows, "k long, g string, c double, n int") for rows in (made[0] + bad, made[1]))
+    rows = X.assigned(left, right, ["g"], "k", {"c": 1.0, "n": 1000.0}).collect()
+    of = {(r.side, r.k): r for r in rows}
+    assert len(rows) == len(of) == 5403 and all(of["left", k].partner is None for k, *_ in bad)
+    held = {k: (g, c, n) for rows in made for k, g, c, n in rows}
+    for k, g, c, n in made[0]:
+        r = of["left", k]
+        other = held[r.partner]
+        assert other[0] == g and of["right", r.partner].partner == k and r.cost == abs(c - other[1]) + 1000 * abs(n - other[2])
