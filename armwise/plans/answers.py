@@ -157,7 +157,7 @@ h AS (SELECT k, raw, i, n, w[i:i + n - 1] AS g FROM i, range(1, 3) r(n) WHERE i
 SELECT k, i::INT AS start, n::INT AS size, array_to_string(raw[i:i + n - 1], ' ') AS span, phrase AS id FROM c WHERE n = 2 OR NOT EXISTS (SELECT 1 FROM c d WHERE d.k = c.k AND d.n = 2 AND c.i IN (d.i, d.i + 1))""")
 def txt20_vocabulary_terms(t):
     said = F.concat("p_name", F.when(F.col("l_linenumber") % 2 == 0, "s").otherwise(""), F.when(F.col("l_linenumber") == 3, " (Bolts!)").otherwise(""))
-    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", said.alias("t")))).alias("s"))
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", said.alias("t")))).alias("s"))
     names = t("part").select(F.col("p_name").alias("name")).union(t("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
     index = T.vocabulary_index(names.select(F.col("name").alias("id"), "name", F.array().cast("array<string>").alias("synonyms")))
     return T.vocabulary_terms(rows, "k", F.array_join(F.transform("s", lambda x: x["t"]), ", and "), index)

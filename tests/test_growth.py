@@ -105,3 +105,18 @@ def test_runs_and_signs_are_dealt_before_they_are_made(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "ab", 3), (1, "ba", 1)]
     flips = R.sign_flip(spark.range(9).coalesce(1).select("id", (F.col("id") - 4).alias("d")), "id", "d", 5)
     assert "REPARTITION_BY_NUM" in plan(flips) and flips.first().n == 9
+
+
+@pytest.mark.parametrize("size", [1, 1 << 20])
+def test_vocabulary_is_looked_up_where_texts_lie(spark, monkeypatch, size):
+    monkeypatch.setattr(T, "AUTOMATON", size)
+    names = [("c1", "b cell", True, 2.0), ("c2", "naive b cell", True, 1.0), ("c3", "cells", False, 3.0), ("c4", "cell", True, 3.0), ("c5", "b cells", True, None), ("c6", "as", True, 5.0)]
+    index = spark.createDataFrame(names, "id string, phrase string, primary boolean, ic double")
+    said = [(1, "Naive B-cells and b cells, Cells - B  cell"), (1, "cell"), (2, None), (3, "ass naive - b cell"), (4, "-")]
+    texts = spark.createDataFrame(said, "k int, t string")
+    got = T.vocabulary_terms(texts, "k", F.col("t"), index)
+    assert "Exchange" not in plan(got)
+    want = [(1, 1, 1, "cell", "c4"), (1, 1, 2, "Naive B-cells", "c2"), (1, 4, 2, "b cells", "c5"), (1, 7, 3, "- B cell", "c1"), (3, 1, 1, "ass", "c6"), (3, 3, 3, "- b cell", "c1")]
+    assert sorted(map(tuple, got.collect())) == want
+    assert {r.id for r in T.vocabulary_terms(texts, "k", F.col("t"), index, least=2.0).collect()} == {"c1", "c4", "c6"}
+    assert T.vocabulary_terms(texts, "k", F.col("t"), index.where("false")).count() == 0
