@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,10 +96,22 @@ def paired_difference(rows: DataFrame, unit: str, a: str, b: str, n_draws: int =
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 
 
+#: POISSON as the first twelve hexadecimal digits of a hash: digits compare like their numbers.
+STEPS = tuple(format(ceil(c * (1 << 48)), "012x") for c in POISSON)
+
+
+def _digits(seed: Column) -> Column:
+    return F.substring(F.md5(seed.cast("binary")), 1, 12)
+
+
+def _steps(digits: Column) -> Column:
+    """A Poisson(1) number, 6 at most, from a hash's digits, without making a number of them."""
+    return sum(((digits >= h).cast("int") for h in STEPS[1:]), (digits >= STEPS[0]).cast("int"))
+
+
 def _poisson(seed: Column) -> Column:
     """A Poisson(1) number, 6 at most, from the hash of a seed."""
-    u = pick(seed) / F.lit(float(1 << 48))
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0)).cast("long")
+    return _steps(_digits(seed)).cast("long")
 
 
 def poisson_weights(units: DataFrame, key: str, n_draws: int, salt: str = "weight") -> DataFrame:
@@ -282,10 +295,12 @@ def odds_intervals(cells: DataFrame, by: Sequence[str], x: Sequence[str], y: str
     hash, so cells are not joined with anything: one aggregation gives every draw's weight of each distinct (x, y), a small table
     that the draws' Newton steps share, and no refit reads the cells again. Draw -1 is the fit itself. Bounds are interpolated.
     """
-    w = F.when(F.col("draw") < 0, F.lit(1).cast("long")).otherwise(_poisson(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string"))))
     units = cells.groupBy(*by, unit, *x, y).agg(F.sum(weight).alias("_w")).groupBy(*by, unit).agg(F.collect_list(F.struct(*x, y, "_w")).alias("_cells"))
-    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1)))).withColumn("_d", w).where("_d > 0")  # a hash a unit and draw
-    flat = drawn.select(*by, "draw", "_d", F.explode("_cells").alias("_c")).select(*by, "draw", "_d", "_c.*")
+    drawn = units.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))))  # a hash a unit and draw
+    drawn = drawn.withColumn("_h", _digits(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string"))))
+    drawn = drawn.withColumn("_d", F.when(F.col("draw") < 0, F.lit(1)).otherwise(_steps(F.col("_h"))).cast("long"))
+    # units that a draw leaves out have no cells in it: a filter by weight would hash a row once a step
+    flat = drawn.select(*by, "draw", "_d", F.explode(F.when(F.col("_d") > 0, F.col("_cells"))).alias("_c")).select(*by, "draw", "_d", "_c.*")
     table = flat.groupBy(*by, "draw", *x, y).agg(F.sum(F.col("_w") * F.col("_d")).alias("_w")).where("_w > 0")
     fits = logistic_odds(table, [*by, "draw"], x, y, "_w")
     own = fits.where("draw < 0").select(*by, "term", "coefficient", "odds_ratio")

@@ -120,3 +120,22 @@ def test_vocabulary_is_looked_up_where_texts_lie(spark, monkeypatch, size):
     assert sorted(map(tuple, got.collect())) == want
     assert {r.id for r in T.vocabulary_terms(texts, "k", F.col("t"), index, least=2.0).collect()} == {"c1", "c4", "c6"}
     assert T.vocabulary_terms(texts, "k", F.col("t"), index.where("false")).count() == 0
+
+
+def test_odds_hash_a_unit_and_draw_once(spark):
+    from hashlib import md5
+
+    rows = [(f"u{i}", i % 2, (i // 2) % 2, 1 + i % 3) for i in range(40)]
+    got = R.odds_intervals(spark.createDataFrame(rows, "u string, x int, y int, w long"), [], ["x"], "y", "w", "u", 8)
+    assert not [line for line in plan(got).splitlines() if "Filter" in line and "md5" in line]
+    seeds = [f"s|{i}" for i in range(400)]
+    drawn = spark.createDataFrame([(s,) for s in seeds], "s string").select("s", R._poisson(F.col("s")).alias("n")).collect()
+    assert {r.s: r.n for r in drawn} == {s: sum(int(md5(s.encode()).hexdigest()[:12], 16) / (1 << 48) >= c for c in R.POISSON) for s in seeds}
+
+    def odds(weigh):
+        n = {k: sum(w * weigh(u) for u, x, y, w in rows if (x, y) == k) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+        return n[1, 1] * n[0, 0] / (n[1, 0] * n[0, 1])
+
+    draws = sorted(odds(lambda u: sum(int(md5(f"odds|{d}|{u}".encode()).hexdigest()[:12], 16) / (1 << 48) >= c for c in R.POISSON)) for d in range(8))
+    row = {r.term: r for r in got.collect()}["x"]
+    assert row.odds_ratio == pytest.approx(odds(lambda u: 1)) and draws[0] <= row.ci_low * (1 + 1e-6) and row.ci_high <= draws[-1] * (1 + 1e-6)
