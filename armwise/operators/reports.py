@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armwise.functions.sequence import pick
@@ -34,11 +34,22 @@ def micro(c: Column) -> Column:
 def drawn_sums(rows: DataFrame, by: Sequence[str], unit: str, sums: Sequence[str], n_draws: int, salt: str = "report") -> DataFrame:
     """by, draw (-1 for the observed) and the weighted sums of each draw. Nulls add nothing; a null unit is a unit of its own."""
     per = rows.groupBy(*by, unit).agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in sums])
-    drawn = per.select(*by, unit, *sums, F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))).alias("draw"))
+    units = per.groupBy(unit).agg(F.collect_list(F.struct(*by, *sums)).alias("_cells"))
+    drawn = units.select(unit, "_cells", F.explode(F.sequence(F.lit(-1), F.lit(n_draws - 1))).alias("draw"))  # a hash a unit and draw
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string")).cast("binary")), 1, 12)
     weight = F.when(F.col("draw") < 0, 1).otherwise(reduce(lambda x, y: x + y, [(F.col("_h") >= h).cast("int") for h in STEPS]))
     drawn = drawn.withColumn("_h", digits).withColumn("_w", weight)  # no filter by weight here: it would hash a row once a step
-    return drawn.groupBy(*by, "draw").agg(F.sum("_w").alias("_any"), *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums]).where("_any > 0").drop("_any")
+    flat = drawn.select("draw", "_w", F.explode(F.when(F.col("_w") > 0, F.col("_cells"))).alias("_c")).select("draw", "_w", "_c.*")
+    return flat.groupBy(*by, "draw").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
+
+
+#: Rows that a task sorts at most, unless one key has more.
+TASK = 500_000
+
+
+def dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as their number asks for, so that what a task sorts does not grow with the table."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK)), *keys)
 
 
 def held(df: DataFrame, name: str) -> DataFrame:
@@ -237,17 +248,17 @@ def cited_lists(genes: DataFrame) -> DataFrame:
 
     genes: atlas, cell, cond, gene's rank in the list (from 1, null outside), its place among the cited (from 1, null uncited),
     and booleans ribo, deg. A cell's list is one entity's, bounded by nature. The rank correlation is of cited genes inside the
-    list, from whole numbers, for cells with three or more.
+    list, from whole numbers, for cells with three or more. Places among cited genes of the list are counted by sorting them twice.
     """
     cited, inside, first = F.col("cite").isNotNull(), F.col("rank").isNotNull(), F.col("cite") <= 5
     by = ["atlas", "cell", "cond"]
     c = genes.groupBy(*by).agg(
         F.count("rank").alias("n"), F.count("cite").alias("n_ref"), count_if(cited & inside).alias("ref_in"), count_if(cited & F.col("ribo")).alias("ref_ribo"), count_if(cited & inside & F.col("deg")).alias("ref_deg"),
         count_if(first).alias("n_ref5"), count_if(first & F.col("ribo")).alias("ref5_ribo"), count_if(first & inside & F.col("deg")).alias("ref5_deg"), count_if(inside & F.col("deg")).alias("_deg"),
-        count_if(inside & F.col("ribo")).alias("_ribo"), F.sum(F.when(cited & inside, F.col("rank"))).alias("_ranks"), F.array_sort(F.collect_list(F.when(cited & inside, F.struct("rank", "cite")))).alias("_both"))
-    # places by citation against places by rank: each element's place in the other order is found by counting
-    d2 = F.aggregate(
-        F.transform("_both", lambda x, i: F.pow(F.size(F.filter("_both", lambda y: y["cite"] < x["cite"])) - i, F.lit(2)).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        count_if(inside & F.col("ribo")).alias("_ribo"), F.sum(F.when(cited & inside, F.col("rank"))).alias("_ranks"), F.sort_array(F.collect_list(F.when(cited & inside, F.struct("rank", "cite")))).alias("_both"))
+    # places by citation: pairs of (cite, place by rank) in the order of cite, so that a gene's two places stand side by side
+    turned = F.sort_array(F.transform("_both", lambda x, i: F.struct(x["cite"].alias("c"), i.alias("i"))))
+    d2 = F.aggregate(F.transform(turned, lambda x, i: (x["i"] - i).cast("long") * (x["i"] - i)), F.lit(0).cast("long"), lambda a, b: a + b)
     m = F.size("_both").cast("long")
     enough, span = m >= 3, m * (m * m - 1)
     return c.select(
@@ -257,10 +268,14 @@ def cited_lists(genes: DataFrame) -> DataFrame:
         (m > 0).cast("long").alias("placed"), F.when(m > 0, micro((ratio("_ranks", m) - 1) / F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(0).cast("long").alias("depth"))
 
 
+def sized(genes: DataFrame) -> DataFrame:
+    """Genes with the number of those in their cell's list."""
+    return genes.withColumn("_n", F.count("rank").over(Window.partitionBy("cell", "cond")))
+
+
 def cited_slots(genes: DataFrame) -> DataFrame:
     """A row a (atlas, cell, cond, tenth of the list, ribo, deg): slots and cited ones."""
-    n = genes.where("rank is not null").groupBy("cell", "cond").agg(F.count(F.lit(1)).alias("_n"))
-    s = genes.where("rank is not null").join(n, ["cell", "cond"])
+    s = (genes if "_n" in genes.columns else sized(genes)).where("cell is not null and cond is not null and rank is not null")
     tenth = F.least(F.lit(9), F.floor((F.col("rank") - 1) * 10 / F.col("_n") + 1e-9)).cast("long")
     return s.groupBy("atlas", "cell", "cond", tenth.alias("decile"), "ribo", "deg").agg(F.count(F.lit(1)).alias("tot"), F.count("cite").alias("cit"))
 
@@ -278,6 +293,7 @@ def order_report(genes: DataFrame, reference: str, scrambled: str, n_draws: int
     and margins, pools and ratios are made of those sums.
     """
     by = ["atlas", "cond", "decile"]
+    genes = held(sized(genes), "genes")
     fine = drawn_sums(cited_slots(genes).withColumn("ribo", F.coalesce("ribo", F.lit(False))).withColumn("deg", F.coalesce("deg", F.lit(False))), [*by, "ribo", "deg"], "cell", ["tot", "cit"], n_draws)
     ribo, deg = F.when(F.col("ribo"), "ribo").otherwise("nonribo"), F.when(F.col("deg"), "deg").otherwise("nondeg")
     kind = F.concat(ribo, F.when(F.col("deg"), "_deg").otherwise("_other"))

@@ -119,11 +119,13 @@ def score_protein_report(t):
 
 def _genes(t: Tables):
     """Suppliers' lines as cells' lists: by price in the first condition, in a hash order in the second; small lines are outside."""
-    li = t("lineitem").select(
+    lines = t("lineitem")
+    li = lines.select(
         (F.col("l_suppkey") % 3).alias("atlas"), F.col("l_suppkey").alias("cell"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_quantity") > 5).alias("inside"), "l_shipdate", (F.col("l_partkey") % 5 == 0).alias("ribo"), (F.col("l_linestatus") == "O").alias("deg"),
         F.explode(F.array(
             F.struct(F.lit("wt").alias("cond"), (-F.round(F.col("l_extendedprice") * 100)).cast("long").alias("o"), (F.col("l_returnflag") == "A").alias("cited")),
-            F.struct(F.lit("scrambled").alias("cond"), pick(F.lit("mix"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("o"), (F.col("l_returnflag") == "R").alias("cited")))).alias("c")).select("*", "c.*")
+            F.struct(F.lit("scrambled").alias("cond"), pick(F.lit("mix"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("o"), (F.col("l_returnflag") == "R").alias("cited")))).alias("c")).select("*", "c.*").drop("c")
+    li = P.dealt(li, 2 * lines.count(), "cell", "cond")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"]
     rank = F.row_number().over(Window.partitionBy("cell", "cond", "inside").orderBy("o", *key))
     cite = F.row_number().over(Window.partitionBy("cell", "cond", "cited").orderBy("l_shipdate", *key))

@@ -9,6 +9,7 @@ from armwise.functions import sequence as S
 from armwise.functions import text as T
 from armwise.operators import ontology as O
 from armwise.operators import pairing as P
+from armwise.operators import reports as RP
 from armwise.operators import resample as R
 
 
@@ -139,3 +140,16 @@ def test_odds_hash_a_unit_and_draw_once(spark):
     draws = sorted(odds(lambda u: sum(int(md5(f"odds|{d}|{u}".encode()).hexdigest()[:12], 16) / (1 << 48) >= c for c in R.POISSON)) for d in range(8))
     row = {r.term: r for r in got.collect()}["x"]
     assert row.odds_ratio == pytest.approx(odds(lambda u: 1)) and draws[0] <= row.ci_low * (1 + 1e-6) and row.ci_high <= draws[-1] * (1 + 1e-6)
+
+
+def test_lists_are_dealt_by_their_number_and_ranked_by_sorting(spark):
+    genes = [(i % 2, i % 3, "wt", r, c, (r or 1) % 2 == 0, (r or 1) % 3 == 0) for i in range(6) for r, c in ((1 + i, 3 - i % 3), (7 + i, None), (13 + i, 4 + i), (None, 10 + i))]
+    rows = spark.createDataFrame(genes, "atlas int, cell int, cond string, rank int, cite int, ribo boolean, deg boolean")
+    lists = RP.cited_lists(rows)
+    assert "filter(" not in plan(lists)  # no list is searched once a member
+    assert {r.placed for r in lists.collect()} == {1}
+    assert RP.dealt(rows, 10 * RP.TASK, "cell").rdd.getNumPartitions() == 10
+    drawn = RP.drawn_sums(rows, ["atlas", "cond"], "cell", ["rank"], 5)
+    text = plan(drawn)
+    assert text.index("md5") > text.index("explode(CASE") > 0  # draws are hashed before a unit's groups are laid out
+    assert {(r.atlas, r["rank"]) for r in drawn.where("draw < 0").collect()} == {(a, sum(g[3] or 0 for g in genes if g[0] == a)) for a in (0, 1)}
