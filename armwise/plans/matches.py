@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from armwise.functions import sequence as S
 from armwise.operators import ontology as O
 from armwise.operators import pairing as P
+from armwise.operators.reports import dealt
 from armwise.plans.catalog import ARMS, EDGES, HASHED, PICK, SCORES, Tables, answers, candidate_scores, edges, query
 
 DERANGED = f"""p AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {HASHED.format('derange')}, c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
@@ -190,7 +191,7 @@ def seq17_salient_segments(t):
 @query(f"""WITH {FEATURES}, d AS (SELECT l_partkey, s, e, row_number() OVER (PARTITION BY l_partkey ORDER BY e - s DESC, l_orderkey, s) AS r FROM (SELECT l_partkey, l_orderkey, min(s) AS s, min(e) AS e FROM f GROUP BY 1, 2)),
 c AS (SELECT l_partkey, count(DISTINCT place) AS covered FROM (SELECT l_partkey, unnest(range(min(s), min(e) + 1)) AS place FROM f GROUP BY l_partkey, l_orderkey) GROUP BY 1) SELECT l_partkey, s, e, covered FROM d JOIN c USING (l_partkey) WHERE r = 1""")
 def seq18_largest_span(t):
-    one = features(t).groupBy("l_partkey", "l_orderkey").agg(F.min("s").alias("s"), F.min("e").alias("e"))
+    one = dealt(features(t), t("lineitem").count(), "l_partkey").groupBy("l_partkey", "l_orderkey").agg(F.min("s").alias("s"), F.min("e").alias("e"))
     return S.largest_span(one, "l_partkey", "s", "e", "l_orderkey")
 
 

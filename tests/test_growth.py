@@ -153,3 +153,9 @@ def test_lists_are_dealt_by_their_number_and_ranked_by_sorting(spark):
     text = plan(drawn)
     assert text.index("md5") > text.index("explode(CASE") > 0  # draws are hashed before a unit's groups are laid out
     assert {(r.atlas, r["rank"]) for r in drawn.where("draw < 0").collect()} == {(a, sum(g[3] or 0 for g in genes if g[0] == a)) for a in (0, 1)}
+
+
+def test_largest_spans_are_dealt_once_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(RP, "TASK", 100)
+    text = plan(base.QUERIES["seq18_largest_span"](spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in text and "ENSURE_REQUIREMENTS" not in text
