@@ -13,19 +13,24 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armwise.operators.resample import numbered
 from armwise.sources.writers import scratch
 
-#: Controls of a range at most and, where there are enough, at least; targets that a range takes in a round beside those it holds, times its controls.
-RANGE, LEAST, INTAKE = 50_000, 2_000, 2
+#: About how many controls a range has at most and, where there are enough, at least; targets that a range takes in a round beside those it holds, times its controls.
+RANGE, LEAST, INTAKE = 100_000, 2_000, 2
 FAR = float("inf")
-STATE = "g string, v double, tid long, tiers array<string>, level int, home int, lo int, lob double, hi int, hib double, at int, pos int"
+#: Columns of a target under way, with their types.
+STATE = {
+    "g": ("string", pa.string()), "v": ("double", pa.float64()), "tid": ("long", pa.int64()), "tiers": ("array<string>", pa.list_(pa.string())), "level": ("int", pa.int32()), "home": ("int", pa.int32()),
+    "lo": ("int", pa.int32()), "lob": ("double", pa.float64()), "hi": ("int", pa.int32()), "hib": ("double", pa.float64()), "at": ("int", pa.int32()), "pos": ("int", pa.int32()),
+}
 
 
 @dataclass
@@ -49,17 +54,17 @@ class Axis:
 class Walk:
     """The free places of one list of controls, with pointers past those that are taken."""
 
-    def __init__(self, places: list[int], values: list[float]):
+    def __init__(self, places: Sequence[int], values: list[float]):
         self.places, self.values = places, values
         self.down, self.up = list(range(len(places))), list(range(len(places) + 1))
 
     def _find(self, pointer: list[int], k: int, step: int, used: bytearray) -> int:
-        trail = []
-        while 0 <= k < len(self.places):
+        trail, places, n = [], self.places, len(self.places)
+        while 0 <= k < n:
             if pointer[k] != k:
                 trail.append(k)
                 k = pointer[k]
-            elif used[self.places[k]]:
+            elif used[places[k]]:
                 pointer[k] = k + step
                 trail.append(k)
                 k += step
@@ -71,27 +76,43 @@ class Walk:
 
     def nearest(self, v: float, used: bytearray) -> tuple[int, int]:
         """The nearest free places below v and from v on; -1 where there is none."""
-        at = bisect_left(self.values, v)
-        a, b = self._find(self.down, at - 1, -1, used), self._find(self.up, at, 1, used)
-        return (self.places[a] if a >= 0 else -1), (self.places[b] if b < len(self.places) else -1)
+        b = bisect_left(self.values, v)
+        a, places = b - 1, self.places
+        if a >= 0 and used[places[a]]:
+            a = self._find(self.down, a, -1, used)
+        if b < len(places) and used[places[b]]:
+            b = self._find(self.up, b, 1, used)
+        return (places[a] if a >= 0 else -1), (places[b] if b < len(places) else -1)
 
 
 def settle(part: int, targets: list[list], groups: list[str], values: list[float], tiers: list[Sequence[str]], axis: Axis, levels: list[list[int]]) -> None:
     """Targets (rows of STATE, changed in place) in their order over the controls of one range: pos is set where one takes a
-    control, at where it goes on to another range, and at is -1 where nothing is left for it."""
+    control, at where it goes on to another range, and at is -1 where nothing is left for it. Targets that hold a control and
+    come before all that are new keep it."""
     used = bytearray(len(values))
-    members: dict[tuple, list[int]] = {}
+    members: dict[int, dict[tuple, list[int]]] = {}
     walks: dict[tuple, Walk] = {}
-    for level, cols in enumerate(levels):
-        for i, g in enumerate(groups):
-            members.setdefault((level, g, *[tiers[i][c] for c in cols]), []).append(i)
-    for t in sorted(targets, key=lambda t: t[2]):
+
+    def walk(kind: tuple) -> Walk:
+        level = kind[0]
+        if level not in members:
+            found = members[level] = {}
+            for i, g in enumerate(groups):
+                found.setdefault((level, g, *[tiers[i][c] for c in levels[level]]), []).append(i)
+        places = members[level].get(kind, [])
+        walks[kind] = Walk(places, [values[i] for i in places])
+        return walks[kind]
+
+    new = min((t[2] for t in targets if t[11] is None), default=FAR)
+    for t in targets:
+        if t[2] < new:
+            used[t[11]] = 1
+    for t in sorted([t for t in targets if t[2] >= new], key=itemgetter(2)):
         g, v = t[0], t[1]
         while True:
-            kind = (t[4], g, *[t[3][c] for c in levels[t[4]]])
-            if kind not in walks:
-                walks[kind] = Walk(p := members.get(kind, []), [values[i] for i in p])
-            a, b = walks[kind].nearest(v, used)
+            cols = levels[t[4]]
+            kind = (t[4], g, *[t[3][c] for c in cols]) if cols else (t[4], g)
+            a, b = (walks.get(kind) or walk(kind)).nearest(v, used)
             low = high = -1
             if t[6] == part:
                 low = a
@@ -141,13 +162,24 @@ def advance(t: list, axis: Axis, levels: int) -> None:
             return
 
 
-def _rows(pdf: pd.DataFrame) -> list[list]:
-    return [list(r) for r in pdf.itertuples(index=False, name=None)]
+def _strings(column: pa.ChunkedArray) -> list[str]:
+    """A column's strings, equal ones as one object."""
+    coded = pa.chunked_array(column).combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    return [names[i] for i in coded.indices.to_numpy().tolist()]
+
+
+def _rows(t: pa.Table) -> list[list]:
+    """Rows of STATE; without tiers among the columns, each has none."""
+    cols = {c: _strings(t[c]) if c == "g" else t[c].to_pylist() if c == "tiers" else t[c].fill_null(-1).to_numpy().tolist() for c in t.column_names}
+    cols["pos"] = [None if p < 0 else p for p in cols["pos"]]
+    cols.setdefault("tiers", [()] * len(t))
+    return [list(r) for r in zip(*[cols[c] for c in STATE])]
 
 
-def _frame(rows: list[list], columns: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns)
-    return out.astype({"pos": "Int32"})
+def _table(rows: list[list], schema: pa.Schema) -> pa.Table:
+    cols = dict(zip(STATE, zip(*rows))) if rows else {}
+    return pa.table([pa.array(cols.get(f.name, []), f.type) for f in schema], schema=schema)
 
 
 def in_order(targets: DataFrame, pool: DataFrame, within: Sequence[str], key: str, value: str, order: Sequence[str], levels: Sequence[Sequence[str]] = ((),), size: int | None = None) -> DataFrame:
@@ -155,7 +187,8 @@ def in_order(targets: DataFrame, pool: DataFrame, within: Sequence[str], key: st
 
     Targets take their turns by the order columns (ascending, then key). Of two controls as near the lower one is taken, and of
     equal controls the one whose place in the order of (value, key) is nearest. levels: columns that must agree, one list after
-    the other: a level is looked at where those before it have nothing left. size: controls of a range.
+    the other: a level is looked at where those before it have nothing left. size: about how many controls a range has.
+    A round settles the ranges that targets ask for and writes these alone; what others hold stays where their last round wrote it.
     Defined cases: a target without a value, or for which nothing is left, has a null control; controls without a value are
     never taken; null groups are a group, null tiers agree with each other; repeated rows are targets or controls each; empty
     sides give no pairs.
@@ -167,75 +200,106 @@ def in_order(targets: DataFrame, pool: DataFrame, within: Sequence[str], key: st
     tier = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in tiers]).cast("array<string>")
     number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
 
-    controls = numbered(pool.select(group.alias("g"), number.alias("v"), F.col(key).alias("control"), tier.alias("tiers")).where("v is not null"), [], ["g", "v", "control"])
-    total = controls.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = size or min(RANGE, max(LEAST, -(-total // parts)))
-    controls = _kept(controls.select("g", "v", "control", "tiers", (F.col("_i") / size).cast("int").alias("part"), (F.col("_i") % size).cast("int").alias("place")), "controls")
+    asis, made = ([F.col("tiers")], [tier.alias("tiers")]) if tiers else ([], [])
+    pool_rows = pool.select(group.alias("g"), number.alias("v"), F.col(key).alias("control"), *made).where("v is not null")
     own = F.struct(*[F.col(c).alias(f"w{i}") for i, c in enumerate(within)], F.col(key).alias("key"))
     turns = [f"o{i}" for i in range(len(order))]
-    named = numbered(targets.select(group.alias("g"), number.alias("v"), own.alias("own"), *[F.col(c).alias(o) for c, o in zip(order, turns, strict=True)], tier.alias("tiers")), [], [*turns, "own.key"])
-    named = _kept(named.select("g", "v", "own", "tiers", F.col("_i").alias("tid")), "targets")
+    target_rows = targets.select(group.alias("g"), number.alias("v"), own.alias("own"), *[F.col(c).alias(o) for c, o in zip(order, turns, strict=True)], *made)
+    total = pool_rows.count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = size or min(RANGE, max(LEAST, -(-total // parts)))
+    # Partitions by (group, value, key) are the ranges, and places in them the row numbers; a target's number is its place in the order, with gaps.
+    controls = _laid(pool_rows, total, size, ["g", "v", "control"])
+    controls = _kept(controls.select("g", "v", "control", *asis, F.spark_partition_id().alias("part"), F.col("_at").bitwiseAND((1 << 33) - 1).cast("int").alias("place")), "controls")
+    named = _laid(target_rows, target_rows.count(), max(size, LEAST), [*turns, "own.key"])
+    named = _kept(named.select("g", "v", "own", *asis, F.col("_at").alias("tid")), "targets")
     mine = [*[F.col(f"own.w{i}").alias(c) for i, c in enumerate(within)], F.col("own.key").alias(key)]
     ends = controls.groupBy("part").agg(F.min(F.struct("g", "v")).alias("first"), F.max(F.struct("g", "v")).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a range
+    if [r.part for r in ends] != list(range(len(ends))):
+        raise ValueError("controls changed while they were read")
     axis = Axis([tuple(r.first) for r in ends], [tuple(r.last) for r in ends], [FAR] * len(ends))
-    sizes = {r.part: r.n for r in ends}
-    columns = [c.split()[0] for c in STATE.split(", ")]
+    columns = [c for c in STATE if tiers or c != "tiers"]
+    schema = pa.schema([(c, STATE[c][1]) for c in columns])
+    ddl = ", ".join(f"{c} {STATE[c][0]}" for c in columns)
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(axis.last)
         for b in batches:
-            rows = []
-            for g, v, tid, tier in b[["g", "v", "tid", "tiers"]].itertuples(index=False, name=None):
-                h = bisect_left(axis.last, (g, v))
-                lo, lob = (h, 0.0) if h < len(axis.last) else axis.below(g, v, h)
-                hi, hib = (h, 0.0) if h < len(axis.last) else (-1, FAR)
-                home = min(h, len(axis.last) - 1)
-                rows.append([g, v, tid, list(tier), 0, home, lo, lob, hi, hib, home, None])
-            yield _frame(rows, columns)
-
-    def advanced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            t = pa.Table.from_batches([b])
+            g, v = _strings(t["g"]), t["v"].to_numpy().tolist()
+            home = np.fromiter((bisect_left(axis.last, gv) for gv in zip(g, v)), np.int32, len(g))
+            lo, lob, hi, hib = home.copy(), np.zeros(len(g)), home.copy(), np.zeros(len(g))
+            for i in np.flatnonzero(home == n):
+                lo[i], lob[i] = axis.below(g[i], v[i], n)
+                hi[i], hib[i] = -1, FAR
+            home = np.minimum(home, n - 1)
+            new = {"level": np.zeros(len(g), np.int32), "home": home, "lo": lo, "lob": lob, "hi": hi, "hib": hib, "at": home, "pos": pa.nulls(len(g), pa.int32())}
+            yield from pa.table([pa.array(new[c]) if c in new else t[c] for c in columns], schema=schema).to_batches()
+
+    def advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _rows(b)
+            rows = _rows(pa.Table.from_batches([b]))
             for t in rows:
                 advance(t, axis, len(at_level))
-            yield _frame(rows, columns)
-
-    def settled(mine: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        there = there.sort_values("place")
-        rows = _rows(mine[columns])
-        for t in rows:
-            t[3] = list(t[3])
-        settle(int(there["part"].iloc[0]), rows, there["g"].tolist(), there["v"].tolist(), [list(x) for x in there["tiers"]], axis, at_level)
-        return _frame(rows, columns)
-
-    state = _kept(named.where("v is not null").mapInPandas(placed, STATE), "state") if ends else None
-    while state is not None:
-        holding = state.where("pos is not null")
-        going = _kept(state.where("pos is null and at >= 0").mapInPandas(advanced, STATE), "going")
+            yield from _table(rows, schema).to_batches()
+
+    def settled(mine: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.sort_by("place")
+        rows = _rows(mine.select(columns))
+        settle(there["part"][0].as_py(), rows, _strings(there["g"]), there["v"].to_numpy().tolist(), there["tiers"].to_pylist() if tiers else [], axis, at_level)
+        return _table(rows, schema)
+
+    def holding(among: set[int]) -> DataFrame | None:
+        """Targets that hold a control of these ranges, from the last round of each."""
+        held = None
+        for i, done in enumerate(rounds):
+            some = sorted(p for p in among if last_round[p] == i)
+            if some:
+                one = done.where("pos is not null").where(_in("at", some, len(ends)))
+                held = one if held is None else held.unionByName(one)
+        return held
+
+    rounds: list[DataFrame] = []
+    last_round: dict[int, int] = {}
+    going = _kept(named.where("v is not null").select("g", "v", "tid", *asis).mapInArrow(placed, ddl), "going") if ends else None
+    while going is not None:
         asked = going.where("at >= 0")
-        n = asked.count()
-        if n == 0:
-            state = holding
+        counts = {r["at"]: r["count"] for r in asked.groupBy("at").count().collect()}  # at most a row a range
+        if not counts:
             break
-        intake = INTAKE * size
-        salted = asked.withColumn("_s", F.pmod(F.xxhash64("tid"), F.lit(1 + n // max(1, intake))))
-        few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("at", "_s").orderBy("tid"))).where(F.col("_r") <= intake)
-        first = few.withColumn("_r", F.row_number().over(Window.partitionBy("at").orderBy("tid")))
-        now = _kept(first.where(F.col("_r") <= intake).select(*columns), "now")
-        waiting = asked.join(now.select("tid"), "tid", "left_anti").select(*columns)
-        active = F.broadcast(now.select("at").distinct())  # at most a row a range
-        both = now.unionByName(holding.join(active, "at", "left_semi").select(*columns))
-        there = controls.join(active.withColumnRenamed("at", "part"), "part", "left_semi")
-        done = both.groupBy("at").cogroup(there.groupBy("part")).applyInPandas(settled, STATE)
-        state = _kept(done.unionByName(holding.join(active, "at", "left_anti").select(*columns)).unionByName(waiting), "state")
-        full = {r["at"]: r.most for r in state.where("pos is not null").groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("tid").alias("most")).collect() if r.n == sizes[r["at"]]}
-        axis = Axis(axis.first, axis.last, [full.get(i, FAR) for i in range(len(ends))])
+        now, waiting, intake = asked, None, INTAKE * size
+        if max(counts.values()) > intake:
+            salted = asked.withColumn("_s", F.pmod(F.xxhash64("tid"), F.lit(1 + sum(counts.values()) // max(1, intake))))
+            few = salted.withColumn("_r", F.row_number().over(Window.partitionBy("at", "_s").orderBy("tid"))).where(F.col("_r") <= intake)
+            first = few.withColumn("_r", F.row_number().over(Window.partitionBy("at").orderBy("tid")))
+            now = _kept(first.where(F.col("_r") <= intake).select(*columns), "now")
+            waiting = asked.join(now.select("tid"), "tid", "left_anti").select(*columns)
+        held = holding(counts.keys() & last_round.keys())
+        both = now if held is None else now.unionByName(held)
+        there = controls.select("part", "place", "g", "v", *asis).where(_in("part", sorted(counts), len(ends)))
+        done = _kept(both.groupBy("at").cogroup(there.groupBy("part")).applyInArrow(settled, ddl), "settled")
+        last_round |= dict.fromkeys(counts, len(rounds))
+        rounds.append(done)
+        most = {r["at"]: r for r in done.where("pos is not null").groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("tid").alias("most")).collect()}
+        axis = Axis(axis.first, axis.last, [(most[i].most if i in most and most[i].n == ends[i].n else FAR) if i in counts else x for i, x in enumerate(axis.held)])
+        moved = done.where("pos is null and at >= 0")
+        going = _kept((moved if waiting is None else moved.unionByName(waiting)).mapInArrow(advanced, ddl), "going")
+    state = holding(set(last_round))
     if state is None:
         return named.select(*mine, F.lit(None).cast(pool.schema[key].dataType).alias("control"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("level"))
     took = state.select("tid", "level", F.col("at").alias("part"), F.col("pos").alias("place")).join(controls.select("part", "place", "control", F.col("v").alias("_v")), ["part", "place"])
     return named.join(took, "tid", "left").select(*mine, "control", F.abs(F.col("_v") - F.col("v")).alias("distance"), "level")
 
 
+def _laid(rows: DataFrame, n: int, size: int, order: Sequence[str]) -> DataFrame:
+    """Rows in partitions of about size by one order over all, sorted, with _at ascending in that order and counting from the start of a partition."""
+    return rows.repartitionByRange(max(1, -(-n // size)), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _in(column: str, parts: list[int], of: int) -> str:
+    return "true" if len(parts) == of else f"{column} in ({', '.join(map(str, parts))})"
+
+
 def cheapest(cost: np.ndarray) -> np.ndarray:
     """For each row of a cost matrix with no more rows than columns its column in an assignment of least total cost.
 

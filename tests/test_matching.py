@@ -83,6 +83,22 @@ def test_settling_in_any_order_of_arrival_is_the_same():
     assert sorted((t[2], t[11]) for t in got if t[11] is not None) == sorted((t[2], t[11]) for t in want if t[11] is not None)
 
 
+def test_only_ranges_that_are_asked_are_settled_again(spark, monkeypatch):
+    written, keep = [], X._kept
+
+    def kept(df, name):
+        out = keep(df, name)
+        if name not in ("controls", "targets"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "_kept", kept)
+    pool = [(1000 + k, "g", float(k), ["x", "p"]) for k in range(400)]
+    targets = [(k, k, "g", float(200 + k), ["x", "p"]) for k in range(200)] + [(k % 7, 500 + k, "g", 0.0, ["x", "p"]) for k in range(30)]
+    assert run(spark, targets, pool, size=10) == plain(targets, pool)
+    assert len(written) > 6 and sum(written) < 4 * len(targets)
+
+
 def test_empty_sides(spark):
     targets, pool = made(6, 5, 5, 9)
     assert set(run(spark, targets, pool[:0] + [(1, "a", None, ["x", "p"])]).values()) == {None}
