@@ -90,11 +90,15 @@ def settle(part: int, targets: list[list], groups: list[str], values: list[float
     control, at where it goes on to another range, and at is -1 where nothing is left for it. Targets that hold a control and
     come before all that are new keep it."""
     used = bytearray(len(values))
-    members: dict[int, dict[tuple, list[int]]] = {}
+    members: dict[int, dict[tuple, Sequence[int]]] = {}
     walks: dict[tuple, Walk] = {}
 
     def walk(kind: tuple) -> Walk:
         level = kind[0]
+        if not levels[level]:  # a group's controls lie side by side
+            a, b = bisect_left(groups, kind[1]), bisect_right(groups, kind[1])
+            walks[kind] = Walk(range(a, b), values[a:b])
+            return walks[kind]
         if level not in members:
             found = members[level] = {}
             for i, g in enumerate(groups):
@@ -214,10 +218,12 @@ def in_order(targets: DataFrame, pool: DataFrame, within: Sequence[str], key: st
     named = _laid(target_rows, target_rows.count(), max(size, LEAST), [*turns, "own.key"])
     named = _kept(named.select("g", "v", "own", *asis, F.col("_at").alias("tid")), "targets")
     mine = [*[F.col(f"own.w{i}").alias(c) for i, c in enumerate(within)], F.col("own.key").alias(key)]
-    ends = controls.groupBy("part").agg(F.min(F.struct("g", "v")).alias("first"), F.max(F.struct("g", "v")).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a range
-    if [r.part for r in ends] != list(range(len(ends))):
+    counted = F.broadcast(controls.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    edges = controls.select("part", "place", "g", "v").join(counted, "part").where("place = 0 or place = n - 1").orderBy("part", "place").collect()  # two rows a range at most
+    first, ends = [r for r in edges if r.place == 0], [r for r in edges if r.place == r.n - 1]
+    if not [r.part for r in first] == [r.part for r in ends] == list(range(len(ends))):
         raise ValueError("controls changed while they were read")
-    axis = Axis([tuple(r.first) for r in ends], [tuple(r.last) for r in ends], [FAR] * len(ends))
+    axis = Axis([(r.g, r.v) for r in first], [(r.g, r.v) for r in ends], [FAR] * len(ends))
     columns = [c for c in STATE if tiers or c != "tiers"]
     schema = pa.schema([(c, STATE[c][1]) for c in columns])
     ddl = ", ".join(f"{c} {STATE[c][0]}" for c in columns)

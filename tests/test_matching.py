@@ -83,6 +83,26 @@ def test_settling_in_any_order_of_arrival_is_the_same():
     assert sorted((t[2], t[11]) for t in got if t[11] is not None) == sorted((t[2], t[11]) for t in want if t[11] is not None)
 
 
+def test_a_group_is_found_in_its_range_without_reading_all_controls():
+    class Seen(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            self.reads += 1
+            return super().__getitem__(i)
+
+        def __iter__(self):
+            self.reads += len(self)
+            return super().__iter__()
+
+    groups, values = Seen(["a"] * 500 + ["b"] * 300 + ["c"] * 200), [float(i) for i in [*range(500), *range(300), *range(200)]]
+    axis = X.Axis([("a", 0.0)], [("c", 199.0)], [X.FAR])
+    targets = [[g, v, i, [], 0, 0, 0, 0.0, 0, 0.0, 0, None] for i, (g, v) in enumerate([("a", 499.0), ("b", 0.0), ("c", 300.0), ("b", 0.2), ("a", 600.0), ("d", 1.0)])]
+    X.settle(0, targets, groups, values, [], axis, [[]])
+    assert [t[11] for t in targets] == [499, 500, 999, 501, 498, None]
+    assert groups.reads < 100
+
+
 def test_only_ranges_that_are_asked_are_settled_again(spark, monkeypatch):
     written, keep = [], X._kept
 
