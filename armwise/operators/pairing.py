@@ -81,24 +81,35 @@ def rank_matched(left: DataFrame, right: DataFrame, key: str, by: str, within: S
     return ranked(left, "left").join(ranked(right, "right"), [*within, "rank"])
 
 
-#: Keys of a block at most on average; two blocks are paired where they lie.
-BLOCK = 1024
+#: Keys of a block at most on average. A task holds the pairs of two blocks at a time, so that this is to be small.
+BLOCK = 256
 
 
 def blocks(rows: DataFrame, by: Sequence[str], key: str, values: Sequence[str] = ()) -> DataFrame:
-    """by, _b and _rows: each group's rows (key and values) in blocks of bounded size by hash, however large a group is."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = rows.join(sizes, list(by)).withColumn("_b", F.pmod(F.xxhash64(key, *values), F.ceil(F.col("_n") / BLOCK)))
+    """by, _b and _rows: each group's rows (key and values) in blocks by hash, as many as the rows' column _blocks says."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(key, *values), F.col("_blocks")))
     return dealt.groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(key).alias("key"), *values)).alias("_rows"))
 
 
-def met_in_blocks(met: DataFrame) -> DataFrame:
-    """met with _x and _y, a row of _rows_a and one of _rows_b: all of both, made where the blocks lie and never shuffled.
+def met_in_blocks(met: DataFrame, cut: DataFrame, by: Sequence[str], own: Sequence[str] = ()) -> DataFrame:
+    """met with _x and _y, a row of the one group and one of the other: all pairs, made where two blocks meet and never shuffled.
 
-    Block pairs are dealt at random over the tasks, so that a large group is the work of all.
+    A row of met is a pair of groups of cut: they agree in by, own_a and own_b name the one and the other, _blocks_a and _blocks_b
+    are their numbers of blocks. A group that meets itself gives each unordered pair of keys once. Numbers of blocks are paired
+    first and fetch their rows block by block, so that a large group is the work of all tasks at every step.
     """
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, F.rand(7)).withColumn("_x", F.explode("_rows_a")).drop("_rows_a").withColumn("_y", F.explode("_rows_b")).drop("_rows_b")
+    same = " AND ".join(["true", *[f"{c}_a = {c}_b" for c in own]])
+    for s in "ab":
+        met = met.withColumn(f"_b_{s}", F.explode(F.sequence(F.lit(0), F.col(f"_blocks_{s}") - 1))).drop(f"_blocks_{s}")
+    # Of two blocks of one group either comes second as often as the other.
+    met = met.where(f"NOT ({same}) OR _b_a = _b_b OR (_b_a < _b_b) = ((_b_a + _b_b) % 2 = 0)")
+    for s in "ab":
+        at = [*by, *[f"{c}_{s}" for c in own], f"_b_{s}"]
+        side = cut.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in own], F.col("_b").alias(f"_b_{s}"), F.col("_rows").alias(f"_rows_{s}"))
+        met = met.repartition(n, *at).join(side.hint("shuffle_hash"), at)
+    made = met.withColumn("_x", F.explode("_rows_a")).drop("_rows_a").withColumn("_y", F.explode("_rows_b")).drop("_rows_b")
+    return made.where(f"NOT ({same}) OR _b_a <> _b_b OR _x.key < _y.key")
 
 
 def same_text_pairs(rows: DataFrame, text: str, key: str, variant: str, label: str) -> DataFrame:
@@ -108,10 +119,11 @@ def same_text_pairs(rows: DataFrame, text: str, key: str, variant: str, label: s
     are shuffled, and a frequent text is no one task's.
     """
     r = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull() & F.col(variant).isNotNull())
-    cut = blocks(r.select(text, key, F.col(variant).alias("v"), F.col(label).alias("l")), [text], key, ["v", "l"])
-    a, b = (cut.select(text, F.col("_b").alias(f"_b_{s}"), F.col("_rows").alias(f"_rows_{s}")) for s in "ab")
-    met = met_in_blocks(a.join(b, text).where("_b_a <= _b_b")).where("_x.v <> _y.v AND (_b_a < _b_b OR _x.key < _y.key) AND _x.key <> _y.key")
-    return met.select(text, F.least("_x.key", "_y.key").alias("a"), F.greatest("_x.key", "_y.key").alias("b"), (F.col("_x.l") != F.col("_y.l")).alias("should_change"))
+    sizes = r.groupBy(text).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    cut = blocks(r.select(text, key, F.col(variant).alias("v"), F.col(label).alias("l")).join(sizes, text), [text], key, ["v", "l"])
+    met = sizes.select(text, F.col("_blocks").alias("_blocks_a"), F.col("_blocks").alias("_blocks_b"))
+    made = met_in_blocks(met, cut, [text]).where("_x.v <> _y.v AND _x.key <> _y.key")
+    return made.select(text, F.least("_x.key", "_y.key").alias("a"), F.greatest("_x.key", "_y.key").alias("b"), (F.col("_x.l") != F.col("_y.l")).alias("should_change"))
 
 
 def shared_member_pairs(rows: DataFrame, within: str, key: str, member: str) -> DataFrame:
@@ -123,14 +135,12 @@ def shared_member_pairs(rows: DataFrame, within: str, key: str, member: str) ->
     """
     r = rows.select(within, key, member).where(F.col(within).isNotNull() & F.col(key).isNotNull() & F.col(member).isNotNull())
     sets = r.groupBy(within, key).agg(F.array_sort(F.collect_set(member)).alias("_set"))
-    classes = sets.groupBy(within, "_set").agg(F.min(key).alias("_class"))
-    cut = blocks(sets.join(classes, [within, "_set"]).select(within, "_class", key), [within, "_class"], key)
-    m = classes.select(within, "_class", F.explode("_set").alias("_m"))
-    a, b = (m.withColumnRenamed("_class", f"_class_{s}") for s in "ab")
-    met = a.join(b, [within, "_m"]).where("_class_a <= _class_b").groupBy(within, "_class_a", "_class_b").agg(F.count(F.lit(1)).alias("shared"))
-    for s in "ab":
-        met = met.join(cut.select(within, F.col("_class").alias(f"_class_{s}"), F.col("_b").alias(f"_b_{s}"), F.col("_rows").alias(f"_rows_{s}")), [within, f"_class_{s}"])
-    made = met_in_blocks(met.where("_class_a < _class_b OR _b_a <= _b_b")).where("_class_a < _class_b OR _b_a < _b_b OR _x.key < _y.key")
+    classes = sets.groupBy(within, "_set").agg(F.min(key).alias("_class"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    cut = blocks(sets.join(classes, [within, "_set"]), [within, "_class"], key)
+    m = classes.select(within, "_class", "_blocks", F.explode("_set").alias("_m"))
+    a, b = (m.withColumnsRenamed({"_class": f"_class_{s}", "_blocks": f"_blocks_{s}"}) for s in "ab")
+    met = a.join(b, [within, "_m"]).where("_class_a <= _class_b").groupBy(within, "_class_a", "_class_b", "_blocks_a", "_blocks_b").agg(F.count(F.lit(1)).alias("shared"))
+    made = met_in_blocks(met, cut, [within], ["_class"])
     return made.select(within, F.least("_x.key", "_y.key").alias("a"), F.greatest("_x.key", "_y.key").alias("b"), "shared")
 
 

@@ -1,5 +1,7 @@
 """Steps whose work must stay spread and bounded when tables grow, and values that the engines once read differently."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,21 @@ def test_keys_of_equal_members_meet_as_classes(spark, monkeypatch):
     assert text.index("Generate") < text.index("Exchange")  # nothing is shuffled after keys are paired
 
 
+def met_by(text: str) -> set[str]:
+    """The keys of the plan's shuffled hash joins, their numbers taken off."""
+    return {re.sub(r"#\d+L?", "", x) for x in re.findall(r"ShuffledHashJoin \[([^\]]*)\]", text)}
+
+
+def test_classes_meet_block_by_block(spark):
+    rows = spark.range(3000).select((F.col("id") % 1).alias("w"), F.col("id").alias("k"), F.lit("m").alias("m"))
+    got = P.shared_member_pairs(rows, "w", "k", "m")
+    text = plan(got)
+    assert met_by(text) == {"w, _class_a, _b_a", "w, _class_b, _b_b"} and "rand(" not in text
+    assert P.BLOCK ** 2 <= 1 << 16  # rows that a task makes before it hands any on
+    assert tuple(got.agg(F.count("*"), F.sum("a"), F.sum("b"), F.count_distinct("a", "b"), F.sum("shared")).first()) == (
+        n := 3000 * 2999 // 2, sum(a * (2999 - a) for a in range(3000)), sum(b * b for b in range(3000)), n, n)
+
+
 def test_accretion_makes_no_row_of_entity_and_child(spark):
     edges = [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("z", "a"), ("a", "r"), ("b", "r"), ("w", "b"), ("w", "q")]
     held = {1: "xabr", 2: "yabr", 3: "zar", 4: "br", 5: "r", 6: "wbr", 7: "ab"}
