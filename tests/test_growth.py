@@ -103,6 +103,18 @@ def test_classes_meet_block_by_block(spark):
         n := 3000 * 2999 // 2, sum(a * (2999 - a) for a in range(3000)), sum(b * b for b in range(3000)), n, n)
 
 
+def test_a_frequent_text_meets_block_by_block(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("t"), (F.col("id") % 1).cast("string")).alias("t"), F.col("id").alias("k"), (F.col("id") % 2).alias("v"), F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("l"))
+    got = P.same_text_pairs(rows, "t", "k", "v", "l")
+    text = plan(got)
+    assert met_by(text) == {"t, _b_a", "t, _b_b"} and "rand(" not in text
+    assert text.index("Generate") < text.index("Exchange")  # nothing is shuffled after keys are paired
+    changed = dict(got.groupBy("should_change").count().collect())
+    n = {(v, l): sum(i % 2 == v and i % 3 == l for i in range(3000)) for v in (0, 1) for l in (0, 1)}
+    assert changed == {True: n[0, 0] * n[1, 1] + n[0, 1] * n[1, 0], False: n[0, 0] * n[1, 0] + n[0, 1] * n[1, 1], None: 1500 * 1500 - 1000 * 1000}
+    assert got.where("a < b").distinct().count() == 1500 * 1500
+
+
 def test_accretion_makes_no_row_of_entity_and_child(spark):
     edges = [("x", "a"), ("x", "b"), ("y", "a"), ("y", "b"), ("z", "a"), ("a", "r"), ("b", "r"), ("w", "b"), ("w", "q")]
     held = {1: "xabr", 2: "yabr", 3: "zar", 4: "br", 5: "r", 6: "wbr", 7: "ab"}
